@@ -78,6 +78,35 @@ FROM d LEFT JOIN done USING (doc_id)
 """
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.packing import pack
+
+    done = pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return done.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.lines import remove_similar_lines
+
+    done = remove_similar_lines(_read(spark, sf_dir, "documents"), threshold=0.8)
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.html import extract_text
+
+    return extract_text(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import classify
+
+    done = classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return done.select("doc_id", "junk", "toxic", "keep")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import plan_mixture
 
@@ -112,6 +141,49 @@ FROM r
 """
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.vectors import near_duplicate_vectors
+
+    return near_duplicate_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.93
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+)
+SELECT vec_id, CAST((SELECT count(*) FROM links WHERE a = r.vec_id) AS BIGINT) AS n_links, min(other) AS component_id, vec_id = min(other) AS kept
+FROM reach r GROUP BY vec_id
+"""
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.vectors import nearest_neighbours
+
+    rows = _read(spark, sf_dir, "embeddings")
+    return nearest_neighbours(rows, rows.where("vec_id % 20 = 0"), k=20, factor=1.0)
+
+
+OP9_SQL = r"""
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash import near_duplicates
 
@@ -123,10 +195,16 @@ def queries() -> dict:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_packing": op3_packing,
+        "op4_line_dedup": op4_line_dedup,
+        "op5_html_extraction": op5_html_extraction,
+        "op6_quality_classifier": op6_quality_classifier,
         "op7_mixing": op7_mixing,
+        "op8_embedding_dedup": op8_embedding_dedup,
+        "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op7_mixing": OP7_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op7_mixing": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op9_nearest_neighbours": OP9_SQL}

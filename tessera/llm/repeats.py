@@ -58,14 +58,14 @@ def remove_repeats(docs: DataFrame, window: int = 13, shortest: int = 7, id_col:
 
 
 def _first_sender(levels: list[int], buckets: int):
-    def send(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def send(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return _Block(pdf, levels).send(0, None, key[0], buckets)
 
     return send
 
 
 def _sender(levels: list[int], level: int, buckets: int):
-    def send(key, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def send(key: tuple, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         return _Block(pdf, levels).send(level, answers, key[0], buckets)
 
     return send
