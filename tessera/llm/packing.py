@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -14,46 +18,58 @@ from tessera.llm.words import mix
 from tessera.session import materialize
 
 
+#: How byte-level BPE cuts text before merging: a fixed value of that tokenizer family.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class Encoder:
-    """Token ids of whole texts, by remembering those of each word.
+    """Token ids of whole texts by a tokenizer file.
 
-    Byte-level pre-tokenisers split at single spaces and keep each space with the word after it,
-    so the ids of " word" do not depend on its neighbours. Texts where that could fail (two
-    spaces, or white space before a space) are encoded as they are.
+    A byte-level BPE file whose ids follow its merges is also run by a faster library, from the
+    same vocabulary; every thousandth text is held against the tokenizer itself, and a difference
+    is an error.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes | None] = {}
-        self.most = most
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        fresh = list({w for words in split for w in words[1:]}.difference(known))
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([" " + w for w in part], add_special_tokens=False)):
-                known[word] = None if not word or word[-1].isspace() else np.array(e.ids, self.kind).tobytes()
-        out = []
-        for text, words in zip(texts, split):
-            ids = [known[w] for w in words[1:]]
-            if None in ids or not words[0] or words[0][-1].isspace():
-                out.append(self._plain(text))
-            else:
-                out.append(self._plain(words[0]) + b"".join(ids))
-        return out
-
-
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, shard: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        self.fast = self._fast(json.loads(Path(path).read_text()))
+        self.seen = 0
+
+    def _fast(self, spec: dict):
+        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        plain = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        if not plain or model.get("type") != "BPE":
+            return None
+        import tiktoken
+
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(self, text: str) -> np.ndarray:
+        self.seen += 1
+        exact = self.tokenizer.encode(text, add_special_tokens=False).ids if self.fast is None or self.seen % 1000 == 1 else None
+        if self.fast is None:
+            return np.array(exact, np.uint32)
+        ids = self.fast.encode_to_numpy(text, allowed_special="all").astype(np.uint32)
+        if exact is not None and ids.tolist() != exact:
+            raise ValueError("the fast encoder differs from the tokenizer file")
+        return ids
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker."""
+    return Encoder(path)
+
+
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, shard: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut all texts' token ids (each text's followed by ``end_id``) into sequences of ``window``.
 
     Returns one row per piece: the id, ``start``, ``length``, ``doc_tokens``, ``sequence_id``,
@@ -70,18 +86,17 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, s
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, sequence = Encoder(tokenizer), TaskContext.get().partitionId() << 32
+        coder, sequence = encoder(tokenizer), TaskContext.get().partitionId() << 32
         for pdf in batches:
             for i in range(0, len(pdf), 500):
                 part = pdf.iloc[i : i + 500]
                 rows = []
-                for name, packed in zip(part["id"], encoder.encode([t if isinstance(t, str) else "" for t in part["text"]])):
-                    ids = np.append(np.frombuffer(packed, encoder.kind), encoder.kind(end_id)).astype(np.uint32)
+                for name, text in zip(part["id"], part["text"]):
+                    ids = np.append(coder.encode(text if isinstance(text, str) else ""), np.uint32(end_id))
                     for at in range(0, len(ids), window):
                         piece = ids[at : at + window]
                         whole = len(piece) == window
-                        small = piece.astype(np.uint16) if encoder.kind == np.uint16 else piece
-                        rows.append((name, at, len(ids), sequence if whole else None, 0 if whole else _minhash(piece), small.tobytes()))
+                        rows.append((name, at, len(ids), sequence if whole else None, 0 if whole else _minhash(piece), piece.astype(coder.kind).tobytes()))
                         sequence += whole
                 out = pd.DataFrame(rows, columns=["id", "start", "doc_tokens", "sequence_id", "near", "ids"])
                 out["sequence_id"] = out["sequence_id"].astype("Int64")
