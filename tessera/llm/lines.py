@@ -65,16 +65,13 @@ def similar_lines(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
     met = prefix.withColumns({"first": F.first(F.struct("line_id", "n", "at")).over(by_word), "next": F.lead("line_id").over(by_word)})
     met = met.where("first.line_id <> line_id or next is not null").drop("next")
     met = materialize(met, "line-prefixes")
-    needed = met.select("line_id").distinct()
-    texts = materialize(lines.select(F.xxhash64("line").alias("line_id"), "line").join(needed, "line_id", "left_semi"), "line-texts")
-
     def possible(n: Column, at: Column, n2: Column, at2: Column) -> Column:
         length = F.least(n, n2) >= _least_share(F.greatest(n, n2), threshold)
         return length & (1 + F.least(n - at - 1, n2 - at2 - 1) >= _least_overlap(n, n2, threshold))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("line_id").alias("later"), F.col("line").alias("a"))
-        b = texts.select(F.col("line_id").alias("earlier"), F.col("line").alias("b"))
+        a = lines.select(F.xxhash64("line").alias("later"), F.col("line").alias("a"))
+        b = lines.select(F.xxhash64("line").alias("earlier"), F.col("line").alias("b"))
         both = pairs.join(a, "later").join(b, "earlier").select("later", line_words(F.col("a")).alias("a"), line_words(F.col("b")).alias("b"))
         shared = F.size(F.array_intersect("a", "b"))
         return both.where(shared >= F.lit(threshold) * (F.size("a") + F.size("b") - shared) - 1e-9).select(F.col("later").alias("line_id")).distinct()
