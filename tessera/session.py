@@ -17,6 +17,9 @@ LOCAL_CONF = {
     "spark.driver.memory": "8g",
 }
 
+#: The setting by which a query's shuffle files go when the query ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(master: str = "local[8]", **conf: str) -> SparkSession:
     """A session for tests and benchmarks."""
@@ -42,9 +45,15 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back.
 
-    This cuts lineage: a lost executor costs a re-read, not a recomputation.
+    This cuts lineage: a lost executor costs a re-read, not a recomputation. Shuffle files of the
+    write are of no more use once it is done, and Spark is asked to drop them then.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
