@@ -11,9 +11,13 @@ from tessera.session import materialize
 SLOTS = 1 << 16
 
 
+def _split(line: Column) -> Column:
+    return F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " ")
+
+
 def line_words(line: Column) -> Column:
     """Distinct words of a line: runs of characters other than space and 0x09 to 0x0D."""
-    return F.array_distinct(F.filter(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), lambda w: w != ""))
+    return F.array_remove(F.array_distinct(_split(line)), "")
 
 
 def _least_overlap(a: Column, b: Column, threshold: float) -> Column:
@@ -30,7 +34,7 @@ def rarity_table(lines: DataFrame) -> Column:
 
     The words of all lines are counted in Spark by slot; the 65,536 numbers become a constant.
     """
-    slots = lines.select(F.explode(F.transform(line_words(F.col("line")), lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)))).alias("slot"))
+    slots = lines.select(F.explode(_split(F.col("line"))).alias("word")).select(F.pmod(F.xxhash64("word"), F.lit(SLOTS)).alias("slot"))
     counted = slots.groupBy("slot").agg(F.floor(16 * F.log2(F.count(F.lit(1)))).cast("int").alias("rarity")).collect()
     known = {r["slot"]: r["rarity"] for r in counted}
     return F.from_json(F.lit(str([known.get(i, 0) for i in range(SLOTS)])), "array<int>")
@@ -46,9 +50,11 @@ def similar_lines(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
     The words of each line are ordered by rarity (how often all lines use the slot of a count
     table of fixed size that a word falls in, then by hash). Two similar lines share a word
     among the first n - ceil(threshold * n) + 1 of each; lines that share such a word and pass
-    the length and positional filters are verified on their words. A first round compares each
-    line with the earliest line of each of its prefix words alone, which settles the members of
-    large groups; only lines still open meet all earlier lines.
+    the length and positional filters are verified on their words. A line's sketch is 64
+    parities of its words: each word that only one of two lines has flips one of them, so
+    sketches that differ in more bits than the threshold allows words rule a pair out. A first
+    round compares each line with the earliest line of each of its prefix words alone, which
+    settles the members of large groups; only lines still open meet all earlier lines.
     """
     table = rarity_table(lines)
 
@@ -57,32 +63,40 @@ def similar_lines(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
         rarity = F.element_at(table, (F.pmod(h, F.lit(SLOTS)) + 1).cast("int")).cast("long")
         return F.shiftleft(rarity, 50).bitwiseOR(h.bitwiseAND(F.lit((1 << 50) - 1)))
 
-    ordered = lines.select("place", F.xxhash64("line").alias("line_id"), F.array_sort(F.transform(line_words(F.col("line")), token)).alias("tokens"))
+    ordered = lines.select("place", F.xxhash64("line").alias("line_id"), F.sort_array(F.transform(line_words(F.col("line")), token)).alias("tokens"))
     sized = ordered.withColumn("n", F.size("tokens")).where("n > 0")
+    # The low bits of a token choose its slot, and so its rarity; the next six are free.
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, 16).bitwiseAND(F.lit(63)).cast("int"))
+    sketch = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, t: s.bitwiseXOR(bit(t)))
     ahead = F.slice("tokens", F.lit(1), F.col("n") - _least_share(F.col("n"), threshold) + 1)
-    prefix = sized.select("line_id", "place", "n", F.posexplode(ahead).alias("at", "token"))
+    prefix = sized.select("line_id", "place", "n", sketch.alias("sketch"), F.posexplode(ahead).alias("at", "token"))
     by_word = Window.partitionBy("token").orderBy("place")
-    met = prefix.withColumns({"first": F.first(F.struct("line_id", "n", "at")).over(by_word), "next": F.lead("line_id").over(by_word)})
+    met = prefix.withColumns({"first": F.first(F.struct("line_id", "n", "at", "sketch")).over(by_word), "next": F.lead("line_id").over(by_word)})
     met = met.where("first.line_id <> line_id or next is not null").drop("next")
     met = materialize(met, "line-prefixes")
-    def possible(n: Column, at: Column, n2: Column, at2: Column) -> Column:
+
+    def possible(n: Column, at: Column, sketch: Column, n2: Column, at2: Column, sketch2: Column) -> Column:
         length = F.least(n, n2) >= _least_share(F.greatest(n, n2), threshold)
-        return length & (1 + F.least(n - at - 1, n2 - at2 - 1) >= _least_overlap(n, n2, threshold))
+        need = _least_overlap(n, n2, threshold)
+        return length & (1 + F.least(n - at - 1, n2 - at2 - 1) >= need) & (F.bit_count(sketch.bitwiseXOR(sketch2)) <= n + n2 - 2 * need)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = lines.select(F.xxhash64("line").alias("later"), F.col("line").alias("a"))
-        b = lines.select(F.xxhash64("line").alias("earlier"), F.col("line").alias("b"))
-        both = pairs.join(a, "later").join(b, "earlier").select("later", line_words(F.col("a")).alias("a"), line_words(F.col("b")).alias("b"))
+        """The later lines of the pairs that are similar. A line's text is sent once for each pair."""
+        pairs = materialize(pairs.distinct(), "line-pairs")
+        ends = pairs.select("later", "earlier", F.explode(F.array("later", "earlier")).alias("end"))
+        texts = lines.select(F.xxhash64("line").alias("end"), "line")
+        sides = ends.join(texts, "end").select("later", "earlier", (F.col("end") == F.col("later")).alias("is_later"), line_words(F.col("line")).alias("words"))
+        both = sides.groupBy("later", "earlier").agg(F.first(F.when(F.col("is_later"), F.col("words")), True).alias("a"), F.first(F.when(~F.col("is_later"), F.col("words")), True).alias("b"))
         shared = F.size(F.array_intersect("a", "b"))
         return both.where(shared >= F.lit(threshold) * (F.size("a") + F.size("b") - shared) - 1e-9).select(F.col("later").alias("line_id")).distinct()
 
-    star = met.where("first.line_id <> line_id").where(possible(F.col("n"), F.col("at"), F.col("first.n"), F.col("first.at")))
-    settled = materialize(verify(star.select(F.col("line_id").alias("later"), F.col("first.line_id").alias("earlier")).distinct()), "lines-settled")
+    star = met.where("first.line_id <> line_id").where(possible(F.col("n"), F.col("at"), F.col("sketch"), F.col("first.n"), F.col("first.at"), F.col("first.sketch")))
+    settled = materialize(verify(star.select(F.col("line_id").alias("later"), F.col("first.line_id").alias("earlier"))), "lines-settled")
     probe = met.join(settled, "line_id", "left_anti").where("first.line_id <> line_id")
-    probe = probe.select("token", F.col("line_id").alias("later"), F.col("place").alias("place2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("first.line_id").alias("tried"))
+    probe = probe.select("token", F.col("line_id").alias("later"), F.col("place").alias("place2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("sketch").alias("sketch2"), F.col("first.line_id").alias("tried"))
     rest = met.drop("first").join(probe, "token").where("place < place2 and line_id <> tried")
-    rest = rest.where(possible(F.col("n2"), F.col("at2"), F.col("n"), F.col("at"))).select("later", F.col("line_id").alias("earlier")).distinct()
-    return settled.union(verify(rest))
+    rest = rest.where(possible(F.col("n2"), F.col("at2"), F.col("sketch2"), F.col("n"), F.col("at"), F.col("sketch")))
+    return settled.union(verify(rest.select("later", F.col("line_id").alias("earlier"))))
 
 
 def remove_similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,10 +116,9 @@ def remove_similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str =
     owner = F.coalesce(F.col(f"doc.{id_col}").cast("long"), F.lit(2**63 - 1)).alias("owner")
     rows = rows.select("doc", owner, F.split(F.col(f"doc.{text_col}"), "\n").alias("lines"))
     worded = rows.select("owner", F.posexplode(F.array_distinct("lines")).alias("pos", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    place = F.col("owner").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("pos")
-    lines = worded.select("owner", "line", place.cast("decimal(38,0)").alias("place")).groupBy("line").agg(F.min("owner").alias("owner"), F.min("place").alias("place"))
+    lines = worded.groupBy("line").agg(F.min(F.struct("owner", "pos")).alias("place")).select("line", "place.owner", "place")
     lines = materialize(lines, "lines")
-    gone = similar_lines(lines, threshold).select(F.col("line_id").alias("gone_id"))
+    gone = materialize(similar_lines(lines, threshold).select(F.col("line_id").alias("gone_id")), "lines-gone")
     judged = lines.select(F.xxhash64("line").alias("line_id"), F.col("owner").alias("first_owner")).join(gone, F.col("line_id") == F.col("gone_id"), "left")
     occurs = worded.select("owner", F.xxhash64("line").alias("occurs_id"))
     removed = occurs.join(judged, F.col("occurs_id") == F.col("line_id")).where("gone_id is not null or first_owner < owner")
