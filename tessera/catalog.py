@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.plans import queries as plans
+from tessera.plans import record_queries  # noqa: F401  registers its queries
 
 
 def queries() -> dict:
