@@ -12,7 +12,9 @@ SLOTS = 1 << 16
 
 
 def _split(line: Column) -> Column:
-    return F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " ")
+    # Translating costs far more than looking for the rare characters to translate.
+    odd = line.contains("\t") | line.contains("\x0b") | line.contains("\x0c") | line.contains("\r")
+    return F.split(F.when(odd, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line), " ")
 
 
 def line_words(line: Column) -> Column:
@@ -34,7 +36,7 @@ def rarity_table(lines: DataFrame) -> Column:
 
     The words of all lines are counted in Spark by slot; the 65,536 numbers become a constant.
     """
-    slots = lines.select(F.explode(_split(F.col("line"))).alias("word")).select(F.pmod(F.xxhash64("word"), F.lit(SLOTS)).alias("slot"))
+    slots = lines.select(F.explode(_split(F.col("line"))).alias("word")).select(F.xxhash64("word").bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))
     counted = slots.groupBy("slot").agg(F.floor(16 * F.log2(F.count(F.lit(1)))).cast("int").alias("rarity")).collect()
     known = {r["slot"]: r["rarity"] for r in counted}
     return F.from_json(F.lit(str([known.get(i, 0) for i in range(SLOTS)])), "array<int>")
@@ -43,9 +45,10 @@ def rarity_table(lines: DataFrame) -> Column:
 def similar_lines(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Which distinct lines are similar to an earlier one.
 
-    ``lines`` has ``line`` and ``place``, the place of its first occurrence. Returns ``line_id``
-    (a 64-bit hash of the line) of every line whose set of words has a Jaccard similarity of at
-    least ``threshold`` with that of an earlier line.
+    ``lines`` has ``line``, ``line_id`` (its 64-bit hash), and ``owner`` and ``pos``, the place of
+    its first occurrence. Returns ``line_id`` of every line whose set of words has a Jaccard
+    similarity of at least ``threshold`` with that of an earlier line; of two at one place, the
+    line with the smaller hash is earlier.
 
     The words of each line are ordered by rarity (how often all lines use the slot of a count
     table of fixed size that a word falls in, then by hash). Two similar lines share a word
@@ -54,47 +57,50 @@ def similar_lines(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
     parities of its words: each word that only one of two lines has flips one of them, so
     sketches that differ in more bits than the threshold allows words rule a pair out. A first
     round compares each line with the earliest line of each of its prefix words alone, which
-    settles the members of large groups; only lines still open meet all earlier lines.
+    settles the members of large groups; only lines still open meet the lines between.
     """
     table = rarity_table(lines)
 
     def token(word: Column) -> Column:
         h = F.xxhash64(word)
-        rarity = F.element_at(table, (F.pmod(h, F.lit(SLOTS)) + 1).cast("int")).cast("long")
+        rarity = F.element_at(table, (h.bitwiseAND(F.lit(SLOTS - 1)) + 1).cast("int")).cast("long")
         return F.shiftleft(rarity, 50).bitwiseOR(h.bitwiseAND(F.lit((1 << 50) - 1)))
 
-    ordered = lines.select("place", F.xxhash64("line").alias("line_id"), F.sort_array(F.transform(line_words(F.col("line")), token)).alias("tokens"))
-    sized = ordered.withColumn("n", F.size("tokens")).where("n > 0")
+    words = F.array_remove(_split(F.col("line")), "")
+    ordered = lines.select("line_id", "owner", "pos", F.sort_array(F.array_distinct(F.transform(words, token))).alias("tokens"))
+    sized = ordered.withColumn("n", F.size("tokens"))
     # The low bits of a token choose its slot, and so its rarity; the next six are free.
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, 16).bitwiseAND(F.lit(63)).cast("int"))
     sketch = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, t: s.bitwiseXOR(bit(t)))
     ahead = F.slice("tokens", F.lit(1), F.col("n") - _least_share(F.col("n"), threshold) + 1)
-    prefix = sized.select("line_id", "place", "n", sketch.alias("sketch"), F.posexplode(ahead).alias("at", "token"))
-    by_word = Window.partitionBy("token").orderBy("place")
-    met = prefix.withColumns({"first": F.first(F.struct("line_id", "n", "at", "sketch")).over(by_word), "next": F.lead("line_id").over(by_word)})
-    met = met.where("first.line_id <> line_id or next is not null").drop("next")
-    met = materialize(met, "line-prefixes")
+    prefix = sized.select("line_id", "owner", "pos", "n", sketch.alias("sketch"), F.posexplode(ahead).alias("at", "token"))
 
     def possible(n: Column, at: Column, sketch: Column, n2: Column, at2: Column, sketch2: Column) -> Column:
         length = F.least(n, n2) >= _least_share(F.greatest(n, n2), threshold)
         need = _least_overlap(n, n2, threshold)
         return length & (1 + F.least(n - at - 1, n2 - at2 - 1) >= need) & (F.bit_count(sketch.bitwiseXOR(sketch2)) <= n + n2 - 2 * need)
 
+    by_word = Window.partitionBy("token").orderBy("owner", "pos", "line_id")
+    so_far = by_word.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = prefix.withColumns({"rank": F.row_number().over(by_word), "more": F.lead(F.lit(True), 1, False).over(by_word)} | {f"{c}1": F.first(c).over(so_far) for c in ("line_id", "n", "at", "sketch")})
+    star = F.when(possible(F.col("n"), F.col("at"), F.col("sketch"), F.col("n1"), F.col("at1"), F.col("sketch1")), F.col("line_id1"))
+    met = met.where("rank > 1").select("token", "line_id", "n", "at", "sketch", "rank", "more", star.alias("star"))
+    # Of a word that two lines share, that pair alone is left to look at.
+    met = materialize(met.where("star is not null or more or rank > 2"), "line-prefixes")
+
     def verify(pairs: DataFrame) -> DataFrame:
         """The later lines of the pairs that are similar. A line's text is sent once for each pair."""
         pairs = materialize(pairs.distinct(), "line-pairs")
-        ends = pairs.select("later", "earlier", F.explode(F.array("later", "earlier")).alias("end"))
-        texts = lines.select(F.xxhash64("line").alias("end"), "line")
-        sides = ends.join(texts, "end").select("later", "earlier", (F.col("end") == F.col("later")).alias("is_later"), line_words(F.col("line")).alias("words"))
+        ends = pairs.select("later", "earlier", F.explode(F.array("later", "earlier")).alias("line_id"))
+        sides = ends.join(lines.select("line_id", "line"), "line_id").select("later", "earlier", (F.col("line_id") == F.col("later")).alias("is_later"), line_words(F.col("line")).alias("words"))
         both = sides.groupBy("later", "earlier").agg(F.first(F.when(F.col("is_later"), F.col("words")), True).alias("a"), F.first(F.when(~F.col("is_later"), F.col("words")), True).alias("b"))
         shared = F.size(F.array_intersect("a", "b"))
         return both.where(shared >= F.lit(threshold) * (F.size("a") + F.size("b") - shared) - 1e-9).select(F.col("later").alias("line_id")).distinct()
 
-    star = met.where("first.line_id <> line_id").where(possible(F.col("n"), F.col("at"), F.col("sketch"), F.col("first.n"), F.col("first.at"), F.col("first.sketch")))
-    settled = materialize(verify(star.select(F.col("line_id").alias("later"), F.col("first.line_id").alias("earlier"))), "lines-settled")
-    probe = met.join(settled, "line_id", "left_anti").where("first.line_id <> line_id")
-    probe = probe.select("token", F.col("line_id").alias("later"), F.col("place").alias("place2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("sketch").alias("sketch2"), F.col("first.line_id").alias("tried"))
-    rest = met.drop("first").join(probe, "token").where("place < place2 and line_id <> tried")
+    settled = materialize(verify(met.where("star is not null").select(F.col("line_id").alias("later"), F.col("star").alias("earlier"))), "lines-settled")
+    probe = met.where("rank > 2").join(settled, "line_id", "left_anti")
+    probe = probe.select("token", F.col("line_id").alias("later"), F.col("rank").alias("rank2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("sketch").alias("sketch2"))
+    rest = met.where("more").join(probe, "token").where("rank < rank2")
     rest = rest.where(possible(F.col("n2"), F.col("at2"), F.col("sketch2"), F.col("n"), F.col("at"), F.col("sketch")))
     return settled.union(verify(rest.select("later", F.col("line_id").alias("earlier"))))
 
@@ -109,19 +115,21 @@ def remove_similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str =
     ``n_lines``, ``n_removed`` and ``kept_text`` (null for a null text, empty for an empty one).
 
     A null id is later than all others. Rows with equal ids are one document to each other: a
-    line is not removed for standing in both. Copies of a line become one row before the join,
-    so no group of copies meets in one task.
+    line is not removed for standing in both, and the smaller of its positions counts. Copies of
+    a line become one row before the join, so no group of copies meets in one task.
     """
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
     owner = F.coalesce(F.col(f"doc.{id_col}").cast("long"), F.lit(2**63 - 1)).alias("owner")
     rows = rows.select("doc", owner, F.split(F.col(f"doc.{text_col}"), "\n").alias("lines"))
     worded = rows.select("owner", F.posexplode(F.array_distinct("lines")).alias("pos", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    lines = worded.groupBy("line").agg(F.min(F.struct("owner", "pos")).alias("place")).select("line", "place.owner", "place")
-    lines = materialize(lines, "lines")
-    gone = materialize(similar_lines(lines, threshold).select(F.col("line_id").alias("gone_id")), "lines-gone")
-    judged = lines.select(F.xxhash64("line").alias("line_id"), F.col("owner").alias("first_owner")).join(gone, F.col("line_id") == F.col("gone_id"), "left")
-    occurs = worded.select("owner", F.xxhash64("line").alias("occurs_id"))
-    removed = occurs.join(judged, F.col("occurs_id") == F.col("line_id")).where("gone_id is not null or first_owner < owner")
+    worded = worded.withColumn("line_id", F.xxhash64("line"))
+    # Places are few bytes: only they are grouped, first within a document, and texts move once.
+    occurs = materialize(worded.groupBy("line_id", "owner").agg(F.min("pos").alias("pos")), "line-places")
+    first = occurs.groupBy("line_id").agg(F.min("owner").alias("owner"), F.min_by("pos", "owner").alias("pos"))
+    lines = materialize(worded.join(first, ["line_id", "owner", "pos"]).dropDuplicates(["line_id", "owner", "pos"]), "lines")
+    gone = materialize(similar_lines(lines, threshold), "lines-gone")
+    judged = first.select("line_id", F.col("owner").alias("first_owner")).join(gone.select(F.col("line_id").alias("gone_id")), F.col("line_id") == F.col("gone_id"), "left")
+    removed = occurs.join(judged, "line_id").where("gone_id is not null or first_owner < owner")
     removed = removed.groupBy(F.col("owner").alias("removed_owner")).agg(F.collect_set("line_id").alias("removed"))
     joined = rows.join(removed, rows.owner == removed.removed_owner, "left").withColumn("repeats", F.size(F.array_distinct("lines")) < F.size("lines"))
 
