@@ -9,6 +9,8 @@ from tessera.session import materialize
 
 #: Slots of the table of word counts. Its size is fixed; words that share a slot share a rarity.
 SLOTS = 1 << 16
+#: As many 64-bit ids are sent to every executor (8 MB); more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def _split(line: Column) -> Column:
@@ -98,7 +100,8 @@ def similar_lines(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
         return both.where(shared >= F.lit(threshold) * (F.size("a") + F.size("b") - shared) - 1e-9).select(F.col("later").alias("line_id")).distinct()
 
     settled = materialize(verify(met.where("star is not null").select(F.col("line_id").alias("later"), F.col("star").alias("earlier"))), "lines-settled")
-    probe = met.where("rank > 2").join(settled, "line_id", "left_anti")
+    few = settled.count() <= MOST_BROADCAST
+    probe = met.where("rank > 2").join(F.broadcast(settled) if few else settled, "line_id", "left_anti")
     probe = probe.select("token", F.col("line_id").alias("later"), F.col("rank").alias("rank2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("sketch").alias("sketch2"))
     rest = met.where("more").join(probe, "token").where("rank < rank2")
     rest = rest.where(possible(F.col("n2"), F.col("at2"), F.col("sketch2"), F.col("n"), F.col("at"), F.col("sketch")))
