@@ -74,8 +74,10 @@ def similar_lines(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
     # The low bits of a token choose its slot, and so its rarity; the next six are free.
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, 16).bitwiseAND(F.lit(63)).cast("int"))
     sketch = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, t: s.bitwiseXOR(bit(t)))
+    # Its own column below the explode, or Spark works it out again for each word.
+    sized = sized.withColumn("sketch", sketch)
     ahead = F.slice("tokens", F.lit(1), F.col("n") - _least_share(F.col("n"), threshold) + 1)
-    prefix = sized.select("line_id", "owner", "pos", "n", sketch.alias("sketch"), F.posexplode(ahead).alias("at", "token"))
+    prefix = sized.select("line_id", "owner", "pos", "n", "sketch", F.posexplode(ahead).alias("at", "token"))
 
     def possible(n: Column, at: Column, sketch: Column, n2: Column, at2: Column, sketch2: Column) -> Column:
         length = F.least(n, n2) >= _least_share(F.greatest(n, n2), threshold)
