@@ -26,11 +26,11 @@ def line_words(line: Column) -> Column:
 
 def _least_overlap(a: Column, b: Column, threshold: float) -> Column:
     """Shared words that sets of ``a`` and ``b`` words need for the threshold."""
-    return F.ceil(F.round(threshold / (1 + threshold) * (a + b), 9))
+    return F.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
 
 
 def _least_share(n: Column, threshold: float) -> Column:
-    return F.ceil(F.round(n * threshold, 9)).cast("int")
+    return F.ceil(n * threshold - 1e-9).cast("int")
 
 
 def rarity_table(lines: DataFrame) -> Column:
