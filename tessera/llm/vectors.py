@@ -153,9 +153,12 @@ class Tree:
         self.ids, self.first = ids[order][by_point], np.searchsorted(place.ravel()[by_point], np.arange(len(self.rows) + 1))
         squared = (self.rows**2).sum(axis=1)
         self.length = squared.max()
+        self.lengths = np.sqrt(squared)
         self.wide = np.column_stack([self.rows, np.sqrt(np.maximum(0, self.length - squared))])
         self.leaf = leaf
-        self.root = self._build(np.arange(len(self.rows)), np.random.default_rng(len(self.rows)))
+        # Where squares overflow no distance prunes, and the whole shard is one leaf.
+        every = np.arange(len(self.rows))
+        self.root = self._build(every, np.random.default_rng(len(self.rows))) if np.isfinite(4 * self.length) else every
 
     def _build(self, at: np.ndarray, rng):
         if len(at) <= self.leaf:
@@ -170,41 +173,63 @@ class Tree:
         return vantage, middle, self._build(rest[inside], rng), self._build(rest[~inside], rng)
 
     def search(self, queries: np.ndarray, keep: int, factor: float = 1.0) -> np.ndarray:
-        """Points with the largest inner products, ``keep`` for each query (-1: none left)."""
+        """Points with the largest inner products, ``keep`` for each query (-1: none left).
+
+        Inner products are compared as summed from first to last component, ties by smallest id.
+        """
         self.q, self.factor = queries, factor
-        self.norm = (queries**2).sum(axis=1) + self.length
-        self.best = np.full((len(queries), keep), np.inf)
+        squared = (queries**2).sum(axis=1)
+        # What summing in another order can change in an inner product, per length of the point.
+        self.doubt = 4 * queries.shape[1] * np.finfo(float).eps * np.sqrt(squared)
+        self.norm = squared + self.length
+        # What rounding can change in a difference of distances: the root of that in their squares.
+        self.slack = 4 * np.sqrt(4 * (queries.shape[1] + 1) * np.finfo(float).eps * self.norm)
+        self.best = np.full((len(queries), keep), -np.inf)
         self.point = np.full((len(queries), keep), -1)
         self._visit(self.root, np.arange(len(queries)))
         return self.point
 
     def _offer(self, who: np.ndarray, points: np.ndarray) -> np.ndarray:
-        far = np.sqrt(np.maximum(0, self.norm[who][:, None] - 2 * (self.q[who] @ self.rows[points].T)))
         keep = self.best.shape[1]
-        better = np.flatnonzero(far.min(axis=1) < self.best[who, -1])
-        if len(better):
-            some = who[better]
-            all_far = np.hstack([self.best[some], far[better]])
-            all_points = np.hstack([self.point[some], np.broadcast_to(points, (len(some), len(points)))])
-            order = np.argpartition(all_far, keep - 1, axis=1)[:, :keep]
-            order = np.take_along_axis(order, np.argsort(np.take_along_axis(all_far, order, 1), axis=1), 1)
-            self.best[some], self.point[some] = np.take_along_axis(all_far, order, 1), np.take_along_axis(all_points, order, 1)
-        return far
+        near = self.q[who] @ self.rows[points].T
+        doubt = self.doubt[who][:, None] * self.lengths[points]
+        last = self.best[who, -1]
+        least = np.where(np.isnan(last), np.inf, last)
+        if len(points) > keep:
+            sure = near - doubt
+            least = np.maximum(least, np.partition(np.where(np.isnan(sure), -np.inf, sure), -keep, axis=1)[:, -keep])
+        # Not below, rather than above: a bound that is not a number rules nothing out.
+        i, j = np.nonzero(~(near + doubt < least[:, None]))
+        if len(i):
+            new = np.concatenate([np.cumsum(self.q[who[i[at : at + 65536]]] * self.rows[points[j[at : at + 65536]]], axis=1)[:, -1] for at in range(0, len(i), 65536)])
+            some, slot = np.unique(i, return_inverse=True)
+            mine = who[some]
+            group = np.concatenate([np.repeat(np.arange(len(mine)), keep), slot])
+            score = np.concatenate([self.best[mine].ravel(), new])
+            point = np.concatenate([self.point[mine].ravel(), points[j]])
+            name = self.ids[self.first[np.maximum(point, 0)]]
+            order = np.lexsort((name, -score, ~np.isnan(score), point < 0, group))
+            begin = np.searchsorted(group[order], np.arange(len(mine)))
+            take = order[begin[:, None] + np.arange(keep)]
+            self.best[mine], self.point[mine] = score[take], point[take]
+        return near
 
     def _visit(self, node, who: np.ndarray) -> None:
         if not len(who):
             return
         if isinstance(node, np.ndarray):
-            self._offer(who, node)
+            for at in range(0, len(node), self.leaf):
+                self._offer(who, node[at : at + self.leaf])
             return
         vantage, middle, inner, outer = node
-        far = self._offer(who, np.array([vantage]))[:, 0]
+        far = np.sqrt(np.maximum(0, self.norm[who] - 2 * self._offer(who, np.array([vantage]))[:, 0]))
         gap = far - middle
         inside = gap <= 0
         for mine, first, second in ((inside, inner, outer), (~inside, outer, inner)):
             self._visit(first, who[mine])
             # By the triangle inequality nothing beyond the shell is nearer than the gap.
-            open_ = np.abs(gap[mine]) <= self.factor * self.best[who[mine], -1] + 1e-7
+            radius = np.sqrt(np.maximum(0, self.norm[who[mine]] - 2 * self.best[who[mine], -1]))
+            open_ = ~(np.abs(gap[mine]) > self.factor * radius + self.slack[who[mine]])
             self._visit(second, who[mine][open_])
 
 
@@ -239,8 +264,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, fact
                 ids, asking = np.frombuffer(row.ids, np.int64), np.frombuffer(row.query_ids, np.int64)
                 tree = Tree(ids, np.frombuffer(row.rows, np.float64).reshape(len(ids), -1))
                 questions = np.frombuffer(row.query_rows, np.float64).reshape(len(asking), -1)
-                # A few more than k: the query itself, and scores that differ in the last bit.
-                points = tree.search(questions, k + 8, factor)
+                # One more than k, for the query itself.
+                points = tree.search(questions, k + 1, factor)
                 for i in range(len(asking)):
                     found = points[i][points[i] >= 0]
                     score = np.cumsum(questions[i] * tree.rows[found], axis=1)[:, -1]
