@@ -33,8 +33,10 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, passes:
 
     Rows with equal labels link if their cosine is at least ``threshold``. Each pass orders the
     vectors of each label by a string of random hyperplane hashes, cuts the order into blocks by
-    rank and compares each vector with the ``window`` that follow it. Verified pairs of all
-    passes are united into components. Inside each component all pairs are then compared in
+    rank and compares each vector with the ``window`` that follow it. There are at least ``passes``,
+    and as many as :func:`passes_needed` says for the largest label; where that exceeds the window,
+    further rounds of as many passes follow until one joins no two components. Verified pairs of
+    all passes are united into components. Inside each component all pairs are then compared in
     blocks, so a group denser than the window keeps every link.
 
     A null label, or a vector that :func:`usable` refuses, links with nothing: no links, itself
@@ -47,8 +49,19 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, passes:
     valid = rows.where(able)
     classes = valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     classes = materialize(classes, "vector-classes")
-    links = _pass_links(classes, threshold, passes, bits, window, seed)
-    parts = connected_components(links)
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    passes, bits = passes_needed(largest, threshold, passes, bits, window)
+    parts = connected_components(_pass_links(classes, threshold, passes, bits, window, seed))
+    # A label within the window is compared whole by one pass; in larger ones a pass can miss.
+    while largest > window + 1:
+        seed += 1
+        parts = materialize(parts, "vector-parts")
+        ends = [parts.select(F.col("vertex").alias(c), F.col("component").alias(f"{c}_part")) for c in ("src", "dst")]
+        more = _pass_links(classes, threshold, passes, bits, window, seed).join(ends[0], "src", "left").join(ends[1], "dst", "left")
+        more = materialize(more.where(F.coalesce("src_part", "src") != F.coalesce("dst_part", "dst")).select("src", "dst"), "vector-links")
+        if more.isEmpty():
+            break
+        parts = connected_components(parts.select(F.col("vertex").alias("src"), F.col("component").alias("dst")).union(more))
     grouped = classes.join(parts, classes.rep == parts.vertex).select("rep", "n", "embedding", "component")
     counted = _count_links(grouped, threshold)
     known = classes.join(counted.withColumnRenamed("rep", "linked"), F.col("rep") == F.col("linked"), "left").select(
@@ -59,6 +72,20 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, passes:
     return done.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
+def passes_needed(largest: int, threshold: float, passes: int, bits: int, window: int, missed: float = 1e-3) -> tuple[int, int]:
+    """Passes and bits such that a pair at ``threshold`` is missed with a chance of at most ``missed``.
+
+    A pass brings a pair together if it agrees in so many leading bits that no more than ``window``
+    vectors of the label share them: log2(largest / window), and two more for uneven shares. This
+    takes directions to be spread; where they crowd, further rounds have to find what is left.
+    """
+    if largest <= window + 1:
+        return passes, bits
+    depth = np.log2(largest / window) + 2
+    meet = (1 - np.arccos(threshold) / np.pi) ** depth
+    return max(passes, int(np.ceil(np.log(missed) / np.log1p(-meet)))), min(62, max(bits, int(np.ceil(depth)) + 4))
+
+
 def _pass_links(classes: DataFrame, threshold: float, passes: int, bits: int, window: int, seed: int) -> DataFrame:
     def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
