@@ -9,8 +9,10 @@ from tessera.session import materialize
 
 #: Slots of the table of word counts. Its size is fixed; words that share a slot share a rarity.
 SLOTS = 1 << 16
-#: As many 64-bit ids are sent to every executor (8 MB); more are joined by a shuffle.
+#: As many line numbers or pairs are sent to every executor (16 MB); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
+#: Bits of a token below its rarity.
+LOW = 56
 
 
 def _split(line: Column) -> Column:
@@ -24,90 +26,120 @@ def line_words(line: Column) -> Column:
     return F.array_remove(F.array_distinct(_split(line)), "")
 
 
-def _least_overlap(a: Column, b: Column, threshold: float) -> Column:
-    """Shared words that sets of ``a`` and ``b`` words need for the threshold."""
-    return F.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
+def has_words(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def _least_share(n: Column, threshold: float) -> Column:
-    return F.ceil(n * threshold - 1e-9).cast("int")
+def line_key(line: Column) -> list[Column]:
+    """128 bits that stand for a line's text."""
+    return [F.xxhash64(line).alias("key"), F.xxhash64(F.lit("second"), line).alias("key2")]
 
 
 def rarity_table(lines: DataFrame) -> Column:
-    """For each of the slots, sixteen times the binary logarithm of how often all lines use it.
+    """For each of the slots, twice the binary logarithm of how often all of ``line`` uses it.
 
-    The words of all lines are counted in Spark by slot; the 65,536 numbers become a constant.
+    The words of all lines are counted in Spark by slot; the counts' logarithms become a constant.
     """
     slots = lines.select(F.explode(_split(F.col("line"))).alias("word")).select(F.xxhash64("word").bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))
-    counted = slots.groupBy("slot").agg(F.floor(16 * F.log2(F.count(F.lit(1)))).cast("int").alias("rarity")).collect()
+    counted = slots.groupBy("slot").agg(F.floor(2 * F.log2(F.count(F.lit(1)))).cast("int").alias("rarity")).collect()
     known = {r["slot"]: r["rarity"] for r in counted}
-    return F.from_json(F.lit(str([known.get(i, 0) for i in range(SLOTS)])), "array<int>")
+    return F.from_json(F.lit(str([known.get(i, 0) for i in range(SLOTS)])), "array<bigint>")
+
+
+def tokenised(lines: DataFrame, table: Column, threshold: float) -> DataFrame:
+    """``lines`` with ``n`` (distinct words), ``sketch``, ``prefix`` and ``ends``.
+
+    A token is a word's rarity above 56 bits of its hash, so tokens in order are words by rarity.
+    ``prefix`` holds the first n - ceil(threshold * n) + 1 of them. ``sketch`` is 64 parities of
+    the words: each word that only one of two lines has flips one of them. ``ends`` are two hashes,
+    of the two smallest and of the two largest word hashes.
+    """
+    empty = F.xxhash64(F.lit(""))
+    hashes = F.sort_array(F.array_distinct(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w))))
+    hashed = lines.withColumn("hashes", F.array_remove(hashes, empty))
+    low = F.lit((1 << LOW) - 1)
+    token = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), LOW).bitwiseOR(h.bitwiseAND(low))
+    n = F.size("hashes")
+    one = F.lit(1).cast("long")
+    sketch = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))))
+    keep = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
+    prefix = F.slice(F.sort_array(F.transform("hashes", token)), F.lit(1), keep)
+    ends = F.array(F.xxhash64(F.slice("hashes", 1, 2)), F.xxhash64(F.slice("hashes", -F.least(n, F.lit(2)), F.lit(2))))
+    return hashed.select("*", n.alias("n"), sketch.alias("sketch"), prefix.alias("prefix"), ends.alias("ends")).drop("hashes")
+
+
+def _earlier(a: str, b: str) -> Column:
+    """Whether the place in columns ``owner, pos, no`` with prefix ``a`` is before that with ``b``."""
+    owner, pos, no = (F.col(f"{a}{c}") for c in ("owner", "pos", "no"))
+    owner2, pos2, no2 = (F.col(f"{b}{c}") for c in ("owner", "pos", "no"))
+    return (owner < owner2) | ((owner == owner2) & ((pos < pos2) | ((pos == pos2) & (no < no2))))
 
 
 def similar_lines(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Which distinct lines are similar to an earlier one.
 
-    ``lines`` has ``line``, ``line_id`` (its 64-bit hash), and ``owner`` and ``pos``, the place of
-    its first occurrence. Returns ``line_id`` of every line whose set of words has a Jaccard
-    similarity of at least ``threshold`` with that of an earlier line; of two at one place, the
-    line with the smaller hash is earlier.
-
-    The words of each line are ordered by rarity (how often all lines use the slot of a count
-    table of fixed size that a word falls in, then by hash). Two similar lines share a word
-    among the first n - ceil(threshold * n) + 1 of each; lines that share such a word and pass
-    the length and positional filters are verified on their words. A line's sketch is 64
-    parities of its words: each word that only one of two lines has flips one of them, so
-    sketches that differ in more bits than the threshold allows words rule a pair out. A first
-    round compares each line with the earliest line of each of its prefix words alone, which
-    settles the members of large groups; only lines still open meet the lines between.
+    ``lines`` has ``no``, a unique number, ``owner`` and ``pos``, the place of its first
+    occurrence, ``line`` and the columns of :func:`tokenised`. Returns ``no`` of every line whose
+    set of words has a Jaccard similarity of at least ``threshold`` with that of an earlier line;
+    of two at one place, the one with the smaller number is earlier.
+
+    Two similar lines share a word among the prefixes of both. Pairs that do, and that pass the
+    length and positional filters and the one of the sketches, which differ in no more bits than
+    the threshold allows words, are verified. The work goes in rounds, since one similar earlier
+    line settles a line for good. The first compares each line with the earliest line that has one
+    of its two ``ends``, so members of a large group of near copies meet one line and not each
+    other. The second joins the prefixes by word, the later side without settled lines, and
+    verifies the likeliest pair of each line; the third, the other pairs of lines still open.
     """
-    table = rarity_table(lines)
-
-    def token(word: Column) -> Column:
-        h = F.xxhash64(word)
-        rarity = F.element_at(table, (h.bitwiseAND(F.lit(SLOTS - 1)) + 1).cast("int")).cast("long")
-        return F.shiftleft(rarity, 50).bitwiseOR(h.bitwiseAND(F.lit((1 << 50) - 1)))
-
-    words = F.array_remove(_split(F.col("line")), "")
-    ordered = lines.select("line_id", "owner", "pos", F.sort_array(F.array_distinct(F.transform(words, token))).alias("tokens"))
-    sized = ordered.withColumn("n", F.size("tokens"))
-    # The low bits of a token choose its slot, and so its rarity; the next six are free.
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, 16).bitwiseAND(F.lit(63)).cast("int"))
-    sketch = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, t: s.bitwiseXOR(bit(t)))
-    # Its own column below the explode, or Spark works it out again for each word.
-    sized = sized.withColumn("sketch", sketch)
-    ahead = F.slice("tokens", F.lit(1), F.col("n") - _least_share(F.col("n"), threshold) + 1)
-    prefix = sized.select("line_id", "owner", "pos", "n", "sketch", F.posexplode(ahead).alias("at", "token"))
-
-    def possible(n: Column, at: Column, sketch: Column, n2: Column, at2: Column, sketch2: Column) -> Column:
-        length = F.least(n, n2) >= _least_share(F.greatest(n, n2), threshold)
-        need = _least_overlap(n, n2, threshold)
-        return length & (1 + F.least(n - at - 1, n2 - at2 - 1) >= need) & (F.bit_count(sketch.bitwiseXOR(sketch2)) <= n + n2 - 2 * need)
-
-    by_word = Window.partitionBy("token").orderBy("owner", "pos", "line_id")
-    so_far = by_word.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = prefix.withColumns({"rank": F.row_number().over(by_word), "more": F.lead(F.lit(True), 1, False).over(by_word)} | {f"{c}1": F.first(c).over(so_far) for c in ("line_id", "n", "at", "sketch")})
-    star = F.when(possible(F.col("n"), F.col("at"), F.col("sketch"), F.col("n1"), F.col("at1"), F.col("sketch1")), F.col("line_id1"))
-    met = met.where("rank > 1").select("token", "line_id", "n", "at", "sketch", "rank", "more", star.alias("star"))
-    # Of a word that two lines share, that pair alone is left to look at.
-    met = materialize(met.where("star is not null or more or rank > 2"), "line-prefixes")
+    n, m, sketch, sketch2 = F.col("n"), F.col("m"), F.col("sketch"), F.col("sketch2")
+    apart = F.bit_count(sketch.bitwiseXOR(sketch2))
+    possible = (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - 1e-9) & (apart <= F.lit((1 - threshold) / (1 + threshold)) * (n + m) + 1e-6)
+
+    def hashed(line: Column) -> Column:
+        return F.array_distinct(F.transform(_split(line), lambda w: F.when(w != "", F.xxhash64(w))))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """The later lines of the pairs that are similar. A line's text is sent once for each pair."""
-        pairs = materialize(pairs.distinct(), "line-pairs")
-        ends = pairs.select("later", "earlier", F.explode(F.array("later", "earlier")).alias("line_id"))
-        sides = ends.join(lines.select("line_id", "line"), "line_id").select("later", "earlier", (F.col("line_id") == F.col("later")).alias("is_later"), line_words(F.col("line")).alias("words"))
-        both = sides.groupBy("later", "earlier").agg(F.first(F.when(F.col("is_later"), F.col("words")), True).alias("a"), F.first(F.when(~F.col("is_later"), F.col("words")), True).alias("b"))
-        shared = F.size(F.array_intersect("a", "b"))
-        return both.where(shared >= F.lit(threshold) * (F.size("a") + F.size("b") - shared) - 1e-9).select(F.col("later").alias("line_id")).distinct()
-
-    settled = materialize(verify(met.where("star is not null").select(F.col("line_id").alias("later"), F.col("star").alias("earlier"))), "lines-settled")
+        """The later lines of the pairs that are similar. A text is sent once for each pair."""
+        sent = F.broadcast(pairs) if pairs.count() <= MOST_BROADCAST else pairs
+        late = lines.select(F.col("no").alias("later"), F.col("line").alias("a")).join(sent, "later")
+        early = lines.select(F.col("no").alias("earlier"), F.col("line").alias("b")).join(sent, "earlier")
+        both = late.join(early.select("later", "earlier", "b"), ["later", "earlier"])
+        # Blank pieces hash to null, which is no word.
+        sets = [F.array_compact(hashed(F.col(c))) for c in "ab"]
+        shared = F.size(F.array_intersect(*sets))
+        # The test is aggregated before it filters, or Spark would work the sets out again for each use.
+        tested = both.select("later", (shared >= F.lit(threshold) * (F.size(sets[0]) + F.size(sets[1]) - shared) - 1e-9).alias("similar"))
+        return tested.groupBy(F.col("later").alias("no")).agg(F.max("similar").alias("similar")).where("similar").select("no")
+
+    keyed = lines.select("no", "owner", "pos", "n", "sketch", F.explode(F.array_distinct("ends")).alias("end"))
+    hubs = keyed.groupBy("end").agg(F.min(F.struct("owner", "pos", "no", "n", "sketch")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    hubs = hubs.select("end", F.col("hub.no").alias("earlier"), F.col("hub.n").alias("m"), F.col("hub.sketch").alias("sketch2"))
+    star = keyed.join(hubs, "end").where("earlier <> no").where(possible)
+    star = star.groupBy(F.col("no").alias("later")).agg(F.min_by("earlier", apart).alias("earlier"))
+    settled = materialize(verify(materialize(star, "line-stars")), "lines-settled")
+
     few = settled.count() <= MOST_BROADCAST
-    probe = met.where("rank > 2").join(F.broadcast(settled) if few else settled, "line_id", "left_anti")
-    probe = probe.select("token", F.col("line_id").alias("later"), F.col("rank").alias("rank2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("sketch").alias("sketch2"))
-    rest = met.where("more").join(probe, "token").where("rank < rank2")
-    rest = rest.where(possible(F.col("n2"), F.col("at2"), F.col("sketch2"), F.col("n"), F.col("at"), F.col("sketch")))
-    return settled.union(verify(rest.select("later", F.col("line_id").alias("earlier"))))
+    marked = settled.withColumn("settled", F.lit(True))
+    flagged = lines.select("no", "owner", "pos", "n", "sketch", "prefix").join(F.broadcast(marked) if few else marked, "no", "left")
+    # A settled line has a negative size, which fails the filter of lengths on the later side: told
+    # apart there, not before the exchange, so that both sides of the join read one shuffle.
+    size = F.when(F.isnull("settled"), n).otherwise(-n).alias("m")
+    words = flagged.select("no", "owner", "pos", n, size, "sketch", F.posexplode("prefix").alias("at", "token"))
+    # Columns that cannot be null keep Spark from adding a filter to one side alone.
+    sure = {c: F.coalesce(c, F.lit(0)) for c in ("token", "m", "sketch")}
+    words = words.withColumn("left", n - F.col("at")).withColumns(sure).select("token", "no", "owner", "pos", "m", "left", "sketch").repartition("token")
+    early = words.select("token", *[F.col(c).alias(f"early_{c}") for c in ("no", "owner", "pos", "left")], F.abs("m").alias("n"), "sketch")
+    late = words.select("token", *[F.col(c).alias(f"late_{c}") for c in ("no", "owner", "pos", "left")], "m", sketch.alias("sketch2"))
+    left = F.least("early_left", "late_left") >= F.lit(threshold / (1 + threshold)) * (n + m) - 1e-6
+    met = early.join(late, "token").where(possible & left & _earlier("early_", "late_"))
+    met = materialize(met.select(F.col("late_no").alias("later"), F.col("early_no").alias("earlier"), apart.alias("apart")), "line-pairs")
+    likely = met.groupBy("later").agg(F.min_by("earlier", F.struct("apart", "earlier")).alias("earlier"))
+    likely = materialize(likely, "line-likely")
+    found = materialize(verify(likely), "lines-found")
+    few = found.count() <= MOST_BROADCAST
+    found_ids = found.select(F.col("no").alias("later"))
+    rest = met.select("later", "earlier").join(F.broadcast(found_ids) if few else found_ids, "later", "left_anti").distinct().join(likely, ["later", "earlier"], "left_anti")
+    return settled.union(found).union(verify(materialize(rest, "line-rest")))
 
 
 def remove_similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,33 +153,41 @@ def remove_similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str =
 
     A null id is later than all others. Rows with equal ids are one document to each other: a
     line is not removed for standing in both, and the smaller of its positions counts. Copies of
-    a line become one row before the join, so no group of copies meets in one task.
+    a line become one row before the join, so no group of copies meets in one task. Lines are
+    identified by 128 bits of hash and a line's words by 64; the verification reads words. Work
+    on a row is linear in its text, but for the sorting of its lines.
     """
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    text = F.col(f"doc.{text_col}")
     owner = F.coalesce(F.col(f"doc.{id_col}").cast("long"), F.lit(2**63 - 1)).alias("owner")
-    rows = rows.select("doc", owner, F.split(F.col(f"doc.{text_col}"), "\n").alias("lines"))
-    worded = rows.select("owner", F.posexplode(F.array_distinct("lines")).alias("pos", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    worded = worded.withColumn("line_id", F.xxhash64("line"))
-    # Places are few bytes: only they are grouped, first within a document, and texts move once.
-    occurs = materialize(worded.groupBy("line_id", "owner").agg(F.min("pos").alias("pos")), "line-places")
-    first = occurs.groupBy("line_id").agg(F.min("owner").alias("owner"), F.min_by("pos", "owner").alias("pos"))
-    lines = materialize(worded.join(first, ["line_id", "owner", "pos"]).dropDuplicates(["line_id", "owner", "pos"]), "lines")
-    gone = materialize(similar_lines(lines, threshold), "lines-gone")
-    judged = first.select("line_id", F.col("owner").alias("first_owner")).join(gone.select(F.col("line_id").alias("gone_id")), F.col("line_id") == F.col("gone_id"), "left")
-    removed = occurs.join(judged, "line_id").where("gone_id is not null or first_owner < owner")
-    removed = removed.groupBy(F.col("owner").alias("removed_owner")).agg(F.collect_set("line_id").alias("removed"))
-    joined = rows.join(removed, rows.owner == removed.removed_owner, "left").withColumn("repeats", F.size(F.array_distinct("lines")) < F.size("lines"))
-
-    def stays(line: Column, i: Column) -> Column:
-        listed = F.coalesce(F.array_contains("removed", F.xxhash64(line)), F.lit(False))
-        above = F.col("repeats") & (F.array_position("lines", line) <= i)
-        return ~(listed | above) | ~line.rlike(r"[^\x20\x09-\x0D]")
-
-    kept = joined.withColumn("kept", F.filter("lines", stays))
-    return kept.select(
+    rows = rows.select("doc", owner, F.xxhash64(text).alias("row"), F.xxhash64(F.lit("second"), text).alias("row2"), F.split(text, "\n").alias("lines"))
+    # A line without words gets its number behind a line end, so that array_distinct keeps it.
+    apart = F.transform("lines", lambda line, i: F.when(has_words(line), line).otherwise(F.concat(line, F.lit("\n"), i)))
+    rows = rows.withColumn("repeats", F.size(F.array_distinct("lines")) < F.size("lines"))
+    rows = rows.withColumn("distinct", F.when(F.col("repeats"), F.array_distinct(apart)).otherwise(F.col("lines")))
+    each = rows.select("owner", "row", "row2", F.posexplode("distinct").alias("pos", "line")).where(has_words(F.col("line")) & ~F.col("line").contains("\n"))
+    table = rarity_table(each.select("line"))
+
+    keyed = each.select(*line_key(F.col("line")), "owner", "pos", "line")
+    nth = F.row_number().over(Window.partitionBy("key", "key2").orderBy("owner", "pos"))
+    first = keyed.withColumn("nth", nth).where("nth = 1").drop("nth")
+    lines = tokenised(first, table, threshold).withColumn("no", F.monotonically_increasing_id())
+    lines = materialize(lines, "lines")
+
+    gone = materialize(similar_lines(lines, threshold), "lines-gone").withColumn("gone", F.lit(True))
+    judged = lines.select("no", "key", "key2", F.col("owner").alias("first")).join(gone, "no", "left").drop("no")
+    places = each.select(*line_key(F.col("line")), "owner", "row", "row2", "pos")
+    removed = places.join(judged, ["key", "key2"]).where("gone or first < owner")
+    names = {c: f"of_{c}" for c in ("owner", "row", "row2")}
+    removed = removed.groupBy(*[F.col(c).alias(a) for c, a in names.items()]).agg(F.collect_set("pos").alias("removed"))
+    joined = rows.join(removed, [F.col(c) == F.col(a) for c, a in names.items()], "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("distinct") - 1), F.coalesce("removed", F.array().cast("array<int>")))
+    kept = F.transform(left, lambda i: F.get("distinct", i))
+    kept = F.when(F.col("repeats"), F.transform(kept, lambda line: F.substring_index(line, "\n", 1))).otherwise(kept)
+    return joined.withColumn("kept", kept).select(
         "doc",
         F.col(f"doc.{id_col}").alias(id_col),
-        F.greatest(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).cast("long").alias("n_removed"),
         F.when(F.col("lines").isNotNull(), F.array_join("kept", "\n")).alias("kept_text"),
     )
