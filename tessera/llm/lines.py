@@ -99,11 +99,11 @@ def similar_lines(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
         return F.array_distinct(F.transform(_split(line), lambda w: F.when(w != "", F.xxhash64(w))))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """The later lines of the pairs that are similar. A text is sent once for each pair."""
+        """The later lines of the pairs that are similar. A later text is sent once, an earlier one for each pair."""
         sent = F.broadcast(pairs) if pairs.count() <= MOST_BROADCAST else pairs
-        late = lines.select(F.col("no").alias("later"), F.col("line").alias("a")).join(sent, "later")
+        late = lines.select(F.col("no").alias("later"), F.col("line").alias("a")).join(sent.select("later"), "later", "left_semi")
         early = lines.select(F.col("no").alias("earlier"), F.col("line").alias("b")).join(sent, "earlier")
-        both = late.join(early.select("later", "earlier", "b"), ["later", "earlier"])
+        both = late.join(early.select("later", "b"), "later")
         # Blank pieces hash to null, which is no word.
         sets = [F.array_compact(hashed(F.col(c))) for c in "ab"]
         shared = F.size(F.array_intersect(*sets))
