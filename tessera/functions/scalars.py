@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,7 +39,17 @@ def years(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(?:18|19|20)\d{2}\b"), F.lit(0))))
 
 
+#: Words by which a log line tells its level, the first level that fits: fixed values.
+LEVELS = {
+    "error": ("error", "failed", "exception", "traceback"),
+    "warning": ("warning", "warn"),
+    "success": ("complete", "success", "done", "finished"),
+    "primary": ("===", "starting", "begin", "---"),
+}
+
+
 def level_of(message: Column) -> Column:
     """The level a log line speaks of."""
     low = F.lower(message)
-    return F.when(low.contains("error") | low.contains("fail"), "error").when(low.contains("warn"), "warning").when(low.contains("success") | low.contains("complete"), "success").otherwise("info")
+    found = [F.when(reduce(lambda a, b: a | b, [low.contains(w) for w in words]), level) for level, words in LEVELS.items()]
+    return F.coalesce(*found, F.lit("info"))

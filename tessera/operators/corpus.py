@@ -63,11 +63,32 @@ def validation_status(score: Column) -> Column:
     return F.when(score >= 80, "excellent").when(score >= 70, "good").when(score >= 60, "acceptable").when(score >= 50, "needs_refinement").otherwise("rejected")
 
 
-def word_jaccard(texts: DataFrame, id_col: str, text: Column, least: float = 0.85) -> DataFrame:
-    """Pairs of short texts whose word sets have at least this similarity. Pairs meet on shared
-    words, so texts without one never do."""
-    sets = texts.select(F.col(id_col).alias("id"), F.array_distinct(text).alias("w"))
-    words = sets.select("id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    both = words.alias("a").join(words.alias("b"), F.expr("a.word = b.word and a.id < b.id")).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count(F.lit(1)).alias("both"))
-    score = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    return both.select("a", "b", round6(score).alias("jaccard")).where(score >= least)
+def similar_questions(questions: DataFrame, least: float = 0.85) -> DataFrame:
+    """Pairs ``a`` < ``b`` of ``id, text`` whose sets of lower-case words, parted by white space, have
+    at least this Jaccard similarity.
+
+    Words are ordered by how many texts use them; only the first n - ceil(least * n) + 1 of each
+    text, the rarest, make candidates, so a common word pairs no two texts by itself. Texts
+    without words pair with none (see :func:`is_duplicate_question`).
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""))
+    sets = questions.select("id", words.alias("w")).where(F.size("w") > 0)
+    each = sets.select("id", F.size("w").alias("n"), F.explode("w").alias("word"))
+    used = each.groupBy("word").agg(F.count(F.lit(1)).alias("used"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("used", "word"))
+    prefix = each.join(used, "word").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).select("id", "n", "word")
+    a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "word"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "word")
+    met = a.join(b, "word").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b").distinct()
+    both = met.join(sets.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+    shared = F.size(F.array_intersect("wa", "wb"))
+    score = shared / (F.size("wa") + F.size("wb") - shared)
+    return both.select("a", "b", score.alias("score")).where(F.col("score") >= least).select("a", "b", round6(F.col("score")).alias("jaccard"))
+
+
+def is_duplicate_question(questions: DataFrame, existing: DataFrame, least: float = 0.85) -> DataFrame:
+    """``id`` and ``duplicate`` of each new question: near one of ``existing``, or without words."""
+    named = questions.select("id", "text", F.lit(1).alias("kind")).unionByName(existing.select("id", "text", F.lit(0).alias("kind")))
+    keyed = named.select(F.struct("kind", "id").alias("id"), "text")
+    pairs = similar_questions(keyed, least).where("a.kind = 0 and b.kind = 1").select(F.col("b.id").alias("id")).distinct()
+    blank = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")) == 0
+    return questions.join(pairs.withColumn("near", F.lit(True)), "id", "left").select("id", (blank | F.col("near").isNotNull()).alias("duplicate"))

@@ -14,13 +14,21 @@ def employee_ids(text: Column) -> Column:
 
 
 def parse_name(name: Column) -> Column:
-    """First and last name of "Last, First M" or "First M Last"."""
+    """First, middle and last name of "Last, First M" or "First M Last", and the full name.
+
+    A single word is a first name. Only the second word of several is a middle name. The full name
+    keeps two blanks where there is no middle name.
+    """
     plain = F.trim(name)
-    parts = F.split(plain, r"\s+")
     comma = F.contains(plain, F.lit(","))
-    last = F.when(comma, F.trim(F.substring_index(plain, ",", 1))).otherwise(F.element_at(parts, -1))
-    first = F.when(comma, F.element_at(F.split(F.trim(F.substring_index(plain, ",", -1)), r"\s+"), 1)).otherwise(F.when(F.size(parts) > 1, parts[0]).otherwise(F.lit("")))
-    return F.struct(first.alias("first"), last.alias("last"))
+    words = lambda x: F.filter(F.split(F.trim(x), r"\s+"), lambda w: w != "")
+    rest = words(F.regexp_extract(plain, r"(?s)^[^,]*,(.*)$", 1))
+    every = words(plain)
+    at = lambda x, i: F.coalesce(F.get(x, F.lit(i)), F.lit(""))
+    first = F.when(comma, at(rest, 0)).otherwise(at(every, 0))
+    middle = F.when(comma, at(rest, 1)).otherwise(F.when(F.size(every) > 2, every[1]).otherwise(""))
+    last = F.when(comma, F.trim(F.substring_index(plain, ",", 1))).otherwise(F.when(F.size(every) > 1, F.element_at(every, -1)).otherwise(""))
+    return F.struct(first.alias("first"), middle.alias("middle"), last.alias("last"), F.trim(F.concat_ws(" ", first, middle, last)).alias("full"))
 
 
 def aggregate_entities(mentions: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import round6
+from tessera.session import materialize
 
 
 def cooccurrence_edges(mentions: DataFrame, min_weight: int = 2, max_mentions: int | None = None) -> DataFrame:
@@ -18,10 +19,15 @@ def cooccurrence_edges(mentions: DataFrame, min_weight: int = 2, max_mentions: i
     if max_mentions is not None:
         few = mentions.groupBy("ent").count().where(F.col("count") <= max_mentions).select("ent")
         kept = kept.join(few, "ent", "left_semi")
-    a = kept.select("doc", F.col("ent").alias("src"), F.col("type").alias("src_type"))
-    b = kept.select("doc", F.col("ent").alias("dst"), F.col("type").alias("dst_type"))
-    pairs = a.join(b, "doc").where("src < dst")
-    return pairs.groupBy("src", "dst", "src_type", "dst_type").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_weight)
+    # Entities meet as numbers in order of their names; names and types are joined to the edges.
+    names = kept.select("ent", "type").distinct().repartitionByRange("ent", "type").sortWithinPartitions("ent", "type")
+    names = materialize(names.withColumn("no", F.monotonically_increasing_id()), "entities")
+    numbered = kept.join(names, ["ent", "type"]).select("doc", "no")
+    pairs = numbered.select("doc", F.col("no").alias("a")).join(numbered.select("doc", F.col("no").alias("b")), "doc").where("a < b")
+    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_weight)
+    ends = [names.select(F.col("no").alias(n), F.col("ent").alias(e), F.col("type").alias(f"{e}_type")) for n, e in (("a", "src"), ("b", "dst"))]
+    named = counted.join(ends[0], "a").join(ends[1], "b").where("src < dst")
+    return named.select("src", "dst", "src_type", "dst_type", "weight")
 
 
 def type_pair_stats(edges: DataFrame) -> DataFrame:
@@ -35,12 +41,73 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return one.union(two)
 
 
-def ego_network(edges: DataFrame, node: str, limit: int = 50, min_weight: int = 1) -> DataFrame:
-    """The strongest neighbours of a node, with the number of all of them."""
-    near = symmetric(edges.where((F.col("src") == node) | (F.col("dst") == node))).where((F.col("node") == node) & (F.col("weight") >= min_weight))
+def neighbours_of(mentions: DataFrame, nodes: DataFrame, min_weight: int = 2) -> DataFrame:
+    """Edges of the entities in ``nodes`` (column ``node``), from the documents that mention them alone."""
+    own = mentions.join(nodes.select("node").distinct(), F.col("ent") == F.col("node"), "left_semi").select("doc", F.col("ent").alias("node"), F.col("type").alias("node_type"))
+    met = own.join(mentions.select("doc", F.col("ent").alias("other"), F.col("type").alias("other_type")), "doc").where("node <> other")
+    return met.groupBy("node", "node_type", "other", "other_type").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_weight)
+
+
+def ego_network(mentions: DataFrame, node: str, limit: int = 50, min_weight: int = 2, types: list[str] | None = None, docs: DataFrame | None = None) -> DataFrame:
+    """The strongest neighbours of a node, with the number of all of them and the weight shown.
+
+    ``types`` keeps neighbours of these types; ``docs`` (column ``doc``) counts only these
+    documents. ``degree`` counts all that match, ``weighted_degree`` sums the rows returned.
+    """
+    kept = mentions if docs is None else mentions.join(docs.select("doc").distinct(), "doc", "left_semi")
+    near = neighbours_of(kept, mentions.sparkSession.range(1).select(F.lit(node).alias("node")), min_weight)
+    near = near if types is None else near.where(F.col("other_type").isin(types))
     degree = near.agg(F.count(F.lit(1)).alias("degree"))
     top = near.orderBy(F.desc("weight"), "other").limit(limit)
-    return top.crossJoin(F.broadcast(degree)).select("other", "other_type", "weight", "degree")
+    shown = top.withColumn("weighted_degree", F.sum("weight").over(Window.partitionBy()))
+    return shown.crossJoin(F.broadcast(degree)).select("other", "other_type", "weight", "degree", "weighted_degree")
+
+
+def without_rare_persons(edges: DataFrame, mentions: DataFrame, least: int, kind: str = "PERSON") -> DataFrame:
+    """Edges without those that end in an entity of type ``kind`` with under ``least`` documents.
+
+    A threshold of one or less keeps all. Entities without mentions count as zero.
+    """
+    if least <= 1:
+        return edges
+    often = mentions.where(F.col("type") == kind).groupBy(F.col("ent").alias("often")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("often")
+    for end in ("src", "dst"):
+        named = edges.join(often, edges[end] == F.col("often"), "left").where((F.col(f"{end}_type") != kind) | F.col("often").isNotNull())
+        edges = named.drop("often")
+    return edges
+
+
+def edges_in_documents(mentions: DataFrame, docs: DataFrame, min_weight: int = 1) -> DataFrame:
+    """Edges counted over the documents in ``docs`` (column ``doc``), such as those with a term."""
+    return cooccurrence_edges(mentions.join(docs.select("doc").distinct(), "doc", "left_semi"), min_weight)
+
+
+def with_names(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """Edges with both ends' names from ``names`` (``ent``, ``name``), Unknown where there is none."""
+    for end in ("src", "dst"):
+        edges = edges.join(names.select(F.col("ent").alias(end), F.col("name").alias(f"{end}_name")), end, "left")
+    return edges.withColumns({f"{end}_name": F.coalesce(f"{end}_name", F.lit("Unknown")) for end in ("src", "dst")})
+
+
+#: How edges are ranked in the viewer: most cross-type first, strong for a rare pair of types,
+#: rare pairs of types, or by weight alone.
+RANK_MODES = ("most_cross_type", "rare_but_strong", "low_frequency_pairs", "weight")
+
+
+def ranked_edges(edges: DataFrame, mode: str = "weight") -> DataFrame:
+    """Edges with ``rank`` from 1 in one of the :data:`RANK_MODES`, ties by types and names.
+
+    ``pair_count`` is the number of edges between the two types. The edges are a bounded view.
+    """
+    counted = edges.withColumn("pair_count", F.count(F.lit(1)).over(Window.partitionBy("src_type", "dst_type")))
+    heavy, rare = F.desc("weight"), F.col("pair_count")
+    keys = {
+        "most_cross_type": [F.col("src_type") == F.col("dst_type"), heavy, rare],
+        "rare_but_strong": [F.desc(F.col("weight") / rare), heavy, rare],
+        "low_frequency_pairs": [rare, heavy],
+        "weight": [heavy, rare],
+    }[mode]
+    return counted.withColumn("rank", F.row_number().over(Window.orderBy(*keys, "src_type", "dst_type", "src", "dst")))
 
 
 def global_network(edges: DataFrame, types: list[str], min_weight: int = 3, limit: int = 500, strict: bool = True) -> DataFrame:
@@ -48,10 +115,10 @@ def global_network(edges: DataFrame, types: list[str], min_weight: int = 3, limi
     return edges.where((a & b if strict else a | b) & (F.col("weight") >= min_weight)).orderBy(F.desc("weight"), "src", "dst").limit(limit)
 
 
-def document_network(edges: DataFrame, mentions: DataFrame, doc: int, min_weight: int = 1) -> DataFrame:
-    """Edges between the entities of one document."""
+def document_network(mentions: DataFrame, doc: int, min_weight: int = 2) -> DataFrame:
+    """Edges between the entities of one document, weighed over all documents."""
     inside = mentions.where(F.col("doc") == doc).select("ent").distinct()
-    return edges.where(F.col("weight") >= min_weight).join(inside.withColumnRenamed("ent", "src"), "src", "left_semi").join(inside.withColumnRenamed("ent", "dst"), "dst", "left_semi").select(*edges.columns)
+    return cooccurrence_edges(mentions.join(inside, "ent", "left_semi"), min_weight)
 
 
 def entity_metrics(edges: DataFrame) -> DataFrame:
@@ -61,13 +128,13 @@ def entity_metrics(edges: DataFrame) -> DataFrame:
     return both.groupBy("node", "node_type").agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("weighted_degree"), F.max("weight").alias("max_weight"), best.alias("strongest"))
 
 
-def related_documents(mentions: DataFrame, edges: DataFrame, doc: int, limit: int = 10, max_neighbours: int = 100) -> DataFrame:
+def related_documents(mentions: DataFrame, doc: int, limit: int = 10, max_neighbours: int = 100) -> DataFrame:
     """Documents with entities that neighbour those of ``doc``, by shared and neighbouring entities."""
     own = mentions.where(F.col("doc") == doc).select("ent").distinct()
-    near = symmetric(edges).join(own.withColumnRenamed("ent", "node"), "node", "left_semi").groupBy(F.col("other").alias("ent")).agg(F.max("weight").alias("w"))
+    near = neighbours_of(mentions, own.withColumnRenamed("ent", "node")).groupBy(F.col("other").alias("ent")).agg(F.max("weight").alias("w"))
     near = near.join(own, "ent", "left_anti").orderBy(F.desc("w"), "ent").limit(max_neighbours)
     marked = own.select("ent", F.lit(1).alias("shared"), F.lit(0).alias("network")).union(near.select("ent", F.lit(0), F.lit(1)))
-    found = mentions.where(F.col("doc") != doc).join(F.broadcast(marked), "ent").groupBy("doc").agg(F.sum("shared").alias("shared"), F.sum("network").alias("network"))
+    found = mentions.where(F.col("doc") != doc).join(marked, "ent").groupBy("doc").agg(F.sum("shared").alias("shared"), F.sum("network").alias("network"))
     return found.orderBy(F.desc("shared"), F.desc("network"), "doc").limit(limit)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scalars import contains, round6, tokens
 
 #: Other names of entity types: fixed values.
-TYPE_ALIASES = {"COMPANY": "ORG", "ORGANIZATION": "ORG", "LOCATION": "GPE", "PLACE": "GPE", "PEOPLE": "PERSON"}
+TYPE_ALIASES = {"COMPANY": "ORG", "ORGANIZATION": "ORG", "ORGANISATION": "ORG", "LOCATION": "GPE", "PLACE": "GPE", "PERSON_NAME": "PERSON", "EMPLOYEEID": "EMPLOYEE_ID"}
 
 
 def strip_extensions(name: Column) -> Column:
@@ -86,20 +86,6 @@ def keyword_fallback(docs: DataFrame, key: str, text: str, words: list[str], lim
     return docs.select(key, hits.alias("matched")).where("matched > 0").orderBy(F.desc("matched"), key).limit(limit)
 
 
-def local_clustering(edges: DataFrame) -> DataFrame:
-    """Mean clustering over nodes with two neighbours or more, and over all nodes.
-
-    ``edges`` has ``src`` < ``dst``. Each triangle is found once, from its smallest node.
-    """
-    e = edges.select("src", "dst")
-    wedge = e.join(e.select("src", F.col("dst").alias("third")), "src").where("dst < third")
-    closed = wedge.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("third")), ["dst", "third"])
-    corners = closed.select(F.explode(F.array("src", "dst", "third")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("triangles"))
-    degree = e.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    each = degree.join(corners, "node", "left").withColumn("c", F.when(F.col("degree") > 1, 2.0 * F.coalesce("triangles", F.lit(0)) / (F.col("degree") * (F.col("degree") - 1))))
-    return each.agg(F.count(F.lit(1)).alias("n"), round6(F.avg("c")).alias("mean_of_connected"), round6(F.avg(F.coalesce("c", F.lit(0.0)))).alias("mean_of_all"))
-
-
 def text_checks(text: Column, least_words: int, least_years: int) -> Column:
     """Words and years of a text and whether both are enough."""
     n_words = F.size(tokens(text))

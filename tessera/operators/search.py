@@ -53,10 +53,6 @@ def dropdown(df: DataFrame, field: str) -> DataFrame:
     return values.union(df.sparkSession.range(1).select(F.lit("missing").alias("value"))).distinct()
 
 
-def strip_extensions(name: Column) -> Column:
-    return F.regexp_replace(name, r"(?i)(\.(json|jpe?g|png|tiff?|pdf))+$", "")
-
-
 def any_leaf_contains(df: DataFrame, term: str) -> Column:
     """Whether any value of a row, at any depth of arrays and maps, holds the term."""
     return reduce(lambda a, b: a | b, [contains(_text(F.col(f.name), f.dataType.typeName()), term) for f in df.schema.fields])

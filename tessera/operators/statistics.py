@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scalars import round6
 from tessera.operators.components import connected_components
 from tessera.operators.network import symmetric
+from tessera.session import materialize
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -39,28 +40,41 @@ def gini(edges: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.orderBy("degree").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = h.withColumn("ranks", F.col("n") * before + F.col("n") * (F.col("n") - 1) / 2)
     total, size = F.sum(F.col("degree") * F.col("n")), F.sum("n")
-    return ranked.agg(round6((2 * F.sum(F.col("degree") * F.col("ranks")) + (1 - size) * total) / (size * total)).alias("gini"))
+    return ranked.agg(round6(F.coalesce(F.try_divide(2 * F.sum(F.col("degree") * F.col("ranks")) + (1 - size) * total, size * total), F.lit(0.0))).alias("gini"))
 
 
 def powerlaw_alpha(edges: DataFrame, xmin: int = 1) -> DataFrame:
     d = degrees(edges).where(F.col("degree") >= xmin)
-    return d.agg(F.count(F.lit(1)).alias("n"), round6(1 + F.count(F.lit(1)) / F.sum(F.log(F.col("degree") / F.lit(float(xmin))))).alias("alpha"))
+    return d.agg(F.count(F.lit(1)).alias("n"), round6(1 + F.try_divide(F.count(F.lit(1)), F.sum(F.log(F.col("degree") / F.lit(float(xmin)))))).alias("alpha"))
 
 
 def graph_summary(edges: DataFrame) -> DataFrame:
     """Nodes, edges, density, components, and the largest component's size."""
     n = degrees(edges).agg(F.count(F.lit(1)).alias("n_nodes"))
     m = edges.agg(F.count(F.lit(1)).alias("n_edges"))
-    ids = edges.select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"))
-    sizes = connected_components(ids).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sizes = connected_components(edges.select("src", "dst")).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     parts = sizes.agg(F.count(F.lit(1)).alias("n_components"), F.max("size").alias("largest"))
-    return n.crossJoin(m).crossJoin(parts).select("n_nodes", "n_edges", round6(2 * F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1))).alias("density"), "n_components", "largest")
+    return n.crossJoin(m).crossJoin(parts).select("n_nodes", "n_edges", round6(F.coalesce(F.try_divide(2 * F.col("n_edges"), F.col("n_nodes") * (F.col("n_nodes") - 1)), F.lit(0.0))).alias("density"), "n_components", "largest")
 
 
 def mixing(edges: DataFrame) -> DataFrame:
-    """Weight of each pair of categories from both directions, and its share."""
-    both = symmetric(edges).groupBy(F.col("node_type").alias("a"), F.col("other_type").alias("b")).agg(F.sum("weight").alias("weight"))
-    return both.withColumn("share", round6(F.col("weight") / F.sum("weight").over(Window.partitionBy())))
+    """Weight between categories, what is expected by chance, and the Pearson residual.
+
+    Each ordered pair of categories is a row. Weights within a category count once, those between
+    two count in both orders, and the total is half the sum of all. The expected weight is twice
+    the total times both categories' shares of the nodes; ``notable`` are residuals beyond 2.
+    """
+    cells = edges.groupBy("src_type", "dst_type").agg(F.sum("weight").alias("w"))
+    both = F.array(F.struct(F.col("src_type").alias("a"), F.col("dst_type").alias("b")), F.struct(F.col("dst_type").alias("a"), F.col("src_type").alias("b")))
+    sides = F.when(F.col("src_type") == F.col("dst_type"), F.slice(both, 1, 1)).otherwise(both)
+    observed = cells.select(F.explode(sides).alias("x"), "w").groupBy("x.a", "x.b").agg(F.sum("w").alias("weight"))
+    sizes = degrees(edges).groupBy("node_type").agg(F.count(F.lit(1)).alias("size")).withColumn("share", F.col("size") / F.sum("size").over(Window.partitionBy()))
+    # One row for each category: at most a few dozen are asked for.
+    ends = sizes.select(F.col("node_type").alias("a"), F.col("share").alias("pa")).crossJoin(sizes.select(F.col("node_type").alias("b"), F.col("share").alias("pb")))
+    full = ends.join(observed, ["a", "b"], "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
+    full = full.withColumn("expected", F.col("pa") * F.col("pb") * F.sum("weight").over(Window.partitionBy()))
+    residual = F.try_divide(F.col("weight") - F.col("expected"), F.sqrt("expected"))
+    return full.select("a", "b", "weight", round6(F.col("expected")).alias("expected"), round6(residual).alias("residual"), (F.abs(residual) > 2).alias("notable"))
 
 
 def assortativity(edges: DataFrame) -> DataFrame:
@@ -70,8 +84,8 @@ def assortativity(edges: DataFrame) -> DataFrame:
     trace = e.agg(F.sum(F.when(F.col("node_type") == F.col("other_type"), F.col("n")).otherwise(0)).alias("same"))
     ends = e.groupBy("node_type").agg(F.sum("n").alias("end")).agg(F.sum(F.col("end").cast("double") * F.col("end")).alias("square"))
     row = total.crossJoin(trace).crossJoin(ends)
-    by_chance = F.col("square") / (F.col("total").cast("double") * F.col("total"))
-    return row.select(round6((F.col("same") / F.col("total") - by_chance) / (1 - by_chance)).alias("coefficient"))
+    by_chance = F.try_divide("square", F.col("total").cast("double") * F.col("total"))
+    return row.select(round6(F.try_divide(F.try_divide(F.col("same"), "total") - by_chance, 1 - by_chance)).alias("coefficient"))
 
 
 def modularity(edges: DataFrame) -> DataFrame:
@@ -83,17 +97,37 @@ def modularity(edges: DataFrame) -> DataFrame:
     return terms.agg(round6(F.sum(F.coalesce("l", F.lit(0)) / F.col("m") - (F.col("d") / (2 * F.col("m"))) * (F.col("d") / (2 * F.col("m"))))).alias("modularity"))
 
 
+def ranked_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes numbered by degree, then name (``node``, ``degree``, ``rank``), and edges between
+    numbers, ``lo`` < ``hi``, so that no hub starts many."""
+    nodes = degrees(edges).select("node", "degree").repartitionByRange("degree", "node").sortWithinPartitions("degree", "node")
+    nodes = materialize(nodes.withColumn("rank", F.monotonically_increasing_id()), "node-ranks")
+    ends = [nodes.select(F.col("node").alias(c), F.col("rank").alias(f"{c}_rank")) for c in ("src", "dst")]
+    joined = edges.select("src", "dst").join(ends[0], "src").join(ends[1], "dst")
+    return nodes, materialize(joined.select(F.least("src_rank", "dst_rank").alias("lo"), F.greatest("src_rank", "dst_rank").alias("hi")), "ranked-edges")
+
+
+def triangle_list(ranked: DataFrame) -> DataFrame:
+    """Each triangle once, ``x`` < ``y`` < ``z`` by rank."""
+    wedge = ranked.select(F.col("lo").alias("x"), F.col("hi").alias("y")).join(ranked.select(F.col("lo").alias("x"), F.col("hi").alias("z")), "x").where("y < z")
+    return wedge.join(ranked.select(F.col("lo").alias("y"), F.col("hi").alias("z")), ["y", "z"]).select("x", "y", "z")
+
+
 def triangles(edges: DataFrame) -> DataFrame:
-    """Triangles, connected triples and transitivity. Each edge points to the end of higher
-    degree, so a hub's pairs of neighbours are not listed."""
-    d = degrees(edges).select("node", "degree")
-    e = edges.select("src", "dst").join(d.select(F.col("node").alias("src"), F.col("degree").alias("d1")), "src").join(d.select(F.col("node").alias("dst"), F.col("degree").alias("d2")), "dst")
-    up = F.struct("d1", "src") < F.struct("d2", "dst")
-    e = e.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("lo"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("hi"))
-    wedge = e.select("lo", F.col("hi").alias("x")).join(e.select("lo", F.col("hi").alias("y")), "lo").where("x <> y")
-    closed = wedge.join(e.select(F.col("lo").alias("x"), F.col("hi").alias("y")), ["x", "y"]).agg(F.count(F.lit(1)).alias("n_triangles"))
-    triples = d.agg(F.sum((F.col("degree") * (F.col("degree") - 1) / 2).cast("bigint")).alias("n_triples"))
-    return closed.crossJoin(triples).select("n_triangles", "n_triples", round6(3 * F.col("n_triangles") / F.col("n_triples")).alias("transitivity"))
+    """Triangles, connected triples and transitivity (null without triples)."""
+    nodes, ranked = ranked_edges(edges)
+    closed = triangle_list(ranked).agg(F.count(F.lit(1)).alias("n_triangles"))
+    triples = nodes.agg(F.coalesce(F.sum((F.col("degree") * (F.col("degree") - 1) / 2).cast("bigint")), F.lit(0).cast("bigint")).alias("n_triples"))
+    return closed.crossJoin(triples).select("n_triangles", "n_triples", round6(F.try_divide(3 * F.col("n_triangles"), "n_triples")).alias("transitivity"))
+
+
+def local_clustering(edges: DataFrame) -> DataFrame:
+    """Mean clustering over nodes with two neighbours or more, and over all nodes."""
+    nodes, ranked = ranked_edges(edges)
+    corners = triangle_list(ranked).select(F.explode(F.array("x", "y", "z")).alias("rank")).groupBy("rank").agg(F.count(F.lit(1)).alias("triangles"))
+    c = F.when(F.col("degree") > 1, 2.0 * F.coalesce("triangles", F.lit(0)) / (F.col("degree") * (F.col("degree") - 1)))
+    each = nodes.join(corners, "rank", "left").withColumn("c", c)
+    return each.agg(F.count(F.lit(1)).alias("n"), round6(F.avg("c")).alias("mean_of_connected"), round6(F.avg(F.coalesce("c", F.lit(0.0)))).alias("mean_of_all"))
 
 
 def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as S
 from tessera.operators import corpus, entities, network, retrieval, search, statistics, terms
 from tessera.sources.tables import mentions, table
+from tessera.session import materialize
 from tessera.streaming import events as stream
 
 QUERIES: dict = {}
@@ -39,17 +40,23 @@ BOTH = EDGES + """, s AS (SELECT src AS node, dst AS other, src_type AS node_typ
 TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 
 
+#: Edge tables written so far, by application and folder: like a stored network, each is built once.
+_EDGES: dict = {}
+
+
 def edges(spark, d):
-    return network.cooccurrence_edges(mentions(spark, d))
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _EDGES:
+        _EDGES[key] = materialize(network.cooccurrence_edges(mentions(spark, d)), "edges")
+    return _EDGES[key]
 
 
 # Search
 
 @query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'license') AND NOT coalesce(contains(lower(lang), 'fr'), false) AND (contains(lower(source), 'src1') OR contains(lower(source), 'src2'))")
 def search_and_or_not(spark, d):
-    rows = search.search(table(spark, d, "documents"), [("text", "AND", "license"), ("lang", "NOT", "fr"), ("source", "OR", "src1")])
-    both = rows.unionByName(search.search(table(spark, d, "documents"), [("text", "AND", "license"), ("lang", "NOT", "fr"), ("source", "OR", "src2")])).distinct()
-    return both.select("doc_id", "lang")
+    wanted = search.search_predicate([("text", "AND", "license"), ("lang", "NOT", "fr"), ("source", "OR", "src1")]) | search.search_predicate([("text", "AND", "license"), ("lang", "NOT", "fr"), ("source", "OR", "src2")])
+    return table(spark, d, "documents").where(wanted).select("doc_id", "lang")
 
 
 @query("SELECT event_id, nullif(event_type, 'error') AS kind FROM events WHERE event_type = 'error' OR event_type = ''")
@@ -110,7 +117,7 @@ def term_lift(spark, d):
 
 @query(f"WITH {EDGES} SELECT * FROM e")
 def cooc_edges(spark, d):
-    return edges(spark, d)
+    return network.cooccurrence_edges(mentions(spark, d))
 
 
 @query(f"WITH {EDGES} SELECT src_type, dst_type, count(*) AS n_edges, {r6('avg(weight)')} AS avg_weight, max(weight) AS max_weight FROM e GROUP BY ALL")
@@ -118,9 +125,9 @@ def network_type_pair_stats(spark, d):
     return network.type_pair_stats(edges(spark, d))
 
 
-@query(f"WITH {BOTH} SELECT other, other_type, weight, (SELECT count(*) FROM s WHERE node = 'PRIORITY:1-URGENT') AS degree FROM s WHERE node = 'PRIORITY:1-URGENT' ORDER BY weight DESC, other LIMIT 50")
+@query(f"WITH {BOTH} SELECT *, CAST(sum(weight) OVER () AS BIGINT) AS weighted_degree FROM (SELECT other, other_type, weight, (SELECT count(*) FROM s WHERE node = 'PRIORITY:1-URGENT') AS degree FROM s WHERE node = 'PRIORITY:1-URGENT' ORDER BY weight DESC, other LIMIT 50)")
 def ego_network(spark, d):
-    return network.ego_network(edges(spark, d), "PRIORITY:1-URGENT")
+    return network.ego_network(mentions(spark, d), "PRIORITY:1-URGENT")
 
 
 @query(f"WITH {EDGES} SELECT * FROM e WHERE src_type IN ('SUPPLIER', 'NATION') AND dst_type IN ('SUPPLIER', 'NATION') AND weight >= 3 ORDER BY weight DESC, src, dst LIMIT 500")
@@ -128,9 +135,10 @@ def global_network(spark, d):
     return network.global_network(edges(spark, d), ["SUPPLIER", "NATION"])
 
 
-@query(f"WITH {EDGES} SELECT * FROM e WHERE src IN (SELECT ent FROM m WHERE doc = 1) AND dst IN (SELECT ent FROM m WHERE doc = 1)")
+@query(f"""WITH {MENTIONS}, o AS MATERIALIZED (SELECT DISTINCT ent FROM m WHERE doc = 1), k AS MATERIALIZED (SELECT m.* FROM m JOIN o USING (ent))
+SELECT a.ent AS src, b.ent AS dst, a.type AS src_type, b.type AS dst_type, count(*) AS weight FROM k a JOIN k b ON a.doc = b.doc AND a.ent < b.ent GROUP BY ALL HAVING count(*) >= 2""")
 def document_network(spark, d):
-    return network.document_network(edges(spark, d), mentions(spark, d), 1)
+    return network.document_network(mentions(spark, d), 1)
 
 
 @query(f"WITH {BOTH} SELECT node, node_type, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS weighted_degree, max(weight) AS max_weight, first(other ORDER BY weight DESC, other DESC) AS strongest FROM s GROUP BY ALL")
@@ -143,7 +151,7 @@ n AS (SELECT other AS ent FROM s WHERE node IN (FROM o) AND other NOT IN (FROM o
 k AS (SELECT ent, 1 AS shared, 0 AS network FROM o UNION ALL SELECT ent, 0, 1 FROM n)
 SELECT doc, CAST(sum(shared) AS BIGINT) AS shared, CAST(sum(network) AS BIGINT) AS network FROM m JOIN k USING (ent) WHERE doc <> 1 GROUP BY doc ORDER BY shared DESC, network DESC, doc LIMIT 10""")
 def related_documents(spark, d):
-    return network.related_documents(mentions(spark, d), edges(spark, d), 1)
+    return network.related_documents(mentions(spark, d), 1)
 
 
 @query(f"""WITH {EDGES}, t AS (SELECT * FROM e WHERE src_type <> dst_type AND weight >= 3 ORDER BY weight DESC, src, dst LIMIT 200),
@@ -181,9 +189,23 @@ def gini(spark, d):
     return statistics.gini(edges(spark, d))
 
 
-@query(f"WITH {BOTH} SELECT node, degree, weighted_degree FROM d WHERE degree >= (SELECT avg(degree) + 1 * stddev_samp(degree) FROM d) ORDER BY degree DESC, node LIMIT 30")
+#: A sparser graph with hubs: nations, priorities and what their orders' customers buy as.
+STAR = """e AS (SELECT 'N' || c_nationkey AS src, 'P' || p_size AS dst, 'N' AS src_type, 'P' AS dst_type, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey WHERE c_nationkey <= 1 OR p_size <= 1 GROUP BY ALL),
+s AS (SELECT src AS node, dst AS other, weight FROM e UNION ALL SELECT dst, src, weight FROM e), d AS (SELECT node, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS weighted_degree FROM s GROUP BY ALL)"""
+
+
+def supplier_star(spark, d):
+    t = lambda name: table(spark, d, name)
+    rows = t("lineitem").select("l_orderkey", "l_partkey").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.join(t("part"), F.col("l_partkey") == F.col("p_partkey")).where("c_nationkey <= 1 or p_size <= 1")
+    ends = rows.select(F.concat(F.lit("N"), "c_nationkey").alias("src"), F.concat(F.lit("P"), "p_size").alias("dst"), F.lit("N").alias("src_type"), F.lit("P").alias("dst_type"))
+    return ends.groupBy(*ends.columns).agg(F.count(F.lit(1)).alias("weight"))
+
+
+@query(f"WITH {STAR} SELECT node, degree, weighted_degree FROM d WHERE degree >= (SELECT avg(degree) + 2 * stddev_samp(degree) FROM d) ORDER BY degree DESC, node LIMIT 30")
 def hubs(spark, d):
-    return statistics.hubs(edges(spark, d), sigma=1)
+    return statistics.hubs(supplier_star(spark, d))
 
 
 @query(f"WITH {BOTH} SELECT count(*) AS n, {r6('1 + count(*) / sum(ln(degree))')} AS alpha FROM d")
@@ -198,7 +220,10 @@ def graph_summary(spark, d):
     return statistics.graph_summary(edges(spark, d))
 
 
-@query(f"WITH {BOTH} SELECT node_type AS a, other_type AS b, CAST(sum(weight) AS BIGINT) AS weight, {r6('sum(weight)::DOUBLE / (SELECT sum(weight) FROM s)')} AS share FROM s GROUP BY ALL")
+@query(f"""WITH {BOTH}, o AS (SELECT src_type AS a, dst_type AS b, weight FROM e UNION ALL SELECT dst_type, src_type, weight FROM e WHERE src_type <> dst_type),
+w AS (SELECT a, b, CAST(sum(weight) AS BIGINT) AS weight FROM o GROUP BY ALL), p AS (SELECT node_type AS t, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM d GROUP BY node_type),
+x AS (SELECT p.t AS a, q.t AS b, coalesce(w.weight, 0) AS weight, p.p * q.p * (SELECT sum(weight) FROM w) AS expected FROM p CROSS JOIN p q LEFT JOIN w ON w.a = p.t AND w.b = q.t)
+SELECT a, b, weight, {r6('expected')} AS expected, {r6('(weight - expected) / sqrt(expected)')} AS residual, abs((weight - expected) / sqrt(expected)) > 2 AS notable FROM x""")
 def mixing_matrix(spark, d):
     return statistics.mixing(edges(spark, d))
 
@@ -270,9 +295,9 @@ def strata_sample(spark, d):
     return corpus.sample_strata(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 5)
 
 
-@query("WITH y AS (SELECT DISTINCT p_size * 7 // 10 * 10 AS decade FROM part WHERE p_size % 5 = 0) SELECT CAST(x AS BIGINT) AS decade FROM (SELECT unnest(generate_series((SELECT min(decade) FROM y), (SELECT max(decade) FROM y), 10)) AS x) WHERE x NOT IN (SELECT decade FROM y)")
+@query("WITH y AS (SELECT DISTINCT p_size * 7 // 10 * 10 AS decade FROM part WHERE p_size <= 8 OR p_size >= 40) SELECT CAST(x AS BIGINT) AS decade FROM (SELECT unnest(generate_series((SELECT min(decade) FROM y), (SELECT max(decade) FROM y), 10)) AS x) WHERE x NOT IN (SELECT decade FROM y)")
 def decade_gaps(spark, d):
-    return corpus.decade_gaps(table(spark, d, "part").where("p_size % 5 = 0"), F.col("p_size") * 7)
+    return corpus.decade_gaps(table(spark, d, "part").where("p_size <= 8 or p_size >= 40"), F.col("p_size") * 7)
 
 
 @query("SELECT lower(trim(event_type)) AS key, first(event_type ORDER BY event_id) AS name, count(*) AS document_count, min(event_id) AS first_seq, max(event_id) AS last_seq FROM events GROUP BY 1")
@@ -290,22 +315,25 @@ def validation_status(spark, d):
     return table(spark, d, "benchmark").select("item_id", corpus.validation_status(F.char_length("text") % 101).alias("status"))
 
 
-@query(f"""WITH s AS (SELECT item_id AS id, list_distinct({TOKENS}) AS w FROM benchmark), j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS n, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS u FROM s a JOIN s b ON a.id < b.id)
-SELECT a, b, {r6('n::DOUBLE / u')} AS jaccard FROM j WHERE n::DOUBLE / u >= 0.1""")
+@query(f"""WITH z AS (SELECT item_id AS id, text FROM benchmark UNION ALL SELECT 1000000 + item_id, 'Really ' || text || ' then?' FROM benchmark WHERE item_id % 3 = 0),
+s AS (SELECT id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM z), j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS n, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS u FROM s a JOIN s b ON a.id < b.id)
+SELECT a, b, {r6('n::DOUBLE / u')} AS jaccard FROM j WHERE n::DOUBLE / u >= 0.85""")
 def question_near_dup(spark, d):
-    return corpus.word_jaccard(table(spark, d, "benchmark"), "item_id", S.tokens(F.col("text")), 0.1)
+    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    again = rows.where("id % 3 = 0").select(F.col("id") + 1000000, F.concat(F.lit("Really "), "text", F.lit(" then?")))
+    return corpus.similar_questions(rows.union(again), 0.85)
 
 
 # Retrieval
 
 KNN = f"""v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings),
-p AS (SELECT q.vec_id AS query_id, v.vec_id, {r6('list_inner_product(q.e, v.e) / (q.n * v.n)')} AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id < 20),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, {r6('list_inner_product(q.e, v.e) / (q.n * v.n)')} AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)"""
 
 
 def _neighbours(spark, d, k):
     rows = table(spark, d, "embeddings")
-    return retrieval.cosine_neighbours(rows, rows.where("vec_id < 20"), k)
+    return retrieval.cosine_neighbours(rows, rows.where("vec_id % 20 = 0"), k)
 
 
 @query(f"WITH {KNN} SELECT * FROM k WHERE rank <= 5")
@@ -355,9 +383,20 @@ def employee_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(entities.employee_ids(F.col("text")), ",").alias("ids"))
 
 
-@query(r"SELECT p_partkey, CASE WHEN len(w) > 1 THEN w[1] ELSE '' END AS first, w[-1] AS last FROM (SELECT p_partkey, string_split_regex(trim(p_name), '\s+') AS w FROM part)")
+#: Parts' names and brands as people's names in the forms that are parsed.
+NAMES = """n AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN p_brand || ', ' || p_name WHEN 2 THEN p_brand WHEN 3 THEN p_name || '  ' || p_brand WHEN 4 THEN p_brand || ', A, B' ELSE ' ' || p_type || ',' END AS x FROM part)"""
+
+
+@query(f"""WITH {NAMES}, w AS (SELECT p_partkey, trim(x) AS x, list_filter(string_split_regex(trim(x), '\\s+'), lambda y: y <> '') AS w,
+  list_filter(string_split_regex(trim(substring(trim(x), instr(trim(x), ',') + 1)), '\\s+'), lambda y: y <> '') AS r, contains(x, ',') AS c FROM n),
+p AS (SELECT p_partkey, coalesce(CASE WHEN c THEN r[1] ELSE w[1] END, '') AS first, coalesce(CASE WHEN c THEN r[2] WHEN len(w) > 2 THEN w[2] END, '') AS middle,
+  CASE WHEN c THEN trim(split_part(x, ',', 1)) WHEN len(w) > 1 THEN w[-1] ELSE '' END AS last FROM w)
+SELECT *, trim(first || ' ' || middle || ' ' || last) AS "full" FROM p""")
 def name_parse(spark, d):
-    return table(spark, d, "part").select("p_partkey", entities.parse_name(F.col("p_name")).alias("x")).select("p_partkey", "x.first", "x.last")
+    k = F.col("p_partkey") % 6
+    x = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat("p_brand", F.lit(", "), "p_name")).when(k == 2, F.col("p_brand")).when(k == 3, F.concat("p_name", F.lit("  "), "p_brand"))
+    x = x.when(k == 4, F.concat("p_brand", F.lit(", A, B"))).otherwise(F.concat(F.lit(" "), "p_type", F.lit(",")))
+    return table(spark, d, "part").select("p_partkey", entities.parse_name(x).alias("x")).select("p_partkey", "x.*")
 
 
 @query(f"WITH {MENTIONS} SELECT lower(ent) AS term, type, count(*) AS frequency, min(doc) AS first_doc, max(doc) AS last_doc FROM m GROUP BY 1, 2")
@@ -394,6 +433,9 @@ def running_progress(spark, d):
     return stream.running_progress(table(spark, d, "events"))
 
 
-@query("SELECT event_id, CASE WHEN contains(lower(event_type), 'error') OR contains(lower(event_type), 'fail') THEN 'error' WHEN contains(lower(event_type), 'warn') THEN 'warning' WHEN contains(lower(event_type), 'success') OR contains(lower(event_type), 'complete') THEN 'success' ELSE 'info' END AS level FROM events")
+@query("""WITH x AS (SELECT event_id, lower(CASE event_id % 7 WHEN 0 THEN 'Traceback (most recent' WHEN 1 THEN 'All DONE' WHEN 2 THEN '=== begin' WHEN 3 THEN 'Finished' WHEN 4 THEN 'Exception!' ELSE event_type END) AS m FROM events)
+SELECT event_id, CASE WHEN regexp_matches(m, 'error|failed|exception|traceback') THEN 'error' WHEN contains(m, 'warn') THEN 'warning' WHEN regexp_matches(m, 'complete|success|done|finished') THEN 'success'
+  WHEN regexp_matches(m, '===|starting|begin|---') THEN 'primary' ELSE 'info' END AS level FROM x""")
 def log_level_inference(spark, d):
-    return table(spark, d, "events").select("event_id", S.level_of(F.col("event_type")).alias("level"))
+    said = F.element_at(F.array(*[F.lit(x) for x in ("Traceback (most recent", "All DONE", "=== begin", "Finished", "Exception!")]), (F.col("event_id") % 7 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", S.level_of(F.when(F.col("event_id") % 7 < 5, said).otherwise(F.col("event_type"))).alias("level"))

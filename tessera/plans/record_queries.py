@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import network, records, retrieval
+from tessera.operators import network, records, retrieval, statistics
 from tessera.plans.queries import EDGES, TOKENS, edges, query, r6
 from tessera.sources.tables import table
 
@@ -19,11 +19,11 @@ def slugify(spark, d):
     return table(spark, d, "part").select("p_partkey", records.slug(F.concat(F.lit("* "), "p_type", F.lit(" / "), "p_name")).alias("slug"))
 
 
-@query("""WITH x AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'company' WHEN 1 THEN ' place ' WHEN 2 THEN '' ELSE c_mktsegment || '-kind' END AS t FROM customer)
-SELECT c_custkey, CASE WHEN trim(t) = '' THEN 'UNKNOWN' WHEN trim(t) = 'company' THEN 'ORG' WHEN trim(t) = 'place' THEN 'GPE' ELSE replace(replace(upper(trim(t)), '-', '_'), ' ', '_') END AS type FROM x""")
+@query("""WITH x AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'company' WHEN 1 THEN ' place ' WHEN 2 THEN '' WHEN 3 THEN 'Organisation' WHEN 4 THEN 'person-name' ELSE c_mktsegment || '-kind' END AS t FROM customer)
+SELECT c_custkey, CASE WHEN trim(t) = '' THEN 'UNKNOWN' WHEN trim(t) = 'company' THEN 'ORG' WHEN trim(t) = 'place' THEN 'GPE' WHEN t = 'Organisation' THEN 'ORG' WHEN t = 'person-name' THEN 'PERSON' ELSE replace(replace(upper(trim(t)), '-', '_'), ' ', '_') END AS type FROM x""")
 def entity_type_alias(spark, d):
-    key = F.col("c_custkey") % 4
-    name = F.when(key == 0, "company").when(key == 1, " place ").when(key == 2, "").otherwise(F.concat("c_mktsegment", F.lit("-kind")))
+    key = F.col("c_custkey") % 6
+    name = F.when(key == 0, "company").when(key == 1, " place ").when(key == 2, "").when(key == 3, "Organisation").when(key == 4, "person-name").otherwise(F.concat("c_mktsegment", F.lit("-kind")))
     return table(spark, d, "customer").select("c_custkey", records.entity_type(name).alias("type"))
 
 
@@ -92,7 +92,7 @@ g AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL
 c AS (SELECT CASE WHEN degree > 1 THEN 2.0::DOUBLE * coalesce(t, 0) / (degree * (degree - 1)) END AS c FROM g LEFT JOIN k USING (node))
 SELECT count(*) AS n, {r6('avg(c)')} AS mean_of_connected, {r6('avg(coalesce(c, 0))')} AS mean_of_all FROM c""")
 def clustering(spark, d):
-    return records.local_clustering(edges(spark, d))
+    return statistics.local_clustering(edges(spark, d))
 
 
 @query(rf"SELECT doc_id, CAST(len({TOKENS}) AS BIGINT) AS n_words, CAST(len(regexp_extract_all(text, '\b(?:18|19|20)\d{{2}}\b')) AS BIGINT) AS n_years, len({TOKENS}) >= 50 AND len(regexp_extract_all(text, '\b(?:18|19|20)\d{{2}}\b')) >= 1 AS enough FROM documents WHERE text IS NOT NULL")

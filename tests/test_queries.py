@@ -4,8 +4,11 @@ import pytest
 from oracle import connect, differences
 
 from tessera import catalog
+from tessera.operators import statistics
 from tessera.operators.components import connected_components
 from tessera.operators.entities import fuzzy_links, indel_ratio
+from tessera.operators.corpus import is_duplicate_question
+from tessera.operators.retrieval import cosine_neighbours
 from tessera.operators.search import search
 from tessera.sources.tables import combined_hash, merge_latest, new_documents, read_raw_documents
 from tessera.streaming import events as stream
@@ -73,11 +76,29 @@ def test_fuzzy_links(spark):
     assert {r.term: r.reference for r in fuzzy_links(terms, refs, 85).collect()} == {"brakeman": "brakeman", "fireman": "firemann"}
 
 
-def test_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("kind", ["tumbling", "sliding", "session"])
+def test_stream_equals_batch(spark, tmp_path, kind):
+    view = {"tumbling": stream.windowed, "sliding": lambda e: stream.windowed(e, "1 hour", "30 minutes"), "session": stream.sessions}[kind]
     source = spark.read.parquet(f"{SMALL}/events.parquet")
     source.write.parquet(str(tmp_path / "in"))
     live = spark.readStream.schema(source.schema).parquet(str(tmp_path / "in"))
-    stream.run_to_end(stream.windowed(live), str(tmp_path / "out"), str(tmp_path / "cp"))
+    stream.run_to_end(view(live), str(tmp_path / "out"), str(tmp_path / "cp"))
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    want = {tuple(r) for r in stream.windowed(source).collect()}
+    want = {tuple(r) for r in view(source).collect()}
     assert got and got <= want  # the newest windows stay open until the watermark passes them
+
+
+def test_statistics_of_small_graphs(spark):
+    empty = spark.createDataFrame([], "src string, dst string, src_type string, dst_type string, weight long")
+    one = spark.createDataFrame([("a", "b", "X", "X", 2)], empty.schema)
+    for edges in (empty, one):
+        for f in (statistics.triangles, statistics.assortativity, statistics.powerlaw_alpha, statistics.graph_summary, statistics.gini, statistics.local_clustering):
+            assert f(edges).count() == 1
+    zero = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [r.score for r in cosine_neighbours(zero, zero, 1).collect()] == [0.0, 0.0]
+
+
+def test_new_questions(spark):
+    known = spark.createDataFrame([(1, "Why did wages fall in the yard")], "id int, text string")
+    new = spark.createDataFrame([(1, "why did WAGES fall in the yard"), (2, "who was he"), (3, " "), (4, None)], "id int, text string")
+    assert {r.id: r.duplicate for r in is_duplicate_question(new, known).collect()} == {1: True, 2: False, 3: True, 4: True}
