@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.plans import queries as plans
-from tessera.plans import record_queries  # noqa: F401  registers its queries
+from tessera.plans import graph_queries, record_queries, text_queries  # noqa: F401  they register queries
 
 
 def queries() -> dict:

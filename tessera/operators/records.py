@@ -91,3 +91,19 @@ def text_checks(text: Column, least_words: int, least_years: int) -> Column:
     n_words = F.size(tokens(text))
     n_years = F.coalesce(F.regexp_count(text, F.lit(r"\b(?:18|19|20)\d{2}\b")), F.lit(0))
     return F.struct(n_words.cast("long").alias("n_words"), n_years.cast("long").alias("n_years"), ((n_words >= least_words) & (n_years >= least_years)).alias("enough"))
+
+
+def without_repeated_sentences(essays: DataFrame, key: str, text: str, parting: str = "\n\n") -> DataFrame:
+    """Essays whose sentences stand once each, whatever their case: ``key``, ``n_paragraphs``, ``essay``.
+
+    Sentences repeat if an earlier place of the same essay has them. A paragraph stays if at least
+    half of its sentences, and one, are left. ``parting`` stands between paragraphs.
+    """
+    from tessera.functions.texts import split_sentences
+
+    paragraphs = essays.select(key, F.posexplode(F.split(text, parting)).alias("p", "paragraph"))
+    cut = paragraphs.select(key, "p", split_sentences(F.col("paragraph")).alias("s")).select(key, "p", F.size("s").alias("n"), F.posexplode("s").alias("i", "sentence"))
+    copy = F.row_number().over(Window.partitionBy(key, F.lower("sentence")).orderBy("p", "i"))
+    left = cut.withColumn("copy", copy).where("copy = 1").groupBy(key, "p", "n").agg(F.array_sort(F.collect_list(F.struct("i", "sentence"))).alias("s"))
+    left = left.where(F.size("s") >= F.greatest(F.lit(1), F.floor(F.col("n") / 2))).select(key, "p", F.array_join("s.sentence", " ").alias("paragraph"))
+    return left.groupBy(key).agg(F.count(F.lit(1)).alias("n_paragraphs"), F.array_join(F.array_sort(F.collect_list(F.struct("p", "paragraph")))["paragraph"], parting).alias("essay"))
