@@ -138,6 +138,13 @@ def related_documents(mentions: DataFrame, doc: int, limit: int = 10, max_neighb
     return found.orderBy(F.desc("shared"), F.desc("network"), "doc").limit(limit)
 
 
+def shared_entities(mentions: DataFrame, doc: int, least: int = 1) -> DataFrame:
+    """Documents that share at least ``least`` entities with ``doc``, and which."""
+    own = mentions.where(F.col("doc") == doc).select("ent").distinct()
+    met = mentions.where(F.col("doc") != doc).join(own, "ent", "left_semi").groupBy("doc").agg(F.array_sort(F.collect_set("ent")).alias("all"))
+    return met.where(F.size("all") >= least).select("doc", F.array_join("all", ",").alias("shared"))
+
+
 def viewer_documents(edges: DataFrame, mentions: DataFrame, preset: str = "cross_type_only", limit: int = 200, min_weight: int = 3) -> DataFrame:
     """Documents behind the strongest edges: score (sum of weights), edges and entities of each."""
     test = {"cross_type_only": "src_type <> dst_type", "within_type": "src_type = dst_type", "all_pairs": "true"}[preset]

@@ -1,0 +1,180 @@
+"""Registered queries over the network's views, paths and communities, each with its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import graphs, network, search
+from tessera.plans.queries import BOTH, EDGES, MENTIONS, STAR, edges, query, r6, supplier_star
+from tessera.sources.tables import mentions, table
+
+TOP = EDGES + ", t AS (SELECT * FROM e ORDER BY weight DESC, src, dst LIMIT 400), c AS (SELECT *, count(*) OVER (PARTITION BY src_type, dst_type) AS pair_count FROM t)"
+URGENT = MENTIONS + """, w AS (SELECT o_orderkey AS doc FROM orders WHERE contains(lower(o_orderpriority), 'urgent')),
+k AS (SELECT m.* FROM m JOIN w USING (doc))"""
+
+
+def _urgent(spark, d):
+    return table(spark, d, "orders").where(F.contains(F.lower("o_orderpriority"), F.lit("urgent"))).select(F.col("o_orderkey").alias("doc"))
+
+
+@query(f"""WITH {TOP}, r AS (SELECT 'most_cross_type' AS mode, src, dst, row_number() OVER (ORDER BY src_type = dst_type, weight DESC, pair_count, src_type, dst_type, src, dst) AS rank FROM c
+  UNION ALL SELECT 'rare_but_strong', src, dst, row_number() OVER (ORDER BY weight::DOUBLE / pair_count DESC, weight DESC, pair_count, src_type, dst_type, src, dst) FROM c
+  UNION ALL SELECT 'low_frequency_pairs', src, dst, row_number() OVER (ORDER BY pair_count, weight DESC, src_type, dst_type, src, dst) FROM c
+  UNION ALL SELECT 'weight', src, dst, row_number() OVER (ORDER BY weight DESC, pair_count, src_type, dst_type, src, dst) FROM c)
+SELECT mode, src, dst, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 50""")
+def viewer_ranking(spark, d):
+    top = edges(spark, d).orderBy(F.desc("weight"), "src", "dst").limit(400)
+    parts = [network.ranked_edges(top, mode).where("rank <= 50").select(F.lit(mode).alias("mode"), "src", "dst", "rank") for mode in network.RANK_MODES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query(f"""WITH {EDGES}, f AS (SELECT ent FROM m WHERE type = 'SUPPLIER' GROUP BY ent HAVING count(*) >= 4)
+SELECT * FROM e WHERE (src_type <> 'SUPPLIER' OR src IN (FROM f)) AND (dst_type <> 'SUPPLIER' OR dst IN (FROM f))""")
+def edges_without_rare(spark, d):
+    return network.without_rare_persons(edges(spark, d), mentions(spark, d), 4, "SUPPLIER")
+
+
+@query(f"WITH {URGENT} SELECT a.ent AS src, b.ent AS dst, a.type AS src_type, b.type AS dst_type, count(*) AS weight FROM k a JOIN k b ON a.doc = b.doc AND a.ent < b.ent GROUP BY ALL HAVING count(*) >= 2")
+def edges_of_term(spark, d):
+    return network.edges_in_documents(mentions(spark, d), _urgent(spark, d), 2)
+
+
+@query(f"""WITH {URGENT}, n AS (SELECT b.ent AS other, b.type AS other_type, count(*) AS weight FROM k a JOIN k b ON a.doc = b.doc AND a.ent = 'BRAND:Brand#13' AND b.ent <> a.ent WHERE b.type IN ('NATION', 'BRAND') GROUP BY ALL HAVING count(*) >= 1)
+SELECT *, CAST(sum(weight) OVER () AS BIGINT) AS weighted_degree FROM (SELECT *, (SELECT count(*) FROM n) AS degree FROM n ORDER BY weight DESC, other LIMIT 10)""")
+def ego_filtered(spark, d):
+    return network.ego_network(mentions(spark, d), "BRAND:Brand#13", 10, 1, ["NATION", "BRAND"], _urgent(spark, d))
+
+
+@query(f"WITH {EDGES}, n AS (SELECT 'NATION:' || n_name AS ent, n_name AS name FROM nation) SELECT e.src, e.dst, e.src_type, e.dst_type, weight, coalesce(a.name, 'Unknown') AS src_name, coalesce(b.name, 'Unknown') AS dst_name FROM e LEFT JOIN n a ON a.ent = src LEFT JOIN n b ON b.ent = dst WHERE src_type = 'NATION' OR dst_type = 'NATION'")
+def named_edges(spark, d):
+    names = table(spark, d, "nation").select(F.concat(F.lit("NATION:"), "n_name").alias("ent"), F.col("n_name").alias("name"))
+    return network.with_names(edges(spark, d).where("src_type = 'NATION' or dst_type = 'NATION'"), names).select("src", "dst", "src_type", "dst_type", "weight", "src_name", "dst_name")
+
+
+@query(f"""WITH {EDGES}, t AS (SELECT * FROM e WHERE weight >= 2 AND src_type IN ('SUPPLIER', 'BRAND') AND dst_type IN ('SUPPLIER', 'BRAND') ORDER BY weight DESC, src, dst LIMIT 300),
+f AS (SELECT ent FROM m WHERE type = 'SUPPLIER' GROUP BY ent HAVING count(*) >= 8)
+SELECT * FROM t WHERE (src_type <> 'SUPPLIER' OR src IN (FROM f)) AND (dst_type <> 'SUPPLIER' OR dst IN (FROM f))""")
+def filtered_graph(spark, d):
+    return graphs.filtered_graph(edges(spark, d), mentions(spark, d), ["SUPPLIER", "BRAND"], 2, 300, 8, "SUPPLIER")
+
+
+ATTRIBUTES = "a AS (SELECT c_custkey AS node, 'segment' AS name, c_mktsegment AS value FROM customer UNION ALL SELECT c_custkey, 'nation', CAST(c_nationkey AS VARCHAR) FROM customer UNION ALL SELECT c_custkey, 'name', c_name FROM customer UNION ALL SELECT c_custkey, 'same', 'x' FROM customer UNION ALL SELECT c_custkey, 'rich', CASE WHEN c_acctbal > 5000 THEN 'yes' ELSE '' END FROM customer)"
+
+
+def _attributes(spark, d):
+    rich = F.when(F.col("c_acctbal") > 5000, "yes").otherwise("")
+    pairs = [("segment", F.col("c_mktsegment")), ("nation", F.col("c_nationkey").cast("string")), ("name", F.col("c_name")), ("same", F.lit("x")), ("rich", rich)]
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.inline(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in pairs])))
+
+
+@query(f"WITH {ATTRIBUTES} SELECT node, string_agg(name || '=' || value, ';' ORDER BY name) AS attributes FROM a WHERE value <> '' GROUP BY node")
+def node_attributes(spark, d):
+    rows = _attributes(spark, d)
+    done = graphs.node_attributes(rows.select("node").distinct(), rows)
+    return done.select("node", F.array_join(F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("attributes"))
+
+
+@query(f"WITH {ATTRIBUTES} SELECT name, count(DISTINCT value) AS n_values FROM a WHERE value IS NOT NULL GROUP BY name HAVING count(DISTINCT value) BETWEEN 2 AND 50")
+def categorical_attributes(spark, d):
+    return graphs.categorical_attributes(_attributes(spark, d))
+
+
+@query(f"WITH {BOTH}, s2 AS (SELECT list_sort(list(degree)) AS l, count(*) AS n FROM d) SELECT CASE WHEN n > 10 THEN l[CAST(floor(n * 0.9) AS BIGINT) + 1] END AS p90, CASE WHEN n > 20 THEN l[CAST(floor(n * 0.95) AS BIGINT) + 1] END AS p95, CASE WHEN n > 100 THEN l[CAST(floor(n * 0.99) AS BIGINT) + 1] END AS p99 FROM s2")
+def degree_percentiles(spark, d):
+    return graphs.degree_percentiles(edges(spark, d))
+
+
+def _sources(spark, d):
+    return table(spark, d, "nation").where("n_nationkey <= 1").select(F.concat(F.lit("N"), "n_nationkey").alias("source"))
+
+
+HOPS = f"""WITH RECURSIVE {STAR}, u AS (SELECT DISTINCT node, other FROM s), h AS (SELECT 'N' || n_nationkey AS source, 'N' || n_nationkey AS node, 0 AS hops FROM nation WHERE n_nationkey <= 1
+  UNION SELECT h.source, u.other, h.hops + 1 FROM h JOIN u ON h.node = u.node WHERE h.hops < 6), x AS (SELECT source, node, min(hops) AS hops FROM h GROUP BY ALL)"""
+
+
+@query(f"{HOPS} SELECT source, node, hops FROM x")
+def path_lengths(spark, d):
+    return graphs.distances(supplier_star(spark, d), _sources(spark, d))
+
+
+@query(f"{HOPS} SELECT source, count(*) AS reached, {r6('sum(1.0::DOUBLE / hops) / ((SELECT count(*) FROM d) - 1)')} AS harmonic, {r6('avg(hops)')} AS mean_hops FROM x WHERE hops > 0 GROUP BY source")
+def harmonic_centrality(spark, d):
+    return graphs.harmonic(supplier_star(spark, d), _sources(spark, d))
+
+
+@query(f"""WITH {BOTH}, z AS (SELECT src_type AS label, count(*) AS inside FROM e WHERE src_type = dst_type GROUP BY 1), i AS (SELECT src AS node FROM e WHERE src_type = dst_type UNION ALL SELECT dst FROM e WHERE src_type = dst_type),
+g AS (SELECT d.node, node_type AS label, (SELECT count(*) FROM i WHERE i.node = d.node) AS k FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY k DESC, node) AS nth FROM g)
+SELECT label, count(*) AS size, CAST(sum(k) // 2 AS BIGINT) AS internal_edges, string_agg(node, ',' ORDER BY nth) FILTER (WHERE nth <= 5) AS top_members FROM r GROUP BY label""")
+def community_summaries(spark, d):
+    e = edges(spark, d)
+    labels = graphs.degrees(e).select("node", F.col("node_type").alias("label"))
+    return graphs.community_summaries(e, labels)
+
+
+def _lpa(n: int) -> str:
+    out = "l0 AS (SELECT DISTINCT node, node AS label FROM s)"
+    for i in range(n):
+        out += f", v{i} AS (SELECT node, label, sum(weight) AS w FROM (SELECT s.node, l.label, s.weight FROM s JOIN l{i} l ON l.node = s.other UNION ALL SELECT node, label, 1 FROM l{i}) GROUP BY node, label), l{i + 1} AS MATERIALIZED (SELECT node, label FROM v{i} QUALIFY row_number() OVER (PARTITION BY node ORDER BY w DESC, label) = 1)"
+    return out
+
+
+@query(f"WITH {BOTH}, {_lpa(3)} SELECT node, label FROM l3")
+def label_propagation(spark, d):
+    return graphs.label_propagation(edges(spark, d), 3)
+
+
+@query(f"""WITH {BOTH}, {_lpa(3)}, x AS (SELECT a.label AS a, b.label AS b FROM e JOIN l3 a ON a.node = src JOIN l3 b ON b.node = dst), k AS (SELECT label, count(*)::DOUBLE AS d FROM (SELECT a AS label FROM x UNION ALL SELECT b FROM x) GROUP BY label),
+i AS (SELECT a AS label, count(*)::DOUBLE AS l FROM x WHERE a = b GROUP BY a), n AS (SELECT count(*)::DOUBLE AS m FROM e)
+SELECT count(*) AS n_communities, {r6('sum(coalesce(l, 0) / m - (d / (2 * m)) * (d / (2 * m)))')} AS modularity FROM k LEFT JOIN i USING (label), n""")
+def community_modularity(spark, d):
+    e = edges(spark, d)
+    return graphs.community_modularity(e, graphs.label_propagation(e, 3))
+
+
+@query(f"""WITH {BOTH}, n AS (SELECT node, node_type, row_number() OVER (ORDER BY node) AS place FROM d), r AS (SELECT i AS round, node, row_number() OVER (PARTITION BY i ORDER BY md5('p' || i || ':' || node), node) AS place FROM n, (SELECT unnest(generate_series(1, 5)) AS i)),
+x AS (SELECT r.round, r.node, n.node_type AS t FROM r JOIN n USING (place)), z AS (SELECT a.round, a.t AS a, b.t AS b FROM e JOIN x a ON a.node = src JOIN x b ON b.node = dst AND b.round = a.round),
+y AS (SELECT round, a, b FROM z UNION ALL SELECT round, b, a FROM z), g AS (SELECT round, a, b, count(*)::DOUBLE AS n FROM y GROUP BY ALL),
+q AS (SELECT round, sum(en * en) / pow(sum(en), 2) AS q FROM (SELECT round, a, sum(n) AS en FROM g GROUP BY ALL) GROUP BY round), t AS (SELECT round, sum(n) FILTER (WHERE a = b) / sum(n) AS t FROM g GROUP BY round),
+c AS (SELECT (coalesce(t, 0) - q) / (1 - q) AS x FROM t JOIN q USING (round)), p AS (SELECT sum(n * n) / pow(sum(n), 2) AS q FROM (SELECT node_type, count(*)::DOUBLE AS n FROM s GROUP BY node_type)),
+o AS (SELECT {r6('((SELECT count(*) FILTER (WHERE node_type = other_type)::DOUBLE / count(*) FROM s) - q) / (1 - q)')} AS o FROM p)
+SELECT any_value(o) AS observed, {r6('avg(x)')} AS mean, {r6('stddev_samp(x)')} AS deviation, {r6('(any_value(o) - avg(x)) / stddev_samp(x)')} AS z, {r6('avg(CAST(abs(x) >= abs(o) AS INTEGER))')} AS p FROM c, o""")
+def permutation_test(spark, d):
+    return graphs.permutation_test(edges(spark, d), 5)
+
+
+@query(f"""WITH RECURSIVE {BOTH}, r AS (SELECT node, node AS far FROM d UNION SELECT r.node, s.other FROM r JOIN s ON r.far = s.node), c AS (SELECT node, min(far) AS root FROM r GROUP BY node), z AS (SELECT root, count(*) AS size FROM c GROUP BY root),
+n AS (SELECT count(*)::DOUBLE AS n, (SELECT count(*) FROM e)::DOUBLE AS m FROM d), g AS (SELECT degree, row_number() OVER (ORDER BY degree) - 1 AS i, count(*) OVER () AS n FROM d),
+tr AS (SELECT count(*) AS t FROM e a JOIN e b ON a.dst = b.src JOIN e c ON c.src = a.src AND c.dst = b.dst), tp AS (SELECT sum(degree * (degree - 1) // 2) AS p FROM d),
+k AS (SELECT node_type AS t, count(*)::DOUBLE AS d FROM s GROUP BY 1), l AS (SELECT src_type AS t, count(*)::DOUBLE AS l FROM e WHERE src_type = dst_type GROUP BY 1),
+q AS (SELECT sum(d * d) / pow(sum(d), 2) AS q FROM k), f AS (SELECT count(*) FILTER (WHERE node_type = other_type)::DOUBLE / count(*) AS x FROM s),
+v AS (SELECT 'nodes' AS metric, n AS value FROM n UNION ALL SELECT 'edges', m FROM n UNION ALL SELECT 'density', {r6('2 * m / (n * (n - 1))')} FROM n UNION ALL SELECT 'components', count(*)::DOUBLE FROM z UNION ALL SELECT 'largest', max(size)::DOUBLE FROM z
+  UNION ALL SELECT 'gini', {r6('sum((2 * i - n + 1) * degree)::DOUBLE / (any_value(n) * sum(degree))')} FROM g UNION ALL SELECT 'transitivity', {r6('3.0::DOUBLE * t / p')} FROM tr, tp
+  UNION ALL SELECT 'assortativity', {r6('(x - q) / (1 - q)')} FROM q, f UNION ALL SELECT 'modularity', {r6('sum(coalesce(l, 0) / m - (d / (2 * m)) * (d / (2 * m)))')} FROM k LEFT JOIN l USING (t), n)
+SELECT metric, value, 'ok' AS status FROM v""")
+def network_statistics(spark, d):
+    return graphs.network_statistics(edges(spark, d))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE regexp_matches(c_name, '(?i)CUSTOMER#0000000[0-4]') ORDER BY c_name, c_custkey LIMIT 20")
+def entity_search(spark, d):
+    rows = table(spark, d, "customer").where(graphs.matching(F.col("c_name"), "CUSTOMER#0000000[0-4]"))
+    return search.page(rows.select("c_custkey", "c_name"), ["c_name", "c_custkey"], per_page=20)
+
+
+@query("""SELECT i AS id, coalesce(c_name, 'Unknown') AS name, coalesce(c_mktsegment, 'UNKNOWN') AS type, coalesce(n, 0) AS n_orders FROM (SELECT unnest(generate_series(0, 400, 7)) AS i)
+LEFT JOIN customer ON c_custkey = i LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey""")
+def entities_bulk(spark, d):
+    wanted = spark.range(0, 401, 7)
+    n = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    rows = wanted.join(table(spark, d, "customer"), F.col("id") == F.col("c_custkey"), "left").join(n, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return rows.select("id", F.coalesce("c_name", F.lit("Unknown")).alias("name"), F.coalesce("c_mktsegment", F.lit("UNKNOWN")).alias("type"), F.coalesce("n", F.lit(0)).alias("n_orders"))
+
+
+@query(f"WITH {MENTIONS}, o AS (SELECT DISTINCT ent FROM m WHERE doc = 1) SELECT doc, string_agg(ent, ',' ORDER BY ent) AS shared FROM m JOIN o USING (ent) WHERE doc <> 1 GROUP BY doc HAVING count(*) >= 3")
+def shared_entities(spark, d):
+    return network.shared_entities(mentions(spark, d), 1, 3)
+
+
+@query(f"""WITH {BOTH}, t AS (SELECT node, other_type, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight FROM s GROUP BY ALL) SELECT node, other_type, n, weight FROM t""")
+def entity_type_distribution(spark, d):
+    return network.symmetric(edges(spark, d)).groupBy("node", "other_type").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
