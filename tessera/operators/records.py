@@ -107,3 +107,9 @@ def without_repeated_sentences(essays: DataFrame, key: str, text: str, parting:
     left = cut.withColumn("copy", copy).where("copy = 1").groupBy(key, "p", "n").agg(F.array_sort(F.collect_list(F.struct("i", "sentence"))).alias("s"))
     left = left.where(F.size("s") >= F.greatest(F.lit(1), F.floor(F.col("n") / 2))).select(key, "p", F.array_join("s.sentence", " ").alias("paragraph"))
     return left.groupBy(key).agg(F.count(F.lit(1)).alias("n_paragraphs"), F.array_join(F.array_sort(F.collect_list(F.struct("p", "paragraph")))["paragraph"], parting).alias("essay"))
+
+
+def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Of equal keys the row that comes first, whole."""
+    first = rows.groupBy(F.xxhash64(key).alias("h"), F.md5(key).alias("digest")).agg(F.min(order).alias(order)).select(order)
+    return rows.join(first, order, "left_semi")

@@ -64,3 +64,10 @@ def _text(column: Column, kind: str) -> Column:
     if kind == "map":
         return F.array_join(F.transform(F.map_values(column), lambda x: x.cast("string")), "\n")
     return column.cast("string")
+
+
+def page_with_totals(df: DataFrame, order: list, number: int = 1, per_page: int = 50) -> DataFrame:
+    """A page with ``total`` rows and ``total_pages`` beside each of its rows."""
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    sized = page(df, order, number, per_page).crossJoin(F.broadcast(total))
+    return sized.withColumn("total_pages", F.ceil(F.col("total") / per_page).cast("long"))

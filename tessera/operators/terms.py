@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import round6, tokens
@@ -26,3 +26,10 @@ def term_lift(docs: DataFrame, anchor: str, field: str = "text", min_doc_freq: i
     counts = counts.where((F.col("co_docs") >= min_co_docs) & (F.col("doc_freq") >= min_doc_freq))
     lift = ((F.col("co_docs") + 1) / (F.col("n_anchor") + 2)) / ((F.col("doc_freq") + 1) / (F.col("n") + 2))
     return counts.crossJoin(F.broadcast(totals)).select("term", "doc_freq", "co_docs", round6(lift).alias("lift"), round6(F.log2(lift)).alias("log2_lift"))
+
+
+def search_terms(docs: DataFrame, part: str, per_type: int = 50, field: str = "text") -> DataFrame:
+    """The commonest words and phrases that hold ``part``, with the numbers of all that do."""
+    both = unique_terms(docs, field).unionByName(unique_terms(docs, field, phrases=True)).where(F.contains("term", F.lit(part.lower())))
+    numbered = both.withColumns({"total": F.count(F.lit(1)).over(Window.partitionBy("type")), "total_records": F.count(F.lit(1)).over(Window.partitionBy()), "nth": F.row_number().over(Window.partitionBy("type").orderBy(F.desc("frequency"), "term"))})
+    return numbered.where(F.col("nth") <= per_type).select("type", "term", "frequency", "total", "total_records")
