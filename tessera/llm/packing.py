@@ -26,8 +26,8 @@ class Encoder:
     """Token ids of whole texts by a tokenizer file.
 
     A byte-level BPE file whose ids follow its merges is also run by a faster library, from the
-    same vocabulary; every thousandth text is held against the tokenizer itself, and a difference
-    is an error.
+    same vocabulary. The tokenizer itself encodes what that library refuses, such as a million
+    blanks in a row, and every thousandth text; where these differ it takes over for good.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,9 +57,17 @@ class Encoder:
         exact = self.tokenizer.encode(text, add_special_tokens=False).ids if self.fast is None or self.seen % 1000 == 1 else None
         if self.fast is None:
             return np.array(exact, np.uint32)
-        ids = self.fast.encode_to_numpy(text, allowed_special="all").astype(np.uint32)
+        try:
+            ids = self.fast.encode_to_numpy(text, allowed_special="all").astype(np.uint32)
+        except BaseException as error:
+            if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
+                raise
+            # The library's own panics are no Exception.
+            exact = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return np.array(exact, np.uint32)
         if exact is not None and ids.tolist() != exact:
-            raise ValueError("the fast encoder differs from the tokenizer file")
+            self.fast = None
+            return np.array(exact, np.uint32)
         return ids
 
 
@@ -81,7 +89,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, s
     the end is cut into powers of two, which need no padding.
 
     A null text is empty and gives ``end_id`` alone. Rows with equal or null ids are separate
-    documents. Rows stay in Arrow batches: nothing grows with the size of a group.
+    documents; rows with one id share a window only where nothing else is left, so copies of a
+    document do not stand side by side. Rows stay in Arrow batches: nothing grows with the size
+    of a group, and a very long text is cut as it is encoded. An empty table gives no rows; other
+    columns are ignored, so none can clash.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -118,7 +129,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, s
             for i in range(0, len(pdf), shard):
                 part = pdf.iloc[i : i + shard]
                 ids = [np.frombuffer(b, f"<u{width}") for b in part["ids"]]
-                rows = fill_windows(ids, window)
+                rows = fill_windows(ids, window, part["id"])
                 at = np.array([r[0] for r in rows])
                 picked = part.iloc[at]
                 yield pd.DataFrame(
@@ -180,9 +191,14 @@ class Index:
         return np.bincount(self.doc[at], self.weight[at], self.n)
 
 
-def fill_windows(ids: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, sequence, offset) that cover all ids of a shard."""
+def fill_windows(ids: list[np.ndarray], window: int, names=None) -> list[tuple[int, int, int, int, int]]:
+    """Pieces (document, start, length, sequence, offset) that cover all ids of a shard.
+
+    Documents of one name are kept out of each other's windows while there are others.
+    """
     index = Index(ids)
+    # Rows without a name are no copies of each other.
+    named = np.arange(len(ids)) if names is None else np.where(pd.isna(names), -1 - np.arange(len(ids)), pd.factorize(np.asarray(names))[0])
     left, start = np.array([len(x) for x in ids]), np.zeros(len(ids), int)
     rows, sequence = [], 0
     for seed in np.argsort(-left, kind="stable"):
@@ -201,6 +217,8 @@ def fill_windows(ids: list[np.ndarray], window: int) -> list[tuple[int, int, int
             if ranked is None:
                 ranked = np.argsort(-index.scores(seed), kind="stable")
             unused = ranked[left[ranked] > 0]
+            others = unused[~np.isin(named[unused], named[[p[0] for p in pieces]])]
+            unused = others if len(others) else unused
             fits = left[unused] <= room
             take = int(unused[np.argmax(fits)])
         if room:
