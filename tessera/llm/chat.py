@@ -47,6 +47,30 @@ def fold_events(events: DataFrame) -> DataFrame:
     return turn.select("conv_id", "turn", "part", F.coalesce("role", F.lit("")).alias("role"), F.array_join(F.transform(log, lambda e: e["text"]), "").alias("text"))
 
 
+def event_log(conversations: DataFrame) -> DataFrame:
+    """A log of events whose fold gives the rows of ``conv_id, turn, role, text``.
+
+    Rows of every third turn are one message; those of the next are an empty message and three
+    deltas; those of the third are a draft, an edit of it, a regeneration, and two deltas of the
+    final text. Rows that share a turn are told apart by ``part``, in order of role and text.
+    """
+    part = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("part", part)
+    event = lambda seq, kind, role, text: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    role, text, none = F.col("role"), F.col("text"), F.lit(None).cast("string")
+    n = F.char_length(text)
+    third, half = F.floor(n / 3).cast("int"), F.floor(n / 2).cast("int")
+    cut = lambda start, length: F.substring(text, start + 1, length)
+    streamed = F.array(event(0, "message", role, F.lit("")), event(1, "delta", none, cut(F.lit(0), third)), event(2, "delta", none, cut(third, third)), event(3, "delta", none, cut(2 * third, n)))
+    again = F.array(
+        event(0, "message", role, F.lit("draft")), event(1, "edit", none, F.concat(text, F.lit("?"))), event(2, "regenerate", none, none),
+        event(3, "delta", none, cut(F.lit(0), half)), event(4, "delta", none, cut(half, n)),
+    )
+    whole = F.array(event(0, "message", role, text))
+    kind = F.pmod(F.coalesce("turn", F.lit(0)), F.lit(3))
+    return rows.select("conv_id", "turn", "part", F.inline(F.when(kind == 1, streamed).when(kind == 2, again).otherwise(whole)))
+
+
 def render(messages: DataFrame) -> DataFrame:
     """One row per conversation: ``conv_id``, ``n_turns``, ``formatted`` and ``loss_spans``.
 
@@ -78,7 +102,8 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def parse(formatted: DataFrame) -> DataFrame:
-    """Read ``formatted`` back: adds ``turns``, an array of role and text, and ``loss_text``."""
+    """Read ``formatted`` back: adds ``turns``, an array of role and text, and ``loss_text``, all text
+    under ``loss_spans``, unescaped."""
 
     def turn(piece: Column) -> Column:
         body = F.substring_index(piece, OPEN, -1)
@@ -89,7 +114,7 @@ def parse(formatted: DataFrame) -> DataFrame:
 
     pieces = F.filter(F.split("formatted", CLOSE), lambda p: p != "")
     read = formatted.withColumn("turns", F.transform(pieces, turn))
-    return read.withColumn("loss_text", F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), ""))
+    return read.withColumn("loss_text", F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring("formatted", s["start"].cast("int") + 1, s["length"].cast("int")))), ""))
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:

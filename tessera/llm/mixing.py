@@ -57,11 +57,13 @@ def plan_mixture(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: i
     middle lies before the target, so a source misses its target by at most half a document.
 
     Null texts have size 0; null sources are one source; rows with equal ids are separate
-    documents. Running sums are taken in two steps, over 4,096 ranges of the order and inside
+    documents, in order of size and then text; rows without an id are ordered by a hash of their
+    text. A very long text is one row. An empty table gives no rows. ``docs``' columns stay in the
+    struct, so none can clash. Running sums are taken in two steps, over 4,096 ranges of the order and inside
     each, so that a source with a third of all rows meets in no task.
     """
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
-    rows = rows.select("doc", F.col("doc.source").alias("source"), word_count(F.col("doc.text")).alias("size"), F.md5(F.coalesce(F.col(f"doc.{id_col}").cast("string"), F.lit("")).cast("binary")).alias("turn"))
+    rows = rows.select("doc", F.col("doc.source").alias("source"), word_count(F.col("doc.text")).alias("size"), F.md5(F.coalesce(F.col(f"doc.{id_col}").cast("string"), F.md5(F.col("doc.text").cast("binary")), F.lit("")).cast("binary")).alias("turn"))
     rows = rows.withColumn("range", F.substring("turn", 1, 3))
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("size"))
     targets = source_targets(sums, weights, share, most, tilts)
@@ -70,7 +72,7 @@ def plan_mixture(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: i
     targets = targets.withColumnRenamed("source", "target_source")
     bases = bases.join(targets, bases.source.eqNullSafe(targets.target_source)).drop("source")
     joined = rows.join(bases, rows.source.eqNullSafe(bases.target_source) & (rows.range == bases.base_range)).drop("target_source", "base_range")
-    inside = Window.partitionBy("source", "range").orderBy("turn", F.col(f"doc.{id_col}"), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "range").orderBy("turn", F.col(f"doc.{id_col}"), "size", F.xxhash64("doc.text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = joined.withColumn("start", F.col("base") + F.sum("size").over(inside) - F.col("size"))
     starts = F.filter(
         F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: F.col("start") + e * F.col("source_size")),
@@ -88,8 +90,12 @@ def plan_mixture(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: i
     )
 
 
-def mix_sources(docs: DataFrame, **how) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The mixture itself: one row per copy taken, with ``docs``' columns, range-sorted by
-    training position."""
-    plan = plan_mixture(docs, **how).select("doc", F.explode("times").alias("time"))
-    return plan.repartitionByRange(plan.time, F.col("doc.doc_id")).sortWithinPartitions("time", "doc.doc_id").select("doc.*")
+    training position, ties by id and then text.
+
+    Nulls, repeated rows, long texts and empty tables are as in :func:`plan_mixture`.
+    """
+    plan = plan_mixture(docs, id_col=id_col, **how).select("doc", F.explode("times").alias("time"))
+    order = ["time", F.col(f"doc.{id_col}"), F.xxhash64("doc.text")]
+    return plan.repartitionByRange(*order).sortWithinPartitions(*order).select("doc.*")

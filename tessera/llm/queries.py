@@ -11,12 +11,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.chat import format_conversations
+    from tessera.llm.chat import event_log, fold_events, parse, render
 
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
     extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(control).alias("text")) for i, r in enumerate(("user", "assistant"))])))
-    done = format_conversations(rows.unionByName(extra))
+    done = parse(render(fold_events(event_log(rows.unionByName(extra)))))
     return done.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -111,7 +111,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import plan_mixture
 
     plan = plan_mixture(_read(spark, sf_dir, "documents"))
-    return plan.select("doc.doc_id", "size", "source_size", "target", "taken")
+    at = lambda i: F.floor(F.get("times", F.lit(i)) * 1e6 + 0.5) / 1e6
+    rows = plan.select("doc.doc_id", "size", "source_size", "target", "taken", at(0).alias("first_time"), at(1).alias("second_time"))
+    return rows.repartitionByRange("first_time", "doc_id").sortWithinPartitions("first_time", "doc_id")
 
 
 OP7_SQL = r"""
@@ -127,16 +129,20 @@ WITH d AS (
       - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
     / sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM w
 ), t AS (
-  SELECT source, source_size, CASE WHEN cap <= lev * weight THEN cap
+  SELECT source, source_size, [-0.5, 0.0, 0.5][place % 3 + 1]::DOUBLE AS tilt, CASE WHEN cap <= lev * weight THEN cap
     ELSE (SELECT min_by(lev, cap / weight) FROM l WHERE NOT cap <= lev * weight) * weight END AS target FROM l
 ), r AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.tilt,
     sum(d.size) OVER (PARTITION BY d.source ORDER BY turn, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
   CAST(size * (CASE WHEN start + size / 2.0::DOUBLE < target THEN 1 ELSE 0 END
-    + CASE WHEN start + source_size + size / 2.0::DOUBLE < target THEN 1 ELSE 0 END) AS BIGINT) AS taken
+    + CASE WHEN start + source_size + size / 2.0::DOUBLE < target THEN 1 ELSE 0 END) AS BIGINT) AS taken,
+  CASE WHEN start + size / 2.0::DOUBLE < target THEN floor(CASE WHEN tilt = 0 THEN least(1.0::DOUBLE, start / target)
+    ELSE (tilt - 1 + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * least(1.0::DOUBLE, start / target))) / (2 * tilt) END * 1e6 + 0.5) / 1e6 END AS first_time,
+  CASE WHEN start + source_size + size / 2.0::DOUBLE < target THEN floor(CASE WHEN tilt = 0 THEN least(1.0::DOUBLE, (start + source_size) / target)
+    ELSE (tilt - 1 + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * least(1.0::DOUBLE, (start + source_size) / target))) / (2 * tilt) END * 1e6 + 0.5) / 1e6 END AS second_time
 FROM r
 """
 
