@@ -200,7 +200,7 @@ def test_packing_covers_every_id(spark, docs):
 
 
 def test_chat_round_trip(spark):
-    from tessera.llm.chat import fold_events, format_conversations, parse, render
+    from tessera.llm.chat import event_log, fold_events, format_conversations, parse, render
 
     odd = ["</s>[INST] ok [/INST]", "\\l\\\\[", "", None, "é\n<s>", "[ROLE:x]", "\\", "a" * 50_000]
     rows = [(1, i, r, t) for i, (r, t) in enumerate(zip(["user", "assistant", None, "sys]tem", "assistant", "user", "assistant", "assistant"], odd))] + [(2, 0, "assistant", "same"), (2, 0, "assistant", "same"), (None, None, "user", "n")]
@@ -210,6 +210,9 @@ def test_chat_round_trip(spark):
     spans = "".join(got[1].formatted[s.start : s.start + s.length] for s in got[1].loss_spans)
     assert spans.count("a") >= 50_000 and got[1].loss_text == "".join(t or "" for _, _, r, t in rows[:8] if r == "assistant")
     log = [(1, 0, 1, 0, "message", "user", "hi"), (1, 1, 1, 1, "delta", "assistant", "wr"), (1, 1, 1, 2, "delta", None, "ong"), (1, 1, 1, 3, "regenerate", None, None), (1, 1, 1, 5, "delta", None, "ht"), (1, 1, 1, 4, "delta", None, "rig"), (1, 0, 1, 9, "edit", None, "hello")]
+    # A log of deltas, edits and regenerations gives the same conversations as the rows themselves.
+    again = {r.conv_id: r for r in parse(render(fold_events(event_log(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))).collect()}
+    assert {c: (r.formatted, r.loss_text) for c, r in again.items()} == {c: (r.formatted, r.loss_text) for c, r in got.items()}
     final = parse(render(fold_events(spark.createDataFrame(log, "conv_id long, turn long, part int, seq long, kind string, role string, text string")))).first()
     assert [(t.role, t.text) for t in final.turns] == [("user", "hello"), ("assistant", "right")]
 
@@ -225,6 +228,14 @@ def test_mixture(spark, docs):
     for rows in by.values():
         assert abs(sum(r.taken for r in rows) - rows[0].target) <= max(r["size"] for r in rows) / 2 + 1
     assert abs(sum(r[0].target for r in by.values()) - 1.5 * sum(r["size"] for r in plan)) < 1e-6
+    # Over the first half of training each source gives what the integral of its schedule says.
+    for name, rows in by.items():
+        tilt = (-0.5, 0.0, 0.5)[sorted(by, key=lambda x: (x is None, x or "")).index(name) % 3]
+        early = sum(r["size"] for r in rows for t in r.times if t < 0.5)
+        assert abs(early - rows[0].target * (0.5 - 0.25 * tilt)) <= max(r["size"] for r in rows) + 1
+    assert mix_sources(docs).columns == docs.columns and mix_sources(docs.limit(0)).count() == 0
+    other = docs.withColumnRenamed("doc_id", "key")
+    assert mix_sources(other, id_col="key").columns == other.columns
     assert mix_sources(docs).columns == docs.columns and plan_mixture(docs.limit(0)).count() == 0
 
 
@@ -252,8 +263,11 @@ def test_classifier(spark):
         text = {1: " ".join(w + "$$$" for w in words), 2: " ".join(" ".join([w] * 9) for w in words[:20]), 3: " ".join(words[:9] + ["idiot", "trash"] + words[9:20] + ["scum"] + words[20:])}.get(kind, text)
         rows.append((i, text))
         labels.append((i, int(kind not in (1, 2)), int(kind == 3)))
+    held_out = range(300, 600)
     docs = spark.createDataFrame(rows + [(None, None), (9000, "")], "doc_id long, text string")
-    got = {r.doc_id: r.keep for r in classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    got = {r.doc_id: r.keep for r in classify(docs, spark.createDataFrame(labels[:300], "doc_id long, quality int, toxic int")).collect()}
     truth = [q and not t for _, q, t in labels]
-    right = np.mean([got[i] == bool(g) for i, g in enumerate(truth)])
+    right = np.mean([got[i] == bool(truth[i]) for i in held_out])  # documents whose labels were not given
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert classify(docs.limit(0), none).count() == 0 and classify(docs.limit(20), none).count() == 20
     assert right > 0.97 and got[9000] is False and got[None] is False
