@@ -152,9 +152,9 @@ def toxic_lexicon(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_00
     """Words and stems that mark toxic documents in a sample of at most ``most_labelled`` rows.
 
     A word, or its first four or five letters with a star, counts if it follows at least eight
-    different words in toxic documents (copies of one document do not make it count) and 98% of
-    its uses are in toxic documents. The lexicon goes to every task, so at most ``most_terms``
-    are kept, those with most uses. Without labels only :data:`INSULTS` are left.
+    different words in toxic documents (copies of one document do not make it count; the
+    ``most_terms`` that follow most words are looked at, since the lexicon goes to every task) and
+    98% of its uses are in toxic documents. Without labels only :data:`INSULTS` are left.
     """
     named = labels.select(F.col(id_col).alias("id"), "toxic").where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     named = named.orderBy(F.xxhash64("id"), "id").limit(most_labelled)
@@ -165,7 +165,8 @@ def toxic_lexicon(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_00
     terms = F.explode(F.array("word", F.concat(F.substring("word", 1, 4), F.lit("*")), F.concat(F.substring("word", 1, 5), F.lit("*")))).alias("term")
     used = words.where("toxic = 1").select(F.explode(F.arrays_zip(F.col("words").alias("word"), F.concat(F.array(F.lit("")), "words").alias("before"))).alias("x")).where("x.word is not null")
     used = used.select(F.col("x.word").alias("word"), F.col("x.before").alias("before")).select(terms, "before").distinct().groupBy("term").count().where("count >= 8")
-    uses = words.select("toxic", F.explode("words").alias("word")).select("toxic", terms).join(used.select("term"), "term", "left_semi")
+    used = used.orderBy(F.desc("count"), "term").limit(most_terms).select("term")
+    uses = words.select("toxic", F.explode("words").alias("word")).select("toxic", terms).join(F.broadcast(used), "term", "left_semi")
     found = uses.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")).where("bad >= 0.98 * n")
     return frozenset(INSULTS) | {r["term"] for r in found.orderBy(F.desc("bad"), "term").limit(most_terms).collect()}
 
@@ -186,19 +187,14 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 12_000, bits: int
     """
     lexicon = Lexicon(toxic_lexicon(docs, labels, most_labelled, id_col=id_col, text_col=text_col))
 
-    @F.pandas_udf("junk array<int>, toxic array<int>, features binary")
-    def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = []
-            for text in texts:
-                x = Shares(text, lexicon)
-                rows.append((*votes(x), features(x, bits).astype(np.int32).tobytes()))
-            yield pd.DataFrame(rows, columns=["junk", "toxic", "features"])
-
-    # Each text is parsed once; votes, the sample and the scores are read from what that found.
-    seen = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), look(docs[text_col]).alias("x")).select("doc", "x.*")
-    seen = materialize(seen, "quality-seen")
-    patterns = seen.groupBy("junk", "toxic").count().collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            both = [votes(Shares(t, lexicon)) for t in pdf["text"]]
+            yield pd.DataFrame({"junk": [j for j, _ in both], "toxic": [t for _, t in both]})
+
+    patterns = rows.select("text").mapInPandas(vote, "junk array<int>, toxic array<int>").groupBy("junk", "toxic").count().collect()
     posterior = {}
     for task in ("junk", "toxic"):
         counts: dict[tuple, int] = {}
@@ -208,24 +204,36 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 12_000, bits: int
         bad = expectation_maximisation(np.array(keys), np.array([counts[k] for k in keys], float)) if keys else []
         posterior[task] = dict(zip(keys, bad))
 
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            shares = [Shares(t, lexicon) for t in pdf["text"]]
+            both = [votes(x) for x in shares]
+            yield pd.DataFrame(
+                {
+                    "place": pdf["place"],
+                    "junk": [posterior["junk"][tuple(j)] for j, _ in both],
+                    "toxic": [posterior["toxic"][tuple(t)] for _, t in both],
+                    "features": [features(x, bits).astype(np.int32).tobytes() for x in shares],
+                }
+            )
+
     n = sum(r["count"] for r in patterns)
     part = max(1, n // sample)
-    text = F.col(f"doc.{text_col}")
-    place = F.xxhash64(F.coalesce(F.col(f"doc.{id_col}").cast("string"), F.lit("")), F.coalesce(text, F.lit("")), F.lit(11))
+    place = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.lit(11))
     # About ``sample`` rows, fewer than twice as many, or in order of place where copies share one.
-    chosen = seen.where(F.pmod(place, F.lit(part)) == 0).select("junk", "toxic", "features", place.alias("place"))
+    chosen = rows.select("text", place.alias("place")).where(F.pmod("place", F.lit(part)) == 0).mapInPandas(learn, "place long, junk double, toxic double, features binary")
     chosen = chosen.orderBy("place", "features").limit(2 * sample).toPandas()
     x = [np.frombuffer(b, np.int32) for b in chosen["features"]]
-    weights = {task: train(x, np.array([posterior[task][tuple(v)] for v in chosen[task]], float), bits) for task in ("junk", "toxic")}
+    weights = {task: train(x, chosen[task].to_numpy(float), bits) for task in ("junk", "toxic")}
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # two vectors of 2^bits numbers
 
     @F.pandas_udf("junk double, toxic double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         w = shared.value
-        for found in batches:
-            rows = [np.frombuffer(b, np.int32) for b in found]
-            out = {task: np.array([w[task][f].sum() + w[task][-1] for f in rows]) for task in ("junk", "toxic")}
+        for texts in batches:
+            found = [features(Shares(t, lexicon), bits) for t in texts]
+            out = {task: np.array([w[task][f].sum() + w[task][-1] for f in found]) for task in ("junk", "toxic")}
             yield pd.DataFrame({task: 1 / (1 + np.exp(-np.clip(v, -30, 30))) for task, v in out.items()})
 
-    scored = seen.select("doc", score("features").alias("score"))
+    scored = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), score(docs[text_col]).alias("score"))
     return scored.select("doc", F.col(f"doc.{id_col}").alias(id_col), "score.junk", "score.toxic", ((F.col("score.junk") <= 0.5) & (F.col("score.toxic") <= 0.5)).alias("keep"))
