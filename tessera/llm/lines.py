@@ -89,7 +89,8 @@ def similar_lines(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
     line settles a line for good. The first compares each line with the earliest line that has one
     of its two ``ends``, so members of a large group of near copies meet one line and not each
     other. The second joins the prefixes by word, the later side without settled lines, and
-    verifies the likeliest pair of each line; the third, the other pairs of lines still open.
+    verifies the verifies the likeliest pair of each line; the third, the other pairs of lines still open that
+    wider sketches leave.
     """
     n, m, sketch, sketch2 = F.col("n"), F.col("m"), F.col("sketch"), F.col("sketch2")
     apart = F.bit_count(sketch.bitwiseXOR(sketch2))
@@ -111,6 +112,24 @@ def similar_lines(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
         tested = both.select("later", (shared >= F.lit(threshold) * (F.size(sets[0]) + F.size(sets[1]) - shared) - 1e-9).alias("similar"))
         return tested.groupBy(F.col("later").alias("no")).agg(F.max("similar").alias("similar")).where("similar").select("no")
 
+    def sharper(pairs: DataFrame) -> DataFrame:
+        """The pairs that sketches of 512 parities leave: those of 64 tell long lines apart badly.
+
+        Only lines of these pairs are sketched again, and 80 bytes of each are sent, not its text.
+        """
+        ends = pairs.select(F.explode(F.array("later", "earlier")).alias("no")).distinct()
+        few = ends.count() <= MOST_BROADCAST
+        texts = lines.select("no", "line").join(F.broadcast(ends) if few else ends, "no", "left_semi")
+        words = texts.select("no", F.explode(hashed(F.col("line"))).alias("h")).where("h is not null")
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+        slot = F.shiftright("h", 6).bitwiseAND(F.lit(7))
+        wide = words.groupBy("no").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.when(slot == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(8)])
+        wide = materialize(wide, "line-sketches")
+        sides = [wide.select(F.col("no").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("n", *[f"s{k}" for k in range(8)])]) for c in ("later", "earlier")]
+        differ = sum((F.bit_count(F.col(f"later_s{k}").bitwiseXOR(F.col(f"earlier_s{k}"))) for k in range(8)), F.lit(0))
+        left = pairs.join(sides[0], "later").join(sides[1], "earlier")
+        return left.where(differ <= F.lit((1 - threshold) / (1 + threshold)) * (F.col("later_n") + F.col("earlier_n")) + 1e-6).select("later", "earlier")
+
     keyed = lines.select("no", "owner", "pos", "n", "sketch", F.explode(F.array_distinct("ends")).alias("end"))
     hubs = keyed.groupBy("end").agg(F.min(F.struct("owner", "pos", "no", "n", "sketch")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     hubs = hubs.select("end", F.col("hub.no").alias("earlier"), F.col("hub.n").alias("m"), F.col("hub.sketch").alias("sketch2"))
@@ -139,7 +158,8 @@ def similar_lines(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
     few = found.count() <= MOST_BROADCAST
     found_ids = found.select(F.col("no").alias("later"))
     rest = met.select("later", "earlier").join(F.broadcast(found_ids) if few else found_ids, "later", "left_anti").distinct().join(likely, ["later", "earlier"], "left_anti")
-    return settled.union(found).union(verify(materialize(rest, "line-rest")))
+    rest = materialize(rest, "line-rest")
+    return settled.union(found).union(verify(materialize(sharper(rest), "line-last")))
 
 
 def remove_similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
