@@ -90,7 +90,7 @@ class _Block:
         n = max(0, len(text) - self.window + 1)
         self.open = (text[:n] == text[self.window - 1 : self.window - 1 + n]) & valid[text[:n]] if n else np.zeros(0, bool)
         self.hash, self.lane = {}, None
-        value = lane = self.words.hashes()
+        value, lane = self.words.hashes(), self.words.hashes(second=True)
         at = 1
         for longer in steps(self.window):
             if longer > 1:
@@ -134,9 +134,9 @@ class _Block:
         out = np.zeros(len(value), bool)
         mine = answers[answers["level"] == level] if answers is not None else ()
         if len(mine):
-            bucket = (value % np.uint64(buckets)).astype(np.int64)
+            where_of = _by_bucket(value, buckets)
             for b, packed in zip(mine["bucket"], mine["bits"]):
-                where = np.flatnonzero(bucket == b)
+                where = where_of(b)
                 out[where] = np.unpackbits(np.frombuffer(packed, np.uint8), count=len(where)).astype(bool)
         return out
 
@@ -144,15 +144,15 @@ class _Block:
         for earlier in range(level):
             self.narrow(earlier, answers, buckets)
         at, value, position, place = self.distinct(level)
-        bucket = (value % np.uint64(buckets)).astype(np.int64)
+        where_of = _by_bucket(value, buckets)
         last = level == len(self.levels) - 1
         if last:
             self.repeated_here(at, len(value), place)
             ids = np.unique(self.low)
             who = np.searchsorted(ids, self.low).astype(np.uint32)
         out = []
-        for b in np.unique(bucket):
-            where = bucket == b
+        for b in where_of():
+            where = where_of(b)
             row = [block, level, int(b), value[where].tobytes()]
             out.append(row + ([self.lane[position[where]].tobytes(), who[where].tobytes(), ids.tobytes()] if last else [None, None, None]))
         return pd.DataFrame(out, columns=["block", "level", "bucket", "hashes", "lane", "owner", "ids"])
@@ -184,6 +184,16 @@ class _Block:
         return pd.DataFrame({"doc_id": self.pdf["doc_id"].astype("Int64"), "n_words": np.diff(words.first), "n_removed": counts, "kept_text": texts})
 
 
+def _by_bucket(value: np.ndarray, buckets: int):
+    """A function from bucket to the places of its hashes, in order; without one, all buckets met."""
+    bucket = (value % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    met, first = np.unique(bucket[order], return_index=True)
+    last = np.append(first[1:], len(order))
+    at = {int(b): order[i:j] for b, i, j in zip(met, first, last)}
+    return lambda b=None: list(at) if b is None else at.get(int(b), order[:0])
+
+
 def _runs(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """All hashes of a bucket and the row that sent each."""
     parts = [np.frombuffer(h, np.uint64) for h in pdf["hashes"]]

@@ -9,6 +9,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _U = np.uint64
 _BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_BYTE2 = np.random.default_rng(20240608).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[str, np.ndarray] = {}
@@ -45,10 +46,11 @@ class Words:
         self.first = np.searchsorted(self.text, np.arange(len(parts) + 1))
         self._flat = flat
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, second: bool = False) -> np.ndarray:
+        """A hash of each word; ``second`` takes other values for the bytes."""
         n = len(self._flat)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self._flat] * _power("up", _BASE, n), out=total[1:])
+        np.cumsum((_BYTE2 if second else _BYTE)[self._flat] * _power("up", _BASE, n), out=total[1:])
         value = (total[self.end] - total[self.start]) * _power("down", _INVERSE, n + 1)[self.start]
         return mix(value + (self.end - self.start).astype(np.uint64))
 
