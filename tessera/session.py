@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -57,3 +58,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     finally:
         spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`materialize` wrote and that nothing is going to read any more."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        if re.fullmatch(r".+-[0-9a-f]{32}", folder.getName()):
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
