@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import discard, materialize
 
 #: Slots of the table of word counts. Its size is fixed; words that share a slot share a rarity.
 SLOTS = 1 << 16
@@ -200,6 +200,9 @@ def remove_similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str =
     removed = places.join(judged, ["key", "key2"]).where("gone or first < owner")
     names = {c: f"of_{c}" for c in ("owner", "row", "row2")}
     removed = removed.groupBy(*[F.col(c).alias(a) for c, a in names.items()]).agg(F.collect_set("pos").alias("removed"))
+    # From here on places are all that is needed: the texts of the lines make room for the documents.
+    removed = materialize(removed, "lines-removed")
+    discard(lines)
     joined = rows.join(removed, [F.col(c) == F.col(a) for c, a in names.items()], "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("distinct") - 1), F.coalesce("removed", F.array().cast("array<int>")))
     kept = F.transform(left, lambda i: F.get("distinct", i))
