@@ -89,7 +89,7 @@ def similar_lines(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
     line settles a line for good. The first compares each line with the earliest line that has one
     of its two ``ends``, so members of a large group of near copies meet one line and not each
     other. The second joins the prefixes by word, the later side without settled lines, and
-    verifies the verifies the likeliest pair of each line; the third, the other pairs of lines still open that
+    verifies the likeliest pair of each line; the third, the other pairs of lines still open that
     wider sketches leave.
     """
     n, m, sketch, sketch2 = F.col("n"), F.col("m"), F.col("sketch"), F.col("sketch2")
@@ -180,12 +180,16 @@ def remove_similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str =
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
     text = F.col(f"doc.{text_col}")
     owner = F.coalesce(F.col(f"doc.{id_col}").cast("long"), F.lit(2**63 - 1)).alias("owner")
-    rows = rows.select("doc", owner, F.xxhash64(text).alias("row"), F.xxhash64(F.lit("second"), text).alias("row2"), F.split(text, "\n").alias("lines"))
-    # A line without words gets its number behind a line end, so that array_distinct keeps it.
-    apart = F.transform("lines", lambda line, i: F.when(has_words(line), line).otherwise(F.concat(line, F.lit("\n"), i)))
-    rows = rows.withColumn("repeats", F.size(F.array_distinct("lines")) < F.size("lines"))
-    rows = rows.withColumn("distinct", F.when(F.col("repeats"), F.array_distinct(apart)).otherwise(F.col("lines")))
-    each = rows.select("owner", "row", "row2", F.posexplode("distinct").alias("pos", "line")).where(has_words(F.col("line")) & ~F.col("line").contains("\n"))
+    rows = rows.select("doc", owner, F.xxhash64(text).alias("row"), F.xxhash64(F.lit("second"), text).alias("row2"))
+
+    def parted(df: DataFrame) -> DataFrame:
+        """``df`` with its text's lines. Called on either side of a join, for its exchange to move the text alone."""
+        # A line without words gets its number behind a line end, so that array_distinct keeps it.
+        apart = F.transform("lines", lambda line, i: F.when(has_words(line), line).otherwise(F.concat(line, F.lit("\n"), i)))
+        df = df.withColumn("lines", F.split(text, "\n")).withColumn("repeats", F.size(F.array_distinct("lines")) < F.size("lines"))
+        return df.withColumn("distinct", F.when(F.col("repeats"), F.array_distinct(apart)).otherwise(F.col("lines")))
+
+    each = parted(rows).select("owner", "row", "row2", F.posexplode("distinct").alias("pos", "line")).where(has_words(F.col("line")) & ~F.col("line").contains("\n"))
     table = rarity_table(each.select("line"))
 
     keyed = each.select(*line_key(F.col("line")), "owner", "pos", "line")
@@ -203,7 +207,7 @@ def remove_similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str =
     # From here on places are all that is needed: the texts of the lines make room for the documents.
     removed = materialize(removed, "lines-removed")
     discard(lines)
-    joined = rows.join(removed, [F.col(c) == F.col(a) for c, a in names.items()], "left")
+    joined = parted(rows.join(removed, [F.col(c) == F.col(a) for c, a in names.items()], "left"))
     left = F.array_except(F.sequence(F.lit(0), F.size("distinct") - 1), F.coalesce("removed", F.array().cast("array<int>")))
     kept = F.transform(left, lambda i: F.get("distinct", i))
     kept = F.when(F.col("repeats"), F.transform(kept, lambda line: F.substring_index(line, "\n", 1))).otherwise(kept)
