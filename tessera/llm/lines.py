@@ -208,6 +208,8 @@ def remove_similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str =
     removed = materialize(removed, "lines-removed")
     discard(lines)
     joined = parted(rows.join(removed, [F.col(c) == F.col(a) for c, a in names.items()], "left"))
+    # Generated, since a caller's filter would otherwise be pushed below with the split inside its lambda, for each line.
+    joined = joined.select("doc", "removed", F.explode(F.array(F.struct("lines", "repeats", "distinct"))).alias("parts")).select("doc", "removed", "parts.*")
     left = F.array_except(F.sequence(F.lit(0), F.size("distinct") - 1), F.coalesce("removed", F.array().cast("array<int>")))
     kept = F.transform(left, lambda i: F.get("distinct", i))
     kept = F.when(F.col("repeats"), F.transform(kept, lambda line: F.substring_index(line, "\n", 1))).otherwise(kept)
