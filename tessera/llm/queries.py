@@ -197,6 +197,47 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text, as :func:`tessera.llm.personal.find_personal` defines it for nulls, empties and repeats."""
+    from tessera.llm.personal import BASE, find_personal, span_list
+
+    done = find_personal(_read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    scores = F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",")
+    return done.select("doc_id", *[count(kind) for kind in BASE], F.sha2(span_list(base), 256).alias("base_sha256"), span_list("spans").alias("spans"), scores.alias("scores"))
+
+
+#: Base kinds only: the tables given hold none of the kinds that the operator adds. Those are tested without SQL.
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents
+), p(kind, place, pattern, prior, near) AS (
+  VALUES ('email', 1, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', 80, '(?:^|[^a-z])(?:mail|contact|write to)'),
+    ('ip', 2, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)', 60, '(?:^|[^a-z])(?:ip|address|host|server|login)'),
+    ('card', 3, '[0-9](?:[\x20-]?[0-9])+', 75, '(?:^|[^a-z])(?:card|visa|credit|payment|cvv)'),
+    ('phone', 4, '\+[0-9][\x20().0-9-]+[0-9]', 60, '(?:^|[^a-z])(?:phone|tel|call|fax|mobile)')
+), x AS (
+  SELECT row, t, kind, place, prior, near, regexp_extract_all(t, pattern) AS m, regexp_split_to_array(t, pattern) AS g FROM d, p
+), y AS (
+  SELECT row, t, kind, place, prior, near, m, g, unnest(generate_series(1, len(m))) AS i FROM x
+), z AS (
+  SELECT row, t, kind, place, prior, near, m[i] AS v, regexp_replace(m[i], '[^0-9]', '', 'g') AS n,
+    CAST(list_sum(list_transform(g[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda s: length(s))), 0) AS BIGINT) AS a FROM y
+), s AS (
+  SELECT row, kind, place, a, a + length(v) AS z, prior + CASE WHEN regexp_matches(lower(substring(t, greatest(a - 40, 0) + 1, least(a, 40)) || ' ' || substring(t, a + length(v) + 1, 40)), near) THEN 20 ELSE 0 END AS score FROM z
+  WHERE CASE kind WHEN 'ip' THEN list_max(list_transform(string_split(v, '.'), lambda q: CAST(q AS HUGEINT))) <= 255
+    WHEN 'card' THEN length(n) BETWEEN 12 AND 19 AND list_sum(list_transform(generate_series(1, length(n)), lambda k:
+      CASE WHEN (length(n) - k) % 2 = 0 THEN CAST(n[k] AS INTEGER) ELSE CAST(n[k] AS INTEGER) * 2 - CASE WHEN CAST(n[k] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    WHEN 'phone' THEN length(n) BETWEEN 9 AND 15 ELSE true END
+), r AS (
+  SELECT row, count(*) FILTER (WHERE kind = 'email') AS e, count(*) FILTER (WHERE kind = 'ip') AS i, count(*) FILTER (WHERE kind = 'card') AS c, count(*) FILTER (WHERE kind = 'phone') AS f,
+    string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, place) AS spans, string_agg(CAST(least(score, 100) AS VARCHAR), ',' ORDER BY a, place) AS scores FROM s GROUP BY row
+)
+SELECT doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(f, 0) AS n_phone,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN r USING (row)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_chat_formatting": op1_chat_formatting,
@@ -209,8 +250,9 @@ def queries() -> dict:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_simhash": op10_simhash,
+        "op12_personal_data": op12_personal_data,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op7_mixing": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op9_nearest_neighbours": OP9_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op7_mixing": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op9_nearest_neighbours": OP9_SQL, "op12_personal_data": OP12_SQL}
