@@ -197,6 +197,39 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of each language by cohesion, as :func:`tessera.llm.phrases.collocations` defines them for nulls, empties and repeats."""
+    from tessera.llm.phrases import collocations
+
+    return collocations(_read(spark, sf_dir, "documents"), least=30, top=2000)
+
+
+OP11_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), t AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, size, w[i:i + size - 1] AS g FROM (SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(w) >= size)
+), f AS MATERIALIZED (
+  SELECT lang, size, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30
+), c AS (
+  SELECT lang, size, g, f AS a, unnest(generate_series(1, size - 1)) AS k FROM f WHERE size >= 2
+), s AS (
+  SELECT c.lang, c.size, c.g, a, k, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * a // (x.f::HUGEINT + y.f) AS BIGINT) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:c.size]
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.g ORDER BY score, k) = 1
+), b AS (
+  SELECT lang, g[i:i + m - 1] AS g, max(f) AS longer FROM (SELECT lang, g, f, m, unnest(generate_series(1, size - m + 1)) AS i FROM f, (SELECT unnest([2, 3]) AS m) WHERE size > m) GROUP BY ALL
+), r AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM s LEFT JOIN b USING (lang, g) WHERE longer IS NULL OR 100 * longer < 80 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM r JOIN t USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text, as :func:`tessera.llm.personal.find_personal` defines it for nulls, empties and repeats."""
     from tessera.llm.personal import BASE, find_personal, span_list
@@ -238,6 +271,34 @@ SELECT doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0)
 """
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each item, as :func:`tessera.llm.search.ranked_search` defines them for nulls, empties and repeats."""
+    from tessera.llm.search import ranked_search
+
+    return ranked_search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=10)
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), z AS (
+  SELECT count(*) FILTER (WHERE len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d
+), p AS (
+  SELECT row, doc_id, CAST(len(w) AS BIGINT) AS size, unnest(w) AS t FROM d
+), tf AS (
+  SELECT row, doc_id, size, t, count(*) AS tf FROM p GROUP BY ALL
+), q AS (
+  SELECT DISTINCT i, item_id, t FROM (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)
+), df AS (
+  SELECT t, count(*) AS df FROM tf WHERE t IN (SELECT t FROM q) GROUP BY t
+), s AS (
+  SELECT i, item_id, row, doc_id, CAST(sum(CAST(floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * size * n) // l)))) AS BIGINT) AS score
+  FROM q JOIN df USING (t) JOIN tf USING (t), z GROUP BY i, item_id, row, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 def queries() -> dict:
     return {
         "op1_chat_formatting": op1_chat_formatting,
@@ -250,9 +311,11 @@ def queries() -> dict:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_simhash": op10_simhash,
+        "op11_collocations": op11_collocations,
         "op12_personal_data": op12_personal_data,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op7_mixing": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op9_nearest_neighbours": OP9_SQL, "op12_personal_data": OP12_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op7_mixing": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op9_nearest_neighbours": OP9_SQL, "op11_collocations": OP11_SQL, "op12_personal_data": OP12_SQL, "op13_ranked_search": OP13_SQL}
