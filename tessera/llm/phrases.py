@@ -137,136 +137,70 @@ def _grouped(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [k[at] for k in keys], np.diff(np.append(at, len(order)))
 
 
-def _pairs(encoded: DataFrame) -> DataFrame:
-    """Neighbouring words of each block, counted in it: ``hi`` (both numbers), ``block, n``."""
+def _windows(encoded: DataFrame) -> DataFrame:
+    """The two to four frequent words from each place on, counted in each block: ``hi, lo, n``.
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(1)[i].as_py(), np.uint32).astype(_U)
-                good = (ids[:-1] > 0) & (ids[1:] > 0)
-                (hi,), n = _grouped([(ids[:-1] << _U(32) | ids[1:])[good].view(np.int64)])
-                block = batch.column(0)[i].as_py()
-                for at in range(0, len(hi), 1 << 16):
-                    part = hi[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), block)), pa.array(n[at : at + (1 << 16)])], names=["hi", "block", "n"])
-
-    return encoded.mapInArrow(pair, "hi long, block long, n long")
-
-
-def _frequent_pairs(pairs: DataFrame, least: int) -> DataFrame:
-    """Runs of equal ``hi`` whose counts reach ``least``: each row of the run, and one row with
-    block -1 for its sum.
-
-    Equal keys lie in one range partition, next to each other. Of a run that a batch leaves open
-    only the sum is kept once it is frequent; until then it has fewer than ``least`` rows.
+    ``hi`` holds the first two numbers and ``lo`` the next two, 0 where a piece or a run of
+    frequent words ends, so a window holds all phrases that begin at its place.
     """
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = np.zeros(0, np.int64)
-        hi, block, n = empty, empty, empty
-        passed, total = None, 0
-        for batch in batches:
-            new = [batch.column(j).to_numpy() for j in range(3)]
-            hi, block, n = (np.concatenate(x) for x in zip((hi, block, n), new))
-            if not len(hi):
-                continue
-            start = np.flatnonzero(np.append(True, hi[1:] != hi[:-1]))
-            sums = np.add.reduceat(n, start)
-            first, last = hi[0] == passed, len(start) - 1
-            sums[0] += total if first else 0
-            if passed is not None and not first:
-                yield _rows([passed], [-1], [total])
-            many = sums >= least
-            many[0] |= bool(first)
-            closed = many.copy()
-            closed[last] = False
-            keep = np.repeat(many, np.diff(np.append(start, len(hi))))
-            yield _rows(np.append(hi[keep], hi[start][closed]), np.append(block[keep], np.full(closed.sum(), -1)), np.append(n[keep], sums[closed]))
-            if many[last]:
-                passed, total = hi[-1], sums[last]
-                hi, block, n = empty, empty, empty
-            else:
-                passed, total = None, 0
-                hi, block, n = (x[start[last] :] for x in (hi, block, n))
-        if passed is not None:
-            yield _rows([passed], [-1], [total])
-
-    return pairs.repartitionByRange("hi").sortWithinPartitions("hi").mapInArrow(runs, "hi long, block long, n long")
-
-
-def _rows(*columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], names=["hi", "block", "n"])
-
-
-def _windows(encoded: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Windows of three or four words whose neighbouring pairs are all frequent, counted by block.
-
-    ``hi`` holds two numbers, ``lo`` the next two; the last is 0 where only three words qualify.
-    """
-    listed = frequent.where("block >= 0").groupBy("block").agg(F.collect_list("hi").alias("pairs"))
-
     def window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(0)[i].as_py(), np.uint32).astype(_U)
-                known = np.sort(batch.column(1)[i].values.to_numpy())
-                pair = (ids[:-1] << _U(32) | ids[1:]).view(np.int64)
-                at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
-                good = known[at] == pair
-                three = np.flatnonzero(good[:-1] & good[1:])
-                last = np.append(ids, _U(0))[three + 3]
-                four = np.append(good, False)[three + 2]
-                lo = (ids[three + 2] << _U(32) | np.where(four, last, _U(0))).view(np.int64)
-                (hi, lo), n = _grouped([pair[three], lo]) if len(three) else ([pair[three], lo], np.zeros(0, np.int64))
+                ids = np.append(np.frombuffer(batch.column(0)[i].as_py(), np.uint32), np.zeros(3, np.uint32)).astype(_U)
+                at = np.flatnonzero((ids[:-3] > 0) & (ids[1:-2] > 0))
+                third = ids[at + 2]
+                fourth = np.where(third > 0, ids[at + 3], _U(0))
+                (hi, lo), n = _grouped([(ids[at] << _U(32) | ids[at + 1]).view(np.int64), (third << _U(32) | fourth).view(np.int64)])
                 for at in range(0, len(hi), 1 << 16):
                     to = at + (1 << 16)
                     yield pa.RecordBatch.from_arrays([pa.array(hi[at:to]), pa.array(lo[at:to]), pa.array(n[at:to])], names=["hi", "lo", "n"])
 
-    return encoded.join(listed, "block").select("ids", "pairs").mapInArrow(window, "hi long, lo long, n long")
+    return encoded.select("ids").mapInArrow(window, "hi long, lo long, n long")
 
 
 def _run_lengths(windows: DataFrame, least: int) -> DataFrame:
-    """Counts of phrases of three and four words from sorted windows: ``hi, lo, f``.
+    """Counts of phrases of two to four words from sorted windows: ``hi, lo, f``.
 
-    A phrase of three is a run of windows with equal first three numbers. Only the first and last
-    run of a partition may go on in the next, so these are passed on whatever their count, and
-    sums over equal keys settle them.
+    A phrase is a run of windows with equal first numbers: ``hi`` for two words, also the upper
+    half of ``lo`` for three, all of it for four. Of the run that a batch leaves open only key and
+    count are kept. The first and the last run of a partition may be parts of a longer one; they
+    are passed on whatever their count, and sums over equal keys settle them.
     """
+    masks = (0, ~((1 << 32) - 1), -1)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
-        edge = True
+        open_: list[tuple | None] = [None] * 3
+        first = [True] * 3
+
+        def rows(hi, lo, f) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in (hi, lo, f)], names=["hi", "lo", "f"])
+
         for batch in batches:
-            held = [np.concatenate([h, batch.column(j).to_numpy()]) for j, h in enumerate(held)]
-            if not len(held[0]):
+            if not batch.num_rows:
                 continue
-            # Sum equal windows, so that what is held grows with the different fourth words only.
-            hi, lo, n = held
-            new = np.flatnonzero(np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])))
-            hi, lo, n = hi[new], lo[new], np.add.reduceat(n, new)
-            third = lo >> 32
-            open_ = np.flatnonzero(np.append(True, (hi[1:] != hi[:-1]) | (third[1:] != third[:-1])))[-1]
-            if open_:
-                yield from emit(hi[:open_], lo[:open_], n[:open_], edge, False)
-                edge = False
-            held = [hi[open_:], lo[open_:], n[open_:]]
-        if len(held[0]):
-            yield from emit(*held, edge, True)
-
-    def emit(hi, lo, n, first_open: bool, last_open: bool) -> Iterator[pa.RecordBatch]:
-        third = (lo >> 32) << 32
-        start = np.flatnonzero(np.append(True, (hi[1:] != hi[:-1]) | (third[1:] != third[:-1])))
-        sums = np.add.reduceat(n, start)
-        keep = sums >= least
-        keep[0] |= first_open
-        keep[-1] |= last_open
-        fourth = (lo != third) & np.repeat(keep, np.diff(np.append(start, len(hi)))) & (n >= least)
-        at_edge = np.zeros(len(start), bool)
-        at_edge[0], at_edge[-1] = first_open, at_edge[-1] | last_open
-        fourth |= (lo != third) & np.repeat(at_edge, np.diff(np.append(start, len(hi))))
-        columns = [np.append(hi[start][keep], hi[fourth]), np.append(third[start][keep], lo[fourth]), np.append(sums[keep], n[fourth])]
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["hi", "lo", "f"])
+            hi, lo, n = (batch.column(j).to_numpy() for j in range(3))
+            for level, mask in enumerate(masks):
+                key = lo & np.int64(mask)
+                start = np.flatnonzero(np.append(True, (hi[1:] != hi[:-1]) | (key[1:] != key[:-1])))
+                sums = np.add.reduceat(n, start)
+                heads, tails = hi[start], key[start]
+                if open_[level] is not None:
+                    if open_[level][:2] == (heads[0], tails[0]):
+                        sums[0] += open_[level][2]
+                    else:
+                        heads, tails, sums = (np.append(x, y) for x, y in zip(open_[level], (heads, tails, sums)))
+                open_[level] = heads[-1], tails[-1], sums[-1]
+                keep = sums[:-1] >= least
+                if len(keep):
+                    keep[0] |= first[level]
+                    first[level] = False
+                # A window whose last number is 0 is no phrase of that many words.
+                keep &= level == 0 or (tails[:-1] & np.int64(0xFFFFFFFF if level == 2 else mask)) != 0
+                yield rows(heads[:-1][keep], tails[:-1][keep], sums[:-1][keep])
+        for level, last in enumerate(open_):
+            if last is not None and (level == 0 or last[1] & np.int64(0xFFFFFFFF if level == 2 else masks[level])):
+                yield rows([last[0]], [last[1]], [last[2]])
 
     partial = windows.repartitionByRange("hi", "lo").sortWithinPartitions("hi", "lo").mapInArrow(runs, "hi long, lo long, f long")
     return partial.groupBy("hi", "lo").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
@@ -284,18 +218,15 @@ def phrase_counts(docs: DataFrame, least: int = 30, text_col: str = "text", lang
     words = materialize(dictionary(blocks, least), "phrase-dictionary")
     encoded = materialize(_encoded(blocks, words), "phrase-ids")
     discard(blocks)
-    pairs = materialize(_pairs(encoded), "phrase-pairs")
-    frequent = materialize(_frequent_pairs(pairs, least), "phrase-frequent")
-    discard(pairs)
-    windows = materialize(_windows(encoded, frequent), "phrase-windows")
+    windows = materialize(_windows(encoded), "phrase-windows")
+    discard(encoded)
     low = (1 << 32) - 1
     upper = lambda c: F.shiftrightunsigned(c, 32)
     lower = lambda c: F.col(c).bitwiseAND(low)
     none = F.lit(0).cast("long")
     one = words.select(F.col("id").alias("w1"), none.alias("w2"), none.alias("w3"), none.alias("w4"), "f")
-    two = frequent.where("block = -1").select(upper("hi").alias("w1"), lower("hi").alias("w2"), none.alias("w3"), none.alias("w4"), F.col("n").alias("f"))
     more = _run_lengths(windows, least).select(upper("hi").alias("w1"), lower("hi").alias("w2"), upper("lo").alias("w3"), lower("lo").alias("w4"), "f")
-    return words, materialize(one.unionByName(two).unionByName(more), "phrase-counts"), totals
+    return words, materialize(one.unionByName(more), "phrase-counts"), totals
 
 
 _W = ["w1", "w2", "w3", "w4"]
@@ -316,8 +247,9 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, text_col: st
     (kept or not) with four fifths of its count is dropped. Equal scores are ranked by count, then
     by phrase in byte order.
 
-    No part of a frequent phrase is rarer than the phrase: texts are read as numbers of frequent
-    words, pairs are counted first, and longer windows only where all pairs are frequent.
+    No word of a frequent phrase is rarer than the phrase: texts are read as numbers of frequent
+    words, and each place gives one window of up to four of them, which counts for all phrases
+    that begin there. Windows are counted in blocks first, then sorted by range and counted by runs.
 
     A null or empty text has no words. Rows with equal or null ids are separate texts and repeated
     rows count again; no id is read. A very long text is cut at ends of pieces. An empty table
