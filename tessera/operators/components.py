@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import discard, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 40) -> DataFrame:
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         links = least.select("u", F.col("m").alias("v"))
-        pairs = materialize(small.union(links).where("u <> v").distinct(), "components")
+        before, pairs = pairs, materialize(small.union(links).where("u <> v").distinct(), "components")
+        discard(before)
         now = _digest(pairs)
         if now == seen:
             break

@@ -63,8 +63,9 @@ def corpus_map(docs: DataFrame, year: Column) -> DataFrame:
 
 def merge_patterns(found: DataFrame, high: int = 20, medium: int = 10) -> DataFrame:
     """Equal patterns of ``pattern, seq, evidence`` (an array) as one: its evidence, first text and confidence."""
-    key = F.lower(F.trim("pattern"))
-    done = found.groupBy(key.alias("key")).agg(F.min_by("pattern", "seq").alias("pattern"), F.count(F.lit(1)).alias("times"), F.size(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("n_evidence"))
+    keyed = found.withColumn("key", F.lower(F.trim("pattern")))
+    counted = keyed.select("key", F.explode("evidence").alias("entry")).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_evidence"))
+    done = keyed.groupBy("key").agg(F.min_by("pattern", "seq").alias("pattern"), F.count(F.lit(1)).alias("times")).join(counted, "key", "left").withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0)))
     level = F.when(F.col("n_evidence") >= high, "high").when(F.col("n_evidence") >= medium, "medium").otherwise("low")
     return done.withColumn("confidence", level)
 
@@ -200,29 +201,6 @@ def without_empty(df: DataFrame) -> Column:
     return F.to_json(F.struct(*kept), {"ignoreNullFields": "true"})
 
 
-def first_fit_clusters(rows: DataFrame, group: str, order: str, threshold: float) -> DataFrame:
-    """Greedy clusters of ``group, order, embedding``: each row joins the first cluster whose first member has a
-    cosine of at least ``threshold`` with it, else starts one. A group is one bounded run of results."""
-    import numpy as np
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x = np.stack([np.asarray(v, float) for v in pdf["embedding"]])
-        x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
-        heads, out = [], []
-        for i in range(len(x)):
-            near = np.flatnonzero(x[heads] @ x[i] >= threshold) if heads else ()
-            if len(near):
-                out.append(int(near[0]))
-            else:
-                out.append(len(heads))
-                heads.append(i)
-        return pdf[[group, order]].assign(cluster=out)
-
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, {order} {kinds[order]}, cluster int")
-
-
 def keyword_retriever(docs: DataFrame, query: str, fields: list[str], where: dict | None = None, limit: int = 20, key: str = "doc_id") -> DataFrame:
     """Documents that hold the whole query in any of the fields and fit the metadata filter, by key."""
     hit = F.lit(False)

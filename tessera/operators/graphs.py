@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import round6
 from tessera.operators.network import symmetric, without_rare_persons
+from tessera.operators.numbering import number_rows
 from tessera.operators.statistics import assortativity, degrees, gini, graph_summary, modularity, triangles
-from tessera.session import materialize
+from tessera.session import discard, materialize
 
 
 def filtered_graph(edges: DataFrame, mentions: DataFrame, types: list[str] | None = None, min_weight: int = 1, max_edges: int = 50_000, least_mentions: int = 1, kind: str = "PERSON") -> DataFrame:
@@ -41,21 +43,28 @@ def degree_percentiles(edges: DataFrame) -> DataFrame:
     return upto.agg(pick(0.9, 10).alias("p90"), pick(0.95, 20).alias("p95"), pick(0.99, 100).alias("p99"))
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int = 16) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
     """Hops from each of ``sources`` (``source``, a stated set) to every node it reaches: ``source, node, hops``.
 
-    Each round joins the newest frontier with the edges and drops what is known; rounds stop when
-    nothing is new, or after ``most``.
+    Each round joins the newest frontier with the edges and drops what is known, until nothing is
+    new. A node behind the newest frontier lies on it or on the one before, so only these two are
+    compared. With ``most``, an error is raised where a path has more hops.
     """
     both = materialize(symmetric(edges).select("node", "other"), "both-ways")
-    known = front = materialize(sources.select("source", F.col("source").alias("node"), F.lit(0).alias("hops")), "distances")
-    for hop in range(1, most + 1):
-        reached = front.join(both, "node").select("source", F.col("other").alias("node")).distinct().join(known.select("source", "node"), ["source", "node"], "left_anti")
-        front = materialize(reached.withColumn("hops", F.lit(hop)), "distances")
+    before, front = None, materialize(sources.select("source", F.col("source").alias("node"), F.lit(0).alias("hops")).distinct(), "distances")
+    known, hop = [front], 0
+    while True:
+        hop += 1
+        near = front if before is None else front.unionByName(before)
+        reached = front.join(both, "node").select("source", F.col("other").alias("node")).distinct().join(near.select("source", "node"), ["source", "node"], "left_anti")
+        before, front = front, materialize(reached.withColumn("hops", F.lit(hop)), "distances")
         if front.isEmpty():
             break
-        known = known.unionByName(front)
-    return known
+        if most is not None and hop > most:
+            raise ValueError(f"there are paths of more than {most} hops")
+        known.append(front)
+    folders = [f for part in known for f in part.inputFiles()]
+    return edges.sparkSession.read.schema(front.schema).parquet(*folders) if folders else front
 
 
 def harmonic(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -65,7 +74,7 @@ def harmonic(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return far.crossJoin(F.broadcast(n)).select("source", "reached", round6(F.try_divide("near", F.col("n") - 1)).alias("harmonic"), round6(F.col("hops")).alias("mean_hops"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, most: int = 16) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
     """Shortest-path betweenness of every node, from the paths that start at ``sources``.
 
     Counts of shortest paths run outward by hops, shares of paths run back. With all nodes as
@@ -117,11 +126,13 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """
     both = materialize(symmetric(edges).select("node", "other", "weight"), "both-ways")
     labels = both.select("node").distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
+    for turn in range(rounds):
         said = both.join(labels.select(F.col("node").alias("other"), "label"), "other").select("node", "label", "weight").unionByName(labels.select("node", "label", F.lit(1).cast("long").alias("weight")))
         votes = said.groupBy("node", "label").agg(F.sum("weight").alias("weight"))
         order = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("weight"), "label"))
-        labels = materialize(votes.withColumn("nth", order).where("nth = 1").select("node", "label"), "labels")
+        before, labels = labels, materialize(votes.withColumn("nth", order).where("nth = 1").select("node", "label"), "labels")
+        if turn:
+            discard(before)
     return labels
 
 
@@ -157,10 +168,14 @@ def permutation_test(edges: DataFrame, rounds: int = 20, seed: str = "p") -> Dat
     deviation, the z score and the share of shuffles at least as far from zero.
     """
     nodes = degrees(edges).select("node", "node_type")
-    by_name = nodes.withColumn("place", F.row_number().over(Window.orderBy("node"))).select("place", F.col("node_type").alias("dealt"))
-    dealt = nodes.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    order = Window.partitionBy("round").orderBy(F.md5(F.concat(F.lit(seed), F.col("round").cast("string"), F.lit(":"), F.col("node")).cast("binary")), "node")
-    shuffled = materialize(dealt.withColumn("place", F.row_number().over(order)).join(by_name, "place").select("round", "node", "dealt"), "dealt-types")
+    by_name = number_rows(nodes, "node", name="place").select("place", F.col("node_type").alias("dealt"))
+    dealt = nodes.select(F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"), "node")
+    order = F.md5(F.concat(F.lit(seed), F.col("round").cast("string"), F.lit(":"), F.col("node")).cast("binary"))
+    # Every round deals all nodes, so numbers over all rounds give the place in each.
+    numbered = number_rows(dealt.withColumn("order", order), "round", "order", "node")
+    n = nodes.agg(F.count(F.lit(1)).alias("n"))
+    placed = numbered.crossJoin(F.broadcast(n)).select("round", "node", (F.col("no") % F.col("n")).alias("place"))
+    shuffled = materialize(placed.join(by_name, "place").select("round", "node", "dealt"), "dealt-types")
     ends = edges.join(shuffled.select(F.col("node").alias("src"), "round", F.col("dealt").alias("a")), "src").join(shuffled.select(F.col("node").alias("dst"), "round", F.col("dealt").alias("b")), ["dst", "round"])
     sides = ends.select("round", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).groupBy("round", "x.a", "x.b").agg(F.count(F.lit(1)).alias("n"))
     by_end = sides.groupBy("round", "a").agg(F.sum("n").alias("end")).groupBy("round").agg(F.sum(F.col("end").cast("double") * F.col("end")).alias("square"))
@@ -194,5 +209,15 @@ def network_statistics(edges: DataFrame, least_nodes: int = 10, most_types: int
 
 
 def matching(field: Column, term: str) -> Column:
-    """Whether a name matches a pattern, whatever its case; nothing matches a pattern of under two characters."""
-    return F.coalesce(field.rlike("(?i)" + term), F.lit(False)) if len(term) >= 2 else F.lit(False)
+    """Whether a name matches a pattern, whatever its case.
+
+    Nothing matches a pattern of under two characters, nor one that is no pattern.
+    """
+    if len(term) < 2:
+        return F.lit(False)
+    jvm = SparkSession.active()._jvm
+    try:
+        jvm.java.util.regex.Pattern.compile("(?i)" + term)
+    except IllegalArgumentException:
+        return F.lit(False)
+    return F.coalesce(field.rlike("(?i)" + term), F.lit(False))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.texts import any_of, content_words
+from tessera.operators.numbering import number_rows
 
 # Openings of questions about a single person's record, words that a kind of question
 # has to hold, and words of a subject that stand for each other.
@@ -109,14 +110,15 @@ def rank_questions(rows: DataFrame, terms: list[str], target: int, lens_share: f
     """The ``target`` best questions by lens, score and evidence, each text once.
 
     At most ``lens_share`` of the places go to questions that touch the lens, unless there are too
-    few others to fill the rest. ``place`` is the order of selection. Candidates are a run's
-    questions, a bounded list.
+    few others to fill the rest. ``place`` is the order of selection.
     """
     key = F.trim(F.lower("question"))
     best = [F.desc("lens"), F.desc("score"), F.desc("evidence"), "id"]
     scored = rows.withColumn("lens", lens_score(F.col("question"), terms)).withColumn("key", key)
     once = scored.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy(*best))).where("copy = 1").drop("copy")
+    # No more than the target's number of either kind can be among the best.
     touched = F.col("lens") > 0
+    once = once.where(touched).orderBy(*best).limit(target).unionByName(once.where(~touched).orderBy(*best).limit(target))
     within = F.row_number().over(Window.partitionBy(touched).orderBy(*best))
     late = touched & (within > max(1, int(target * lens_share))) if terms else F.lit(False)
     ordered = once.withColumn("late", late).withColumn("place", F.row_number().over(Window.orderBy("late", *best)))
@@ -126,8 +128,11 @@ def rank_questions(rows: DataFrame, terms: list[str], target: int, lens_share: f
 def diverse(rows: DataFrame, least_kinds: int) -> DataFrame:
     """All questions if they have ``least_kinds`` kinds, else one of each kind first, then the others in order."""
     kinds = rows.select("kind").distinct().agg((F.count(F.lit(1)) >= least_kinds).alias("enough"))
-    first = F.row_number().over(Window.partitionBy("kind").orderBy("id")) == 1
-    return rows.withColumn("first", first).crossJoin(F.broadcast(kinds)).withColumn("place", F.row_number().over(Window.orderBy(F.when(F.col("enough"), False).otherwise(~F.col("first")), "id"))).drop("first", "enough")
+    first = rows.groupBy(F.col("kind").alias("__kind")).agg(F.min("id").alias("__first"))
+    marked = rows.join(first, F.col("kind").eqNullSafe(F.col("__kind"))).crossJoin(F.broadcast(kinds))
+    late = F.when(F.col("enough"), False).otherwise(~F.col("id").eqNullSafe(F.col("__first")))
+    numbered = number_rows(marked.withColumn("__late", late), "__late", "id", name="place")
+    return numbered.withColumn("place", (F.col("place") + 1).cast("int")).drop("__kind", "__first", "enough", "__late")
 
 
 def gaps(texts: DataFrame, axes: dict[str, tuple[str, ...]]) -> DataFrame:

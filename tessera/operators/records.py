@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import contains, round6, tokens
+from tessera.operators.numbering import place_in_group
 
 #: Other names of entity types: fixed values.
 TYPE_ALIASES = {"COMPANY": "ORG", "ORGANIZATION": "ORG", "ORGANISATION": "ORG", "LOCATION": "GPE", "PLACE": "GPE", "PERSON_NAME": "PERSON", "EMPLOYEEID": "EMPLOYEE_ID"}
@@ -56,8 +57,8 @@ def copies(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 def number_in_group(rows: DataFrame, group: str, order: str, size: int, groups: int) -> DataFrame:
     """``batch`` (so many rows each) and ``turn`` (dealt in turn) of each row in its group."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    return rows.withColumns({"batch": F.floor(place / size).cast("int"), "turn": (place % groups).cast("int")})
+    place = F.col("__place")
+    return place_in_group(rows, group, order, name="__place").withColumns({"batch": F.floor(place / size).cast("int"), "turn": (place % groups).cast("int")}).drop("__place")
 
 
 def overlaps(chunks: DataFrame, doc: str, index: str, text: str, length: int) -> DataFrame:

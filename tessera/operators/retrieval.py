@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import contains, dot, round6
+from tessera.functions.scalars import contains, round6
+from tessera.operators.matching import nearest_rows
 
 
 def cosine_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` rows with the highest cosine for each query row: ``query_id, vec_id, score, rank``.
 
-    A zero vector has cosine 0 with all. Lengths are taken once for each row. The query side is a caller's bounded set; it is
-    broadcast only while Spark's own size limit for that holds.
+    A zero vector has cosine 0 with all. Blocks of queries meet blocks of rows, and only the best
+    of each pair of blocks are merged.
     """
-    unit = lambda df, id_name, vec, size: df.select(F.col("vec_id").alias(id_name), F.col("embedding").alias(vec), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias(size))
-    pairs = unit(vectors, "vec_id", "v", "nv").join(unit(queries, "query_id", "q", "nq"), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", round6(F.coalesce(F.try_divide(dot(F.col("q"), F.col("v")), F.col("nq") * F.col("nv")), F.lit(0.0))).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return nearest_rows(vectors, queries, k)
 
 
 def keyword_hits(docs: DataFrame, query: str, limit: int = 20, id_col: str = "doc_id") -> DataFrame:

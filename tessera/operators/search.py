@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import contains, missing
+from tessera.operators.numbering import number_rows
 
 
 def search_predicate(rows: list[tuple[str, str, str]]) -> Column:
@@ -35,9 +36,20 @@ def page(df: DataFrame, order: list, number: int = 1, per_page: int = 50) -> Dat
 
 
 def neighbours_in_order(df: DataFrame, key: str, order: str, group: str | None = None) -> DataFrame:
-    """Adds ``previous`` and ``next``, the keys beside each row in its result list."""
-    w = Window.partitionBy(group).orderBy(order, key) if group else Window.orderBy(order, key)
-    return df.withColumns({"previous": F.lag(key).over(w), "next": F.lead(key).over(w)})
+    """Each key with its place's columns, ``previous`` and ``next``, the keys beside it in its result list.
+
+    Rows are numbered by range partitions and meet the rows one number before and after, so a
+    list of any length is never in one task.
+    """
+    columns = [key, order] + ([group] if group else [])
+    numbered = number_rows(df.select(*columns), *([group] if group else []), order, key, name="__no")
+    same = F.lit(True) if group is None else F.col(group).eqNullSafe(F.col("__group"))
+
+    def beside(step: int, name: str) -> DataFrame:
+        return numbered.select((F.col("__no") + step).alias("__at"), F.col(key).alias(name), *([F.col(group).alias("__group")] if group else []))
+
+    done = numbered.join(beside(1, "previous"), (F.col("__no") == F.col("__at")) & same, "left").select(*columns, "__no", "previous")
+    return done.join(beside(-1, "next"), (F.col("__no") == F.col("__at")) & same, "left").select(*columns, "previous", "next")
 
 
 def field_presence(df: DataFrame) -> DataFrame:

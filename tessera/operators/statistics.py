@@ -43,9 +43,27 @@ def gini(edges: DataFrame) -> DataFrame:
     return ranked.agg(round6(F.coalesce(F.try_divide(2 * F.sum(F.col("degree") * F.col("ranks")) + (1 - size) * total, size * total), F.lit(0.0))).alias("gini"))
 
 
-def powerlaw_alpha(edges: DataFrame, xmin: int = 1) -> DataFrame:
-    d = degrees(edges).where(F.col("degree") >= xmin)
-    return d.agg(F.count(F.lit(1)).alias("n"), round6(1 + F.try_divide(F.count(F.lit(1)), F.sum(F.log(F.col("degree") / F.lit(float(xmin)))))).alias("alpha"))
+def powerlaw_alpha(edges: DataFrame, least: int = 20) -> DataFrame:
+    """A power law through the degrees, from the smallest on, and how far the degrees are from it.
+
+    ``alpha`` is the maximum-likelihood exponent and ``ks`` the Kolmogorov-Smirnov distance
+    between the degrees' and the law's distribution functions, taken on both sides of each step of
+    the histogram. ``p_value`` is that of the asymptotic one-sample test, and the law is
+    ``plausible`` above 0.1. Under ``least`` nodes, or where all degrees are equal, all but ``n``
+    and ``xmin`` is null.
+    """
+    ordered = Window.orderBy("degree").rowsBetween(Window.unboundedPreceding, 0)
+    h = degree_histogram(edges).withColumns({"upto": F.sum("n").over(ordered), "all": F.sum("n").over(Window.partitionBy()), "xmin": F.min("degree").over(Window.partitionBy())})
+    spread = F.sum(F.col("n") * F.log(F.col("degree") / F.col("xmin"))).over(Window.partitionBy())
+    h = h.withColumn("alpha", F.when((F.col("all") >= least) & (spread > 0), 1 + F.col("all") / spread))
+    law = 1 - F.pow(F.col("degree") / F.col("xmin"), 1 - F.col("alpha"))
+    gap = F.greatest(F.abs(F.col("upto") / F.col("all") - law), F.abs((F.col("upto") - F.col("n")) / F.col("all") - law))
+    fit = h.agg(F.coalesce(F.max("all"), F.lit(0)).alias("n"), F.max("xmin").alias("xmin"), F.max("alpha").alias("alpha"), F.max(gap).alias("ks"))
+    scaled = F.sqrt("n") * F.col("ks")
+    # The series settles at once but for tiny distances, where the value is 1.
+    tail = F.aggregate(F.sequence(F.lit(1), F.lit(50)), F.lit(0.0), lambda s, j: s + 2 * F.pow(F.lit(-1.0), j - 1) * F.exp(-2.0 * j * j * scaled * scaled))
+    p = F.when(F.col("ks").isNotNull(), F.when(scaled < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail))))
+    return fit.select("n", "xmin", round6(F.col("alpha")).alias("alpha"), round6(F.col("ks")).alias("ks"), round6(p).alias("p_value"), (p > 0.1).alias("plausible"))
 
 
 def graph_summary(edges: DataFrame) -> DataFrame:

@@ -31,5 +31,7 @@ def term_lift(docs: DataFrame, anchor: str, field: str = "text", min_doc_freq: i
 def search_terms(docs: DataFrame, part: str, per_type: int = 50, field: str = "text") -> DataFrame:
     """The commonest words and phrases that hold ``part``, with the numbers of all that do."""
     both = unique_terms(docs, field).unionByName(unique_terms(docs, field, phrases=True)).where(F.contains("term", F.lit(part.lower())))
-    numbered = both.withColumns({"total": F.count(F.lit(1)).over(Window.partitionBy("type")), "total_records": F.count(F.lit(1)).over(Window.partitionBy()), "nth": F.row_number().over(Window.partitionBy("type").orderBy(F.desc("frequency"), "term"))})
-    return numbered.where(F.col("nth") <= per_type).select("type", "term", "frequency", "total", "total_records")
+    # Two kinds of term, so two rows of totals.
+    totals = both.groupBy("type").agg(F.count(F.lit(1)).alias("total")).withColumn("total_records", F.sum("total").over(Window.partitionBy()))
+    numbered = both.withColumn("nth", F.row_number().over(Window.partitionBy("type").orderBy(F.desc("frequency"), "term"))).where(F.col("nth") <= per_type)
+    return numbered.join(F.broadcast(totals), "type").select("type", "term", "frequency", "total", "total_records")

@@ -103,7 +103,7 @@ x AS (SELECT finding, split_part(block, '::', 1) AS doc, min(i) AS i FROM f JOIN
 def findings_of_batch(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("finding"), "l_linenumber", F.concat("l_suppkey", F.lit("::"), "l_linenumber").alias("block"))
     batch = rows.where(F.split_part("block", F.lit("::"), F.lit(1)).cast("int") % 3 == 0).select("block").distinct()
-    found = rows.groupBy("finding").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "block"))), lambda x: x["block"]).alias("blocks"))
+    found = rows.groupBy("finding").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.split_part("block", F.lit("::"), F.lit(1)), "block"))), lambda x: x["block"]).alias("blocks"))
     return X.findings_in_batch(found, batch).withColumn("docs", F.array_join("docs", ","))
 
 

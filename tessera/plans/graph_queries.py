@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import graphs, network, search
-from tessera.plans.queries import BOTH, EDGES, MENTIONS, STAR, edges, query, r6, supplier_star
+from tessera.operators import communities as found, graphs, network, random_graphs, search
+from tessera.plans.queries import BOTH, EDGES, MENTIONS, QUERIES, STAR, edges, places, query, r6
+from tessera.session import materialize
 from tessera.sources.tables import mentions, table
 
 TOP = EDGES + ", t AS (SELECT * FROM e ORDER BY weight DESC, src, dst LIMIT 400), c AS (SELECT *, count(*) OVER (PARTITION BY src_type, dst_type) AS pair_count FROM t)"
@@ -45,10 +46,10 @@ def ego_filtered(spark, d):
     return network.ego_network(mentions(spark, d), "BRAND:Brand#13", 10, 1, ["NATION", "BRAND"], _urgent(spark, d))
 
 
-@query(f"WITH {EDGES}, n AS (SELECT 'NATION:' || n_name AS ent, n_name AS name FROM nation) SELECT e.src, e.dst, e.src_type, e.dst_type, weight, coalesce(a.name, 'Unknown') AS src_name, coalesce(b.name, 'Unknown') AS dst_name FROM e LEFT JOIN n a ON a.ent = src LEFT JOIN n b ON b.ent = dst WHERE src_type = 'NATION' OR dst_type = 'NATION'")
+@query(f"WITH {EDGES}, n AS (SELECT 'NATION:' || n_name AS ent, n_name AS name FROM nation) SELECT e.src, e.dst, e.src_type, e.dst_type, weight, coalesce(a.name, 'Unknown') AS src_name, coalesce(b.name, 'Unknown') AS dst_name FROM e LEFT JOIN n a ON a.ent = src LEFT JOIN n b ON b.ent = dst")
 def named_edges(spark, d):
     names = table(spark, d, "nation").select(F.concat(F.lit("NATION:"), "n_name").alias("ent"), F.col("n_name").alias("name"))
-    return network.with_names(edges(spark, d).where("src_type = 'NATION' or dst_type = 'NATION'"), names).select("src", "dst", "src_type", "dst_type", "weight", "src_name", "dst_name")
+    return network.with_names(edges(spark, d), names).select("src", "dst", "src_type", "dst_type", "weight", "src_name", "dst_name")
 
 
 @query(f"""WITH {EDGES}, t AS (SELECT * FROM e WHERE weight >= 2 AND src_type IN ('SUPPLIER', 'BRAND') AND dst_type IN ('SUPPLIER', 'BRAND') ORDER BY weight DESC, src, dst LIMIT 300),
@@ -85,21 +86,21 @@ def degree_percentiles(spark, d):
 
 
 def _sources(spark, d):
-    return table(spark, d, "nation").where("n_nationkey <= 1").select(F.concat(F.lit("N"), "n_nationkey").alias("source"))
+    return table(spark, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("source"))
 
 
-HOPS = f"""WITH RECURSIVE {STAR}, u AS (SELECT DISTINCT node, other FROM s), h AS (SELECT 'N' || n_nationkey AS source, 'N' || n_nationkey AS node, 0 AS hops FROM nation WHERE n_nationkey <= 1
+HOPS = f"""WITH RECURSIVE {STAR}, u AS (SELECT DISTINCT node, other FROM s), h AS (SELECT 'N' || n_nationkey AS source, 'N' || n_nationkey AS node, 0 AS hops FROM nation
   UNION SELECT h.source, u.other, h.hops + 1 FROM h JOIN u ON h.node = u.node WHERE h.hops < 6), x AS (SELECT source, node, min(hops) AS hops FROM h GROUP BY ALL)"""
 
 
 @query(f"{HOPS} SELECT source, node, hops FROM x")
 def path_lengths(spark, d):
-    return graphs.distances(supplier_star(spark, d), _sources(spark, d))
+    return graphs.distances(places(spark, d), _sources(spark, d))
 
 
 @query(f"{HOPS} SELECT source, count(*) AS reached, {r6('sum(1.0::DOUBLE / hops) / ((SELECT count(*) FROM d) - 1)')} AS harmonic, {r6('avg(hops)')} AS mean_hops FROM x WHERE hops > 0 GROUP BY source")
 def harmonic_centrality(spark, d):
-    return graphs.harmonic(supplier_star(spark, d), _sources(spark, d))
+    return graphs.harmonic(places(spark, d), _sources(spark, d))
 
 
 @query(f"""WITH {BOTH}, z AS (SELECT src_type AS label, count(*) AS inside FROM e WHERE src_type = dst_type GROUP BY 1), i AS (SELECT src AS node FROM e WHERE src_type = dst_type UNION ALL SELECT dst FROM e WHERE src_type = dst_type),
@@ -161,10 +162,10 @@ def entity_search(spark, d):
     return search.page(rows.select("c_custkey", "c_name"), ["c_name", "c_custkey"], per_page=20)
 
 
-@query("""SELECT i AS id, coalesce(c_name, 'Unknown') AS name, coalesce(c_mktsegment, 'UNKNOWN') AS type, coalesce(n, 0) AS n_orders FROM (SELECT unnest(generate_series(0, 400, 7)) AS i)
+@query("""SELECT i AS id, coalesce(c_name, 'Unknown') AS name, coalesce(c_mktsegment, 'UNKNOWN') AS type, coalesce(n, 0) AS n_orders FROM (SELECT DISTINCT s_suppkey * 29 AS i FROM supplier)
 LEFT JOIN customer ON c_custkey = i LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey""")
 def entities_bulk(spark, d):
-    wanted = spark.range(0, 401, 7)
+    wanted = table(spark, d, "supplier").select((F.col("s_suppkey") * 29).alias("id")).distinct()
     n = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
     rows = wanted.join(table(spark, d, "customer"), F.col("id") == F.col("c_custkey"), "left").join(n, F.col("c_custkey") == F.col("o_custkey"), "left")
     return rows.select("id", F.coalesce("c_name", F.lit("Unknown")).alias("name"), F.coalesce("c_mktsegment", F.lit("UNKNOWN")).alias("type"), F.coalesce("n", F.lit(0)).alias("n_orders"))
@@ -178,3 +179,42 @@ def shared_entities(spark, d):
 @query(f"""WITH {BOTH}, t AS (SELECT node, other_type, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight FROM s GROUP BY ALL) SELECT node, other_type, n, weight FROM t""")
 def entity_type_distribution(spark, d):
     return network.symmetric(edges(spark, d)).groupBy("node", "other_type").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+
+
+@query(f"""WITH {BOTH}, n AS (SELECT node, node_type, weighted_degree AS k, row_number() OVER (ORDER BY node) AS u FROM d), c AS (SELECT node_type AS t, min(u) AS c, sum(k) AS inside FROM n GROUP BY 1), tw AS (SELECT sum(k)::DOUBLE AS total FROM n),
+v AS (SELECT node, t, CAST(sum(w) AS BIGINT) AS w FROM (SELECT node, other_type AS t, weight AS w FROM s UNION ALL SELECT node, node_type, 0 FROM n) GROUP BY ALL),
+x AS (SELECT n.node, node_type, t, c, total, total * w - k::DOUBLE * (inside - CASE WHEN t = node_type THEN k ELSE 0 END) AS value FROM v JOIN n USING (node) JOIN c USING (t), tw),
+b AS (SELECT *, max(value) FILTER (WHERE t = node_type) OVER (PARTITION BY node) AS stay FROM x QUALIFY row_number() OVER (PARTITION BY node ORDER BY value DESC, c) = 1)
+SELECT node, node_type AS from_label, t AS to_label, {r6('2 * (value - stay) / (total * total)')} AS gain FROM b WHERE value > stay""")
+def improving_moves(spark, d):
+    e = edges(spark, d)
+    return found.improving_moves(e, graphs.degrees(e).select("node", F.col("node_type").alias("label")))
+
+
+def communities(spark, d):
+    e = edges(spark, d)
+    labels = materialize(found.communities(e, least=1e-4), "communities")
+    return graphs.community_summaries(e, labels)
+
+
+#: No SQL: which round comes next depends on the one before. Tests hold it against all partitions of small graphs.
+QUERIES["communities"] = communities
+
+
+@query(f"""WITH RECURSIVE {EDGES}, o AS (SELECT DISTINCT src, dst FROM e), nodes AS (SELECT DISTINCT unnest([src, dst]) AS node FROM o), dg AS (SELECT node, count(*) AS degree FROM (SELECT unnest([src, dst]) AS node FROM o) GROUP BY 1),
+st AS (SELECT r, node, i, row_number() OVER (ORDER BY r, md5('s:' || r || ':' || node || ':' || i), node, i) - 1 AS no FROM (SELECT node, unnest(generate_series(1, degree)) AS i FROM dg), (SELECT unnest([1, 2, 3]) AS r)),
+g AS MATERIALIZED (SELECT 0 AS r, src, dst FROM o UNION ALL SELECT DISTINCT r, src, dst FROM (SELECT r, min(node) AS src, max(node) AS dst FROM st GROUP BY r, no // 2) WHERE src < dst),
+s AS MATERIALIZED (SELECT r || '|' || src AS node, r || '|' || dst AS other, 1 AS weight FROM g UNION ALL SELECT r || '|' || dst, r || '|' || src, 1 FROM g), k AS (SELECT node, count(*) AS deg FROM s GROUP BY 1),
+tr AS (SELECT a.r || '|' || unnest([a.src, a.dst, b.dst]) AS node FROM g a JOIN g b ON a.r = b.r AND a.dst = b.src JOIN g c ON c.r = a.r AND c.src = a.src AND c.dst = b.dst), tc AS (SELECT node, count(*) AS t FROM tr GROUP BY 1),
+cl AS (SELECT CAST(split_part(node, '|', 1) AS INTEGER) AS r, sum(2.0::DOUBLE * t / (deg * (deg - 1))) AS c FROM tc JOIN k USING (node) GROUP BY 1), {_lpa(3)},
+x AS (SELECT r, a.label AS a, b.label AS b FROM g JOIN l3 a ON a.node = r || '|' || src JOIN l3 b ON b.node = r || '|' || dst), sz AS (SELECT r, count(*)::DOUBLE AS m FROM g GROUP BY r),
+ends AS (SELECT r, label, count(*)::DOUBLE AS d FROM (SELECT r, a AS label FROM x UNION ALL SELECT r, b FROM x) GROUP BY ALL), ins AS (SELECT r, a AS label, count(*)::DOUBLE AS l FROM x WHERE a = b GROUP BY ALL),
+md AS (SELECT r, sum(coalesce(l, 0) / m - (d / (2 * m)) * (d / (2 * m))) AS v FROM ends LEFT JOIN ins USING (r, label) JOIN sz USING (r) GROUP BY r),
+so AS (SELECT node FROM nodes ORDER BY md5('s:' || node), node LIMIT 8), h AS (SELECT r || '|' || node AS source, r || '|' || node AS node, 0 AS hops FROM so, (SELECT unnest([0, 1, 2, 3]) AS r) UNION SELECT h.source, s.other, h.hops + 1 FROM h JOIN s ON h.node = s.node WHERE h.hops < 7),
+hp AS (SELECT CAST(split_part(source, '|', 1) AS INTEGER) AS r, avg(hops) AS v FROM (SELECT source, node, min(hops) AS hops FROM h GROUP BY ALL) WHERE hops > 0 GROUP BY 1),
+v AS (SELECT 'clustering' AS metric, sz.r, coalesce(c, 0) / (SELECT count(*) FROM nodes) AS v FROM sz LEFT JOIN cl USING (r) UNION ALL SELECT 'modularity', r, v FROM md UNION ALL SELECT 'path_length', r, v FROM hp),
+q AS (SELECT metric, max(v) FILTER (WHERE r = 0) AS o, avg(v) FILTER (WHERE r > 0) AS mean, stddev_samp(v) FILTER (WHERE r > 0) AS std, count(*) FILTER (WHERE r > 0) AS n FROM v GROUP BY metric),
+y AS (SELECT *, (o - mean) / greatest(std, 1e-10) AS z FROM q)
+SELECT metric, {r6('o')} AS observed, {r6('mean')} AS null_mean, {r6('std')} AS null_std, {r6('z')} AS z, abs(z) > 1.96 AS significant, CASE WHEN z > 0 THEN 'higher' ELSE 'lower' END AS direction, n AS n_simulations FROM y""")
+def random_graph_comparison(spark, d):
+    return random_graphs.compare_to_random(edges(spark, d), replicates=3)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as S
 from tessera.operators import corpus, entities, network, retrieval, search, statistics, terms
 from tessera.sources.tables import mentions, table
-from tessera.session import materialize
+from tessera.session import listing, materialize
 from tessera.streaming import events as stream
 
 QUERIES: dict = {}
@@ -40,12 +40,12 @@ BOTH = EDGES + """, s AS (SELECT src AS node, dst AS other, src_type AS node_typ
 TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 
 
-#: Edge tables written so far, by application and folder: like a stored network, each is built once.
+#: Edge tables written so far, by application and state of the folder: like a stored network, each is built once.
 _EDGES: dict = {}
 
 
 def edges(spark, d):
-    key = (spark.sparkContext.applicationId, d)
+    key = (spark.sparkContext.applicationId, listing(spark, *(f"{d}/{t}.parquet" for t in ("lineitem", "orders", "customer", "nation", "part"))))
     if key not in _EDGES:
         _EDGES[key] = materialize(network.cooccurrence_edges(mentions(spark, d)), "edges")
     return _EDGES[key]
@@ -189,26 +189,27 @@ def gini(spark, d):
     return statistics.gini(edges(spark, d))
 
 
-#: A sparser graph with hubs: nations, priorities and what their orders' customers buy as.
-STAR = """e AS (SELECT 'N' || c_nationkey AS src, 'P' || p_size AS dst, 'N' AS src_type, 'P' AS dst_type, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey WHERE c_nationkey <= 1 OR p_size <= 1 GROUP BY ALL),
+#: A sparse graph with hubs: customers and suppliers with their nations, nations with their regions.
+STAR = """e AS (SELECT 'C' || c_custkey AS src, 'N' || c_nationkey AS dst, 'C' AS src_type, 'N' AS dst_type, 1 AS weight FROM customer
+  UNION ALL SELECT 'N' || s_nationkey, 'S' || s_suppkey, 'N', 'S', 1 FROM supplier UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey, 'N', 'R', 1 FROM nation),
 s AS (SELECT src AS node, dst AS other, weight FROM e UNION ALL SELECT dst, src, weight FROM e), d AS (SELECT node, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS weighted_degree FROM s GROUP BY ALL)"""
 
 
-def supplier_star(spark, d):
-    t = lambda name: table(spark, d, name)
-    rows = t("lineitem").select("l_orderkey", "l_partkey").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.join(t("part"), F.col("l_partkey") == F.col("p_partkey")).where("c_nationkey <= 1 or p_size <= 1")
-    ends = rows.select(F.concat(F.lit("N"), "c_nationkey").alias("src"), F.concat(F.lit("P"), "p_size").alias("dst"), F.lit("N").alias("src_type"), F.lit("P").alias("dst_type"))
-    return ends.groupBy(*ends.columns).agg(F.count(F.lit(1)).alias("weight"))
+def places(spark, d):
+    edge = lambda name, a, src, b, dst: table(spark, d, name).select(F.concat(F.lit(a), src).alias("src"), F.concat(F.lit(b), dst).alias("dst"), F.lit(a).alias("src_type"), F.lit(b).alias("dst_type"), F.lit(1).cast("long").alias("weight"))
+    return edge("customer", "C", "c_custkey", "N", "c_nationkey").unionByName(edge("supplier", "N", "s_nationkey", "S", "s_suppkey")).unionByName(edge("nation", "N", "n_nationkey", "R", "n_regionkey"))
 
 
 @query(f"WITH {STAR} SELECT node, degree, weighted_degree FROM d WHERE degree >= (SELECT avg(degree) + 2 * stddev_samp(degree) FROM d) ORDER BY degree DESC, node LIMIT 30")
 def hubs(spark, d):
-    return statistics.hubs(supplier_star(spark, d))
+    return statistics.hubs(places(spark, d))
 
 
-@query(f"WITH {BOTH} SELECT count(*) AS n, {r6('1 + count(*) / sum(ln(degree))')} AS alpha FROM d")
+@query(f"""WITH {BOTH}, x AS (SELECT min(degree) AS xmin, count(*)::DOUBLE AS n FROM d), a AS (SELECT any_value(xmin) AS xmin, any_value(n) AS n, 1 + any_value(n) / sum(ln(degree::DOUBLE / xmin)) AS alpha FROM d, x),
+h AS (SELECT degree, count(*)::DOUBLE AS c FROM d GROUP BY degree), u AS (SELECT degree, c, sum(c) OVER (ORDER BY degree ROWS UNBOUNDED PRECEDING) AS upto FROM h),
+k AS (SELECT any_value(n) AS n, any_value(xmin) AS xmin, any_value(alpha) AS alpha, max(greatest(abs(upto / n - (1 - pow(degree::DOUBLE / xmin, 1 - alpha))), abs((upto - c) / n - (1 - pow(degree::DOUBLE / xmin, 1 - alpha))))) AS ks FROM u, a),
+p AS (SELECT *, least(1, greatest(0, list_sum(list_transform(generate_series(1, 50), lambda j: 2 * pow(-1.0::DOUBLE, j - 1) * exp(-2.0::DOUBLE * j * j * n * ks * ks))))) AS p FROM k)
+SELECT CAST(n AS BIGINT) AS n, xmin, {r6('alpha')} AS alpha, {r6('ks')} AS ks, {r6('p')} AS p_value, p > 0.1 AS plausible FROM p""")
 def powerlaw_alpha(spark, d):
     return statistics.powerlaw_alpha(edges(spark, d))
 
@@ -295,9 +296,9 @@ def strata_sample(spark, d):
     return corpus.sample_strata(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 5)
 
 
-@query("WITH y AS (SELECT DISTINCT p_size * 7 // 10 * 10 AS decade FROM part WHERE p_size <= 8 OR p_size >= 40) SELECT CAST(x AS BIGINT) AS decade FROM (SELECT unnest(generate_series((SELECT min(decade) FROM y), (SELECT max(decade) FROM y), 10)) AS x) WHERE x NOT IN (SELECT decade FROM y)")
+@query("WITH y AS (SELECT DISTINCT p_size * p_size // 10 * 10 AS decade FROM part) SELECT CAST(x AS BIGINT) AS decade FROM (SELECT unnest(generate_series((SELECT min(decade) FROM y), (SELECT max(decade) FROM y), 10)) AS x) WHERE x NOT IN (SELECT decade FROM y)")
 def decade_gaps(spark, d):
-    return corpus.decade_gaps(table(spark, d, "part").where("p_size <= 8 or p_size >= 40"), F.col("p_size") * 7)
+    return corpus.decade_gaps(table(spark, d, "part"), F.col("p_size") * F.col("p_size"))
 
 
 @query("SELECT lower(trim(event_type)) AS key, first(event_type ORDER BY event_id) AS name, count(*) AS document_count, min(event_id) AS first_seq, max(event_id) AS last_seq FROM events GROUP BY 1")

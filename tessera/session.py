@@ -60,6 +60,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def listing(spark: SparkSession, *paths: str) -> tuple:
+    """Path, size and time of the last change of files or folders; it differs once one of them was changed."""
+    out = []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        out.append((path, store.getContentSummary(at).getLength(), store.getFileStatus(at).getModificationTime()))
+    return tuple(out)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that :func:`materialize` wrote and that nothing is going to read any more."""
     files = df.inputFiles()

@@ -46,9 +46,10 @@ def test_betweenness(spark):
 
 
 def test_clusters_and_batches(spark):
-    from tessera.operators.exploration import first_fit_clusters, pack_batches
+    from tessera.operators.exploration import pack_batches
+    from tessera.operators.matching import threshold_clusters
 
-    rows = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (1, 2, [0.9, 0.1]), (1, 3, [0.7, 0.7])], "q long, i int, embedding array<double>")
-    assert [r.cluster for r in first_fit_clusters(rows, "q", "i", 0.8).orderBy("i").collect()] == [0, 1, 0, 2]
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.9, 0.1]), (3, [0.7, 0.7])], "place long, embedding array<double>")
+    assert [r.leader for r in threshold_clusters(rows, 0.8).orderBy("place").collect()] == [0, 1, 0, 3]
     docs = spark.createDataFrame([("a", 1, 5), ("a", 2, 6), ("a", 3, 20), ("a", 4, 1), ("b", 1, 99)], "g string, i int, size int")
     assert [r.batch for r in pack_batches(docs, "g", "i", "size", 11).orderBy("g", "i").collect()] == [0, 0, 1, 2, 0]

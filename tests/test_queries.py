@@ -23,8 +23,10 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_equals_sql(spark, con, name):
-    said = differences(spark, con, catalog.queries()[name], catalog.oracle_sql()[name], SMALL)
-    assert said in ("", "no rows")
+    if name not in catalog.oracle_sql():
+        assert catalog.queries()[name](spark, SMALL).count() > 0
+        return
+    assert differences(spark, con, catalog.queries()[name], catalog.oracle_sql()[name], SMALL) == ""
 
 
 def test_components_of_a_random_graph(spark):
