@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.plans import queries as plans
-from tessera.plans import corpus_queries, graph_queries, record_queries, text_queries  # noqa: F401  they register queries
+from tessera.plans import archive_queries, corpus_queries, graph_queries, record_queries, text_queries  # noqa: F401  they register queries
 
 
 def queries() -> dict:

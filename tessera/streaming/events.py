@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import round6
+from tessera.operators.numbering import running_sums
 
 
 def timed(events: DataFrame, column: str = "ts") -> DataFrame:
@@ -32,9 +33,10 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def running_progress(events: DataFrame) -> DataFrame:
-    """How many events, and how many errors, a user has had so far."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return events.select("event_id", "user_id", F.count(F.lit(1)).over(w).alias("seen"), F.sum((F.col("event_type") == "error").cast("int")).over(w).alias("errors"))
+    """How many events, and how many errors, a user has had so far; :func:`live_progress` is the stream's form."""
+    rows = events.select("event_id", "user_id", "ts", "event_type")
+    sums = {"seen": F.lit(1).cast("long"), "errors": F.coalesce((F.col("event_type") == "error").cast("long"), F.lit(0))}
+    return running_sums(rows, "user_id", ["ts", "event_id"], sums).select("event_id", "user_id", "seen", "errors")
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
