@@ -78,3 +78,21 @@ def fuzzy_links(terms: DataFrame, references: DataFrame, least: float = 90.0) ->
     near = met.where(200 * short >= least * (short + long)).withColumn("score", score("term", "reference")).where(F.col("score") >= least)
     best = Window.partitionBy("term").orderBy(F.desc("score"), "reference")
     return near.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank")
+
+
+def link_terms(terms: DataFrame, references: DataFrame, least: float = 90.0) -> DataFrame:
+    """Terms (``term, frequency``) with an entry of a knowledge base (``reference, kb_id``): ``term, kb_id, how, score, frequency``.
+
+    An equal reference links exactly, else the best one of :func:`fuzzy_links`, else the term gets an
+    id of its own, made from its letters. Frequencies of equal terms are added, each counted once;
+    of several entries for a reference the one with the smallest id counts.
+    """
+    counted = terms.where("term is not null and term <> ''").groupBy("term").agg(F.sum("frequency").alias("frequency"))
+    known = references.where("reference is not null").groupBy("reference").agg(F.min("kb_id").alias("kb_id"))
+    exact = counted.join(known, F.col("term") == F.col("reference")).select("term", "kb_id", F.lit("exact").alias("how"), F.lit(100.0).alias("score"), "frequency")
+    open_ = counted.join(known, F.col("term") == F.col("reference"), "left_anti")
+    near = fuzzy_links(open_.select("term"), known.select("reference"), least)
+    linked = open_.join(near, "term", "left").join(known, "reference", "left")
+    own = F.concat(F.lit("own:"), F.substring(F.md5(F.col("term").cast("binary")), 1, 16))
+    rest = linked.select("term", F.coalesce("kb_id", own).alias("kb_id"), F.when(F.col("kb_id").isNull(), "new").otherwise("fuzzy").alias("how"), "score", "frequency")
+    return exact.unionByName(rest)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from tessera.functions.scalars import contains, round6
 
@@ -195,9 +196,30 @@ def json_fields(docs: DataFrame, text: str) -> DataFrame:
     return held.groupBy("field", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Texts that say nothing: fixed values.
+EMPTY_TEXTS = ("", "N/A", "null", "None")
+
+
+def cleaned(value: Column, kind: DataType) -> Column:
+    """A value without what is empty at any depth; null if nothing is left of it."""
+    if kind.typeName() == "string":
+        return F.when(~value.isin(*EMPTY_TEXTS), value)
+    if kind.typeName() == "struct":
+        fields = [(f.name, cleaned(value[f.name], f.dataType)) for f in kind.fields]
+        some = reduce(lambda a, b: a | b, [c.isNotNull() for _, c in fields], F.lit(False))
+        return F.when(value.isNotNull() & some, F.struct(*[c.alias(n) for n, c in fields]))
+    if kind.typeName() == "array":
+        kept = F.filter(F.transform(value, lambda x: cleaned(x, kind.elementType)), lambda x: x.isNotNull())
+        return F.when(F.size(kept) > 0, kept)
+    if kind.typeName() == "map":
+        kept = F.map_filter(F.transform_values(value, lambda _, x: cleaned(x, kind.valueType)), lambda _, x: x.isNotNull())
+        return F.when(F.size(kept) > 0, kept)
+    return value
+
+
 def without_empty(df: DataFrame) -> Column:
-    """A row as JSON without nulls and empty texts."""
-    kept = [F.nullif(F.col(f.name), F.lit("")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in df.schema.fields]
+    """A row as JSON without nulls, texts that say nothing, and lists and objects that this leaves empty, at any depth."""
+    kept = [cleaned(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields]
     return F.to_json(F.struct(*kept), {"ignoreNullFields": "true"})
 
 

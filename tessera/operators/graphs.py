@@ -160,6 +160,16 @@ def community_summaries(edges: DataFrame, labels: DataFrame, top: int = 5) -> Da
     )
 
 
+def community_composition(labels: DataFrame, attributes: DataFrame, top: int = 10) -> DataFrame:
+    """The ``top`` values of an attribute (``node, value``) in each community (``node, label``): ``label, value, n, rank``.
+
+    Empty values do not count; equally common values are ranked by name.
+    """
+    held = labels.join(attributes.where("value is not null and value <> ''"), "node").groupBy("label", "value").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "value"))
+    return held.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
 def permutation_test(edges: DataFrame, rounds: int = 20, seed: str = "p") -> DataFrame:
     """Assortativity by type against ``rounds`` shuffles of the types over the nodes.
 

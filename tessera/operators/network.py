@@ -30,6 +30,20 @@ def cooccurrence_edges(mentions: DataFrame, min_weight: int = 2, max_mentions: i
     return named.select("src", "dst", "src_type", "dst_type", "weight")
 
 
+def edge_documents(mentions: DataFrame, edges: DataFrame) -> DataFrame:
+    """The documents behind each edge, one row each: ``src, dst, doc``."""
+    a, b = mentions.select("doc", F.col("ent").alias("src")).distinct(), mentions.select("doc", F.col("ent").alias("dst")).distinct()
+    return edges.select("src", "dst").join(a, "src").join(b, ["doc", "dst"]).select("src", "dst", "doc")
+
+
+def build_counters(mentions: DataFrame, min_weight: int = 2) -> DataFrame:
+    """What building a network counts: documents processed and skipped (with one entity), pairs, edges kept and below the weight."""
+    sizes = mentions.groupBy("doc").agg(F.count_distinct("ent").alias("n"))
+    docs = sizes.agg(F.count_if(F.col("n") >= 2).alias("processed"), F.count_if(F.col("n") < 2).alias("skipped"), F.coalesce(F.sum(F.floor(F.col("n") * (F.col("n") - 1) / 2)), F.lit(0)).cast("long").alias("pairs"))
+    weights = cooccurrence_edges(mentions, 1).agg(F.count_if(F.col("weight") >= min_weight).alias("written"), F.count_if(F.col("weight") < min_weight).alias("below"))
+    return docs.crossJoin(weights)
+
+
 def type_pair_stats(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src_type", "dst_type").agg(F.count(F.lit(1)).alias("n_edges"), round6(F.avg("weight")).alias("avg_weight"), F.max("weight").alias("max_weight"))
 
@@ -115,6 +129,20 @@ def global_network(edges: DataFrame, types: list[str], min_weight: int = 3, limi
     return edges.where((a & b if strict else a | b) & (F.col("weight") >= min_weight)).orderBy(F.desc("weight"), "src", "dst").limit(limit)
 
 
+def global_network_page(edges: DataFrame, mentions: DataFrame, types: list[str], min_weight: int = 3, limit: int = 500, strict: bool = True, least_mentions: int = 1, kind: str = "PERSON", docs: DataFrame | None = None) -> DataFrame:
+    """The heaviest edges as served: cut at ``limit`` first, then without rare entities of ``kind`` and, with ``docs``
+    (column ``doc``), without edges between entities that these documents do not mention. ``total`` counts all edges before the cut."""
+    a, b = F.col("src_type").isin(types), F.col("dst_type").isin(types)
+    fit = edges.where((a & b if strict else a | b) & (F.col("weight") >= min_weight))
+    total = fit.agg(F.count(F.lit(1)).alias("total"))
+    shown = without_rare_persons(fit.orderBy(F.desc("weight"), "src", "dst").limit(limit), mentions, least_mentions, kind)
+    if docs is not None:
+        inside = mentions.join(docs.select("doc").distinct(), "doc", "left_semi").select("ent").distinct()
+        for end in ("src", "dst"):
+            shown = shown.join(inside.withColumnRenamed("ent", end), end, "left_semi")
+    return shown.select("src", "dst", "src_type", "dst_type", "weight").crossJoin(F.broadcast(total))
+
+
 def document_network(mentions: DataFrame, doc: int, min_weight: int = 2) -> DataFrame:
     """Edges between the entities of one document, weighed over all documents."""
     inside = mentions.where(F.col("doc") == doc).select("ent").distinct()
@@ -128,13 +156,20 @@ def entity_metrics(edges: DataFrame) -> DataFrame:
     return both.groupBy("node", "node_type").agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("weighted_degree"), F.max("weight").alias("max_weight"), best.alias("strongest"))
 
 
-def related_documents(mentions: DataFrame, doc: int, limit: int = 10, max_neighbours: int = 100) -> DataFrame:
-    """Documents with entities that neighbour those of ``doc``, by shared and neighbouring entities."""
+def related_documents(mentions: DataFrame, doc: int, limit: int = 10, max_neighbours: int = 100, folders: DataFrame | None = None) -> DataFrame:
+    """Documents with entities that neighbour those of ``doc``, by shared and neighbouring entities.
+
+    With ``folders`` (``doc, folder``) documents of the same folder as ``doc`` are left out; those
+    without a folder stay.
+    """
     own = mentions.where(F.col("doc") == doc).select("ent").distinct()
     near = neighbours_of(mentions, own.withColumnRenamed("ent", "node")).groupBy(F.col("other").alias("ent")).agg(F.max("weight").alias("w"))
     near = near.join(own, "ent", "left_anti").orderBy(F.desc("w"), "ent").limit(max_neighbours)
     marked = own.select("ent", F.lit(1).alias("shared"), F.lit(0).alias("network")).union(near.select("ent", F.lit(0), F.lit(1)))
     found = mentions.where(F.col("doc") != doc).join(marked, "ent").groupBy("doc").agg(F.sum("shared").alias("shared"), F.sum("network").alias("network"))
+    if folders is not None:
+        own_folder = folders.where((F.col("doc") == doc) & F.col("folder").isNotNull()).select("folder")
+        found = found.join(folders.join(own_folder, "folder", "left_semi").select("doc"), "doc", "left_anti")
     return found.orderBy(F.desc("shared"), F.desc("network"), "doc").limit(limit)
 
 
@@ -157,5 +192,25 @@ def viewer_documents(edges: DataFrame, mentions: DataFrame, preset: str = "cross
     return hit.groupBy("doc").agg(F.sum("weight").alias("score"), F.count(F.lit(1)).alias("n_edges")).join(entities, "doc")
 
 
+def ranked_viewer_documents(edges: DataFrame, mentions: DataFrame, preset: str = "cross_type_only", limit: int = 200, min_weight: int = 3, docs_per_edge: int = 50, most: int = 2000) -> DataFrame:
+    """The documents that a viewer shows, in its order: score, edges and entities of each, and ``place``.
+
+    Edges are taken from the heaviest on, each with its first ``docs_per_edge`` documents; the first
+    ``most`` documents so met are shown, by entities, then score, then edges, then number.
+    """
+    test = {"cross_type_only": "src_type <> dst_type", "within_type": "src_type = dst_type", "all_pairs": "true"}[preset]
+    top = edges.where(test).where(F.col("weight") >= min_weight).orderBy(F.desc("weight"), "src", "dst").limit(limit)
+    top = top.withColumn("edge", F.row_number().over(Window.orderBy(F.desc("weight"), "src", "dst")))
+    a, b = mentions.select("doc", F.col("ent").alias("src")), mentions.select("doc", F.col("ent").alias("dst"))
+    hit = a.join(top, "src").join(b, ["doc", "dst"])
+    hit = hit.withColumn("nth", F.row_number().over(Window.partitionBy("edge").orderBy("doc"))).where(F.col("nth") <= docs_per_edge)
+    met = hit.groupBy("doc").agg(F.min(F.struct("edge", "nth")).alias("met"), F.sum("weight").alias("score"), F.count(F.lit(1)).alias("n_edges"))
+    shown = met.orderBy("met").limit(most)
+    ends = F.explode(F.array("src", "dst")).alias("ent")
+    entities = hit.select("doc", ends).distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("n_entities"))
+    place = F.row_number().over(Window.orderBy(F.desc("n_entities"), F.desc("score"), F.desc("n_edges"), "doc"))
+    return shown.join(entities, "doc").select("doc", "score", "n_edges", "n_entities").withColumn("place", place)
+
+
 def top_per_group(df: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.functions.scalars import contains, missing
 from tessera.operators.numbering import number_rows
@@ -53,12 +54,17 @@ def neighbours_in_order(df: DataFrame, key: str, order: str, group: str | None =
 
 
 def field_presence(df: DataFrame) -> DataFrame:
-    """``field`` and how many rows have it, in one pass."""
-    counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
-    pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("n")) for c in df.columns])
+    """``field`` and how many rows have it, in one pass; fields of nested structs by their path."""
+    leaves = _leaves(df.schema)
+    counts = df.agg(*[F.count(reduce(lambda value, name: value[name], path[1:], F.col(path[0]))).alias(f"n{i}") for i, path in enumerate(leaves)])
+    pairs = F.array(*[F.struct(F.lit(".".join(path)).alias("field"), F.col(f"n{i}").alias("n")) for i, path in enumerate(leaves)])
     return counts.select(F.inline(pairs))
 
 
+def _leaves(kind: StructType, above: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
+    return [leaf for f in kind.fields for leaf in (_leaves(f.dataType, (*above, f.name)) if isinstance(f.dataType, StructType) else [(*above, f.name)])]
+
+
 def dropdown(df: DataFrame, field: str) -> DataFrame:
     """Distinct values that are not blank, and ``missing``."""
     values = df.where(F.trim(field) != "").select(F.col(field).alias("value")).distinct()

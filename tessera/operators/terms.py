@@ -10,10 +10,14 @@ from tessera.functions.scalars import round6, tokens
 
 def unique_terms(docs: DataFrame, field: str = "text", phrases: bool = False) -> DataFrame:
     """``term``, ``field``, ``type`` and ``frequency`` of words, or of pairs of neighbours."""
-    words = tokens(F.col(field))
+    words = docs.select(tokens(F.col(field)).alias("words"))
     if phrases:
-        words = F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b)))
-    counted = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("frequency"))
+        # Neighbours are counted as two words; only what is counted becomes one text.
+        beside = F.arrays_zip(F.slice("words", 1, F.size("words") - 1).alias("a"), F.slice("words", 2, F.size("words")).alias("b"))
+        pairs = words.where(F.size("words") > 1).select(F.inline(beside))
+        counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("frequency")).select(F.concat("a", F.lit(" "), "b").alias("term"), "frequency")
+    else:
+        counted = words.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("frequency"))
     return counted.select("term", F.lit(field).alias("field"), F.lit("phrase" if phrases else "word").alias("type"), "frequency")
 
 

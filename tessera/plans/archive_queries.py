@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import chunking, matching, sections, structure
+from tessera.operators import chunking, entities, exploration, matching, notebook, search, sections, serving, structure
 from tessera.plans.queries import QUERIES, query, r6
 from tessera.sources.tables import table
 from tessera.streaming import state
@@ -153,3 +153,114 @@ SELECT user_id AS key, event_id, session, count(*) OVER w AS seen, CAST(sum(CASE
 def session_progress(spark, d):
     return state.session_progress(table(spark, d, "events"))
 
+
+
+# Notebook
+
+def _findings(spark, d):
+    rows = table(spark, d, "events")
+    name = F.when(F.col("event_id") % 3 == 0, F.upper("event_type")).otherwise(F.concat(F.lit(" "), F.col("event_type"), (F.col("user_id") % 40).cast("string")))
+    contexts = F.array(F.concat(F.lit("u"), F.col("user_id").cast("string")), F.when(F.col("event_id") % 2 == 0, ""), F.concat(F.lit("e"), F.col("event_id").cast("string")), F.lit("a"), F.lit("b"))
+    block = F.when(F.col("event_id") % 4 > 0, F.concat((F.col("event_id") % 9).cast("string"), F.lit("::"), F.col("event_id").cast("string")))
+    return rows.select((F.col("event_id") % 2).alias("batch"), F.col("event_id").alias("seq"), name.alias("name"), F.when(F.col("event_id") % 5 > 0, "kind").alias("type"), contexts.alias("contexts"), block.alias("first_block"), block.alias("last_block"))
+
+
+FINDINGS = """f AS (SELECT event_id % 2 AS batch, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN upper(event_type) ELSE ' ' || event_type || user_id % 40 END AS name, CASE WHEN event_id % 5 > 0 THEN 'kind' ELSE 'unknown' END AS type,
+  CASE WHEN event_id % 2 = 0 THEN ['u' || user_id, 'e' || event_id, 'a', 'b'] ELSE ['u' || user_id, 'e' || event_id, 'a', 'b'] END AS contexts, CASE WHEN event_id % 4 > 0 THEN event_id % 9 || '::' || event_id END AS block FROM events WHERE event_type <> ''),
+k AS (SELECT lower(trim(name)) AS key, *, row_number() OVER (PARTITION BY lower(trim(name)) ORDER BY batch, seq) AS nth, count(*) OVER (PARTITION BY lower(trim(name))) AS n FROM f)"""
+
+
+@query(f"""WITH {FINDINGS}, c AS (SELECT key, n, nth, unnest(CASE WHEN nth = 1 THEN contexts ELSE contexts[1:3] END) AS context, unnest(generate_series(1, CASE WHEN nth = 1 THEN len(contexts) ELSE 3 END)) AS pos FROM k),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY nth, pos) AS place FROM c QUALIFY place <= 10 OR n = 1), t AS (SELECT key, string_agg(context, ',' ORDER BY place) AS contexts FROM r GROUP BY key)
+SELECT key, first(name ORDER BY nth) AS name, first(type ORDER BY nth) AS type, count(*) AS document_count, any_value(t.contexts) AS contexts, first(block ORDER BY nth) FILTER (WHERE block IS NOT NULL) AS first_block, last(block ORDER BY nth) FILTER (WHERE block IS NOT NULL) AS last_block
+FROM k JOIN t USING (key) GROUP BY key""")
+def notebook_entities(spark, d):
+    found = _findings(spark, d)
+    state = notebook.merge_entities(found.where("batch = 0"))
+    done = notebook.merge_entities(found.where("batch = 1"), state)
+    return done.withColumn("contexts", F.array_join("contexts", ","))
+
+
+@query("""WITH c AS (SELECT 'year' AS kind, CAST(CASE WHEN p_size % 11 = 0 THEN 'undated' ELSE CAST(1850 + p_size * p_size % 97 AS VARCHAR) END AS VARCHAR) AS name, count(*) AS n FROM part GROUP BY 2 UNION ALL SELECT 'type', p_brand, count(*) FROM part GROUP BY 2),
+e AS (SELECT kind, name, n FROM c UNION ALL SELECT 'decade', CAST(TRY_CAST(name AS INTEGER) // 10 * 10 AS VARCHAR), n FROM c WHERE kind = 'year' AND TRY_CAST(name AS INTEGER) IS NOT NULL) SELECT kind, name, CAST(2 * sum(n) AS BIGINT) AS n FROM e GROUP BY kind, name""")
+def corpus_map_merge(spark, d):
+    parts = table(spark, d, "part")
+    year = F.when(F.col("p_size") % 11 == 0, "undated").otherwise((1850 + F.col("p_size") * F.col("p_size") % 97).cast("string"))
+    batch = parts.groupBy(F.lit("year").alias("kind"), year.alias("name")).agg(F.count(F.lit(1)).alias("n")).unionByName(parts.groupBy(F.lit("type").alias("kind"), F.col("p_brand").alias("name")).agg(F.count(F.lit(1)).alias("n")))
+    return notebook.merge_counts(batch, notebook.merge_counts(batch))
+
+
+@query("""WITH f AS (SELECT lower(event_type) AS type, 'Label ' || user_id % 30 AS label, unnest([event_id % 50 || '::' || event_id, CAST(user_id % 7 AS VARCHAR)]) AS entry FROM events WHERE event_type <> ''), e AS (SELECT DISTINCT type || ':' || lower(label) AS key, type, label, split_part(entry, '::', 1) AS doc FROM f)
+SELECT key, type, min(label) AS label, count(*) AS n_documents, CASE WHEN count(*) >= 5 THEN 'high' WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM e GROUP BY key, type""")
+def group_indicators(spark, d):
+    rows = table(spark, d, "events")
+    evidence = F.array(F.concat((F.col("event_id") % 50).cast("string"), F.lit("::"), F.col("event_id").cast("string")), (F.col("user_id") % 7).cast("string"))
+    found = rows.where("event_type <> ''").select((F.col("event_id") % 2).alias("batch"), F.upper("event_type").alias("type"), F.concat(F.lit("Label "), (F.col("user_id") % 30).cast("string"), F.lit(" ")).alias("label"), evidence.alias("evidence"))
+    state = notebook.merge_indicators(found.where("batch = 0"))
+    return notebook.indicator_levels(notebook.merge_indicators(found.where("batch = 1"), state))
+
+
+def _nested(spark, d):
+    part = table(spark, d, "part")
+    empty = lambda n, value: F.when(F.col("p_size") % n > 0, value)
+    about = F.struct(empty(2, F.col("p_brand")).alias("brand"), F.when(F.col("p_size") % 3 == 0, "N/A").otherwise(F.col("p_type")).alias("kind"))
+    return part.select("p_partkey", empty(7, F.struct(about.alias("about"), F.lit("").alias("note"))).alias("inner"), F.array(F.lit(""), empty(4, F.col("p_name")), F.lit("None")).alias("names"))
+
+
+@query("SELECT 'p_partkey' AS field, count(*) AS n FROM part UNION ALL SELECT 'inner.about.brand', count(*) FILTER (WHERE p_size % 7 > 0 AND p_size % 2 > 0) FROM part UNION ALL SELECT 'inner.about.kind', count(*) FILTER (WHERE p_size % 7 > 0) FROM part UNION ALL SELECT 'inner.note', count(*) FILTER (WHERE p_size % 7 > 0) FROM part UNION ALL SELECT 'names', count(*) FROM part")
+def nested_presence(spark, d):
+    return search.field_presence(_nested(spark, d))
+
+
+@query("""WITH a AS (SELECT *, CASE WHEN p_size % 2 > 0 THEN '"brand":"' || p_brand || '"' END AS b, CASE WHEN p_size % 3 > 0 THEN '"kind":"' || p_type || '"' END AS k FROM part)
+SELECT p_partkey, '{"p_partkey":' || p_partkey || CASE WHEN p_size % 7 > 0 AND coalesce(b, k) IS NOT NULL THEN ',"inner":{"about":{' || concat_ws(',', b, k) || '}}' ELSE '' END || CASE WHEN p_size % 4 > 0 THEN ',"names":["' || p_name || '"]' ELSE '' END || '}' AS cleaned FROM a""")
+def clean_nested(spark, d):
+    rows = _nested(spark, d)
+    return rows.select("p_partkey", exploration.without_empty(rows).alias("cleaned"))
+
+
+@unchecked
+def linked_terms(spark, d):
+    """Types of parts, some of them misspelt, against all types as they are."""
+    part = table(spark, d, "part")
+    spelt = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_type", F.lit("s"))).when(F.col("p_partkey") % 7 == 0, F.reverse("p_type")).otherwise(F.col("p_type"))
+    known = part.select(F.col("p_type").alias("reference"), F.md5(F.col("p_type").cast("binary")).alias("kb_id"))
+    return entities.link_terms(part.select(spelt.alias("term"), F.lit(1).alias("frequency")), known)
+
+
+# Served results
+
+def _chunk_vectors(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("vec_id") * 7 % 300).alias("doc_id")).join(docs, "doc_id")
+
+
+SERVED = f"""{COSINES}, q AS (SELECT a, b, cosine, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rank FROM c WHERE a % 50 = 0 AND b * 7 % 300 IN (SELECT doc_id FROM documents) QUALIFY rank <= 8)"""
+
+
+@query(f"WITH {SERVED} SELECT a AS query_id, b AS chunk_id, CAST(rank AS INTEGER) AS rank, floor(cosine * 1e4 + 0.5) / 1e4 AS score, floor((1 - cosine) * 1e4 + 0.5) / 1e4 AS distance, md5(substring(coalesce(text, ''), 1, 400)) AS content, coalesce(lang, '') AS title, '' AS date, coalesce(source, '') AS source, doc_id FROM q JOIN documents ON doc_id = b * 7 % 300")
+def semantic_search(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("title"), F.lit(None).cast("string").alias("date"), "source")
+    done = serving.semantic_search(_chunk_vectors(spark, d), table(spark, d, "embeddings").where("vec_id % 50 = 0").select("vec_id", "embedding"), docs, 8)
+    return done.withColumn("content", F.md5("content"))
+
+
+@query(f"WITH {SERVED}, p AS (SELECT a AS query_id, b * 7 % 300 AS doc_id, min(rank) AS rank FROM q GROUP BY ALL) SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS INTEGER) AS place FROM p QUALIFY place <= 5")
+def parent_documents(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.lit("").alias("title"), F.lit("").alias("date"), "source")
+    hits = serving.semantic_search(_chunk_vectors(spark, d), table(spark, d, "embeddings").where("vec_id % 50 = 0").select("vec_id", "embedding"), docs, 8)
+    return serving.parents(hits)
+
+
+@query("WITH k AS (SELECT DISTINCT CAST(vec_id * 3 AS VARCHAR) AS k FROM embeddings), l AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT k FROM k)) SELECT doc_id, n // 64 AS batch FROM l")
+def embedding_backfill(spark, d):
+    done = table(spark, d, "embeddings").select((F.col("vec_id") * 3).cast("string").alias("document_id"))
+    return serving.backfill(table(spark, d, "documents"), done, batch=64)
+
+
+@unchecked
+def question_agenda(spark, d):
+    rows = table(spark, d, "embeddings").where("embedding is not null")
+    first = rows.where("label is not null").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("vec_id"))
+    themes = first.select("vec_id", "embedding", F.concat(F.lit("theme "), F.col("label").cast("string")).alias("theme"))
+    return serving.agenda(_scored(spark, d), themes)

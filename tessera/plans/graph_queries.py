@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import communities as found, graphs, network, random_graphs, search
-from tessera.plans.queries import BOTH, EDGES, MENTIONS, QUERIES, STAR, edges, places, query, r6
+from tessera.plans.queries import BOTH, EDGES, MENTIONS, QUERIES, STAR, edges, mentions, places, query, r6
 from tessera.session import materialize
-from tessera.sources.tables import mentions, table
+from tessera.sources.tables import table
 
 TOP = EDGES + ", t AS (SELECT * FROM e ORDER BY weight DESC, src, dst LIMIT 400), c AS (SELECT *, count(*) OVER (PARTITION BY src_type, dst_type) AS pair_count FROM t)"
 URGENT = MENTIONS + """, w AS (SELECT o_orderkey AS doc FROM orders WHERE contains(lower(o_orderpriority), 'urgent')),
@@ -218,3 +218,53 @@ y AS (SELECT *, (o - mean) / greatest(std, 1e-10) AS z FROM q)
 SELECT metric, {r6('o')} AS observed, {r6('mean')} AS null_mean, {r6('std')} AS null_std, {r6('z')} AS z, abs(z) > 1.96 AS significant, CASE WHEN z > 0 THEN 'higher' ELSE 'lower' END AS direction, n AS n_simulations FROM y""")
 def random_graph_comparison(spark, d):
     return random_graphs.compare_to_random(edges(spark, d), replicates=3)
+
+
+@query(f"WITH {BOTH}, {_lpa(3)}, n AS (SELECT label, split_part(node, ':', 1) || ' ' || length(node) % 3 AS value, count(*) AS n FROM l3 GROUP BY ALL) SELECT label, value, n, CAST(row_number() OVER (PARTITION BY label ORDER BY n DESC, value) AS INTEGER) AS rank FROM n QUALIFY rank <= 10")
+def community_composition(spark, d):
+    labels = graphs.label_propagation(edges(spark, d), 3)
+    value = F.concat(F.split_part("node", F.lit(":"), F.lit(1)), F.lit(" "), (F.char_length("node") % 3).cast("string"))
+    return graphs.community_composition(labels, labels.select("node", value.alias("value")))
+
+
+@query(f"""WITH RECURSIVE {STAR}, o AS (SELECT 'N' || n_nationkey AS source FROM nation), p AS (SELECT source, source AS node, [source] AS path FROM o UNION ALL SELECT p.source, s.other, list_append(p.path, s.other) FROM p JOIN s ON p.node = s.node WHERE NOT list_contains(p.path, s.other)),
+v AS (SELECT unnest(path[2:len(path) - 1]) AS node FROM p WHERE len(path) > 2), c AS (SELECT node, count(*)::DOUBLE AS share FROM v GROUP BY node), n AS (SELECT count(*)::DOUBLE AS n, (SELECT count(*) FROM o)::DOUBLE AS k FROM d),
+b AS (SELECT d.node, degree, coalesce(share, 0) * n / k / ((n - 1) * (n - 2)) AS b FROM d LEFT JOIN c USING (node), n), x AS (SELECT node, degree, {r6('b')} AS betweenness, {r6('b / ln(degree + 1)')} AS bridge FROM b)
+SELECT * FROM x ORDER BY bridge DESC, node LIMIT 30""")
+def gatekeepers(spark, d):
+    return graphs.gatekeepers(places(spark, d), _sources(spark, d))
+
+
+@query(f"""WITH {BOTH}, o AS (SELECT DISTINCT ent FROM m WHERE doc = 1), n AS (SELECT other AS ent FROM s WHERE node IN (FROM o) AND other NOT IN (FROM o) GROUP BY other ORDER BY max(weight) DESC, other LIMIT 100),
+k AS (SELECT ent, 1 AS shared, 0 AS network FROM o UNION ALL SELECT ent, 0, 1 FROM n), f AS (SELECT o_orderkey AS doc, CASE WHEN o_custkey % 5 > 0 THEN o_custkey % 5 END AS folder FROM orders)
+SELECT doc, CAST(sum(shared) AS BIGINT) AS shared, CAST(sum(network) AS BIGINT) AS network FROM m JOIN k USING (ent) WHERE doc <> 1 AND doc NOT IN (SELECT doc FROM f WHERE folder IN (SELECT folder FROM f WHERE doc = 1 AND folder IS NOT NULL)) GROUP BY doc ORDER BY shared DESC, network DESC, doc LIMIT 10""")
+def related_elsewhere(spark, d):
+    folder = F.when(F.col("o_custkey") % 5 > 0, F.col("o_custkey") % 5)
+    return network.related_documents(mentions(spark, d), 1, folders=table(spark, d, "orders").select(F.col("o_orderkey").alias("doc"), folder.alias("folder")))
+
+
+@query(f"""WITH {EDGES}, t AS (SELECT *, row_number() OVER (ORDER BY weight DESC, src, dst) AS edge FROM e WHERE src_type <> dst_type AND weight >= 3 QUALIFY edge <= 200),
+h AS (SELECT a.doc, t.src, t.dst, t.weight, edge, row_number() OVER (PARTITION BY edge ORDER BY a.doc) AS nth FROM t JOIN m a ON a.ent = t.src JOIN m b ON b.ent = t.dst AND b.doc = a.doc QUALIFY nth <= 5),
+g AS (SELECT doc, min((edge, nth)) AS met, CAST(sum(weight) AS BIGINT) AS score, count(*) AS n_edges FROM h GROUP BY doc ORDER BY met LIMIT 300), n AS (SELECT doc, count(DISTINCT x) AS n_entities FROM (SELECT doc, src AS x FROM h UNION SELECT doc, dst FROM h) GROUP BY doc)
+SELECT doc, score, n_edges, n_entities, CAST(row_number() OVER (ORDER BY n_entities DESC, score DESC, n_edges DESC, doc) AS INTEGER) AS place FROM g JOIN n USING (doc)""")
+def viewer_document_ranking(spark, d):
+    return network.ranked_viewer_documents(edges(spark, d), mentions(spark, d), docs_per_edge=5, most=300)
+
+
+@query(f"WITH {EDGES} SELECT e.src, e.dst, count(DISTINCT a.doc) AS n_docs, min(a.doc) AS first_doc, max(a.doc) AS last_doc FROM e JOIN m a ON a.ent = e.src JOIN m b ON b.ent = e.dst AND b.doc = a.doc GROUP BY ALL")
+def edge_documents(spark, d):
+    done = network.edge_documents(mentions(spark, d), edges(spark, d))
+    return done.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
+
+
+@query(f"""WITH {MENTIONS}, s AS (SELECT doc, count(*) AS n FROM m GROUP BY doc), w AS (SELECT count(*) AS w FROM m a JOIN m b ON a.doc = b.doc AND a.ent < b.ent GROUP BY a.ent, b.ent)
+SELECT (SELECT count(*) FILTER (WHERE n >= 2) FROM s) AS processed, (SELECT count(*) FILTER (WHERE n < 2) FROM s) AS skipped, (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM s) AS pairs, count(*) FILTER (WHERE w >= 2) AS written, count(*) FILTER (WHERE w < 2) AS below FROM w""")
+def build_counters(spark, d):
+    return network.build_counters(mentions(spark, d))
+
+
+@query(f"""WITH {URGENT}, e AS (SELECT a.ent AS src, b.ent AS dst, a.type AS src_type, b.type AS dst_type, count(*) AS weight FROM m a JOIN m b ON a.doc = b.doc AND a.ent < b.ent GROUP BY ALL HAVING count(*) >= 2),
+x AS (SELECT * FROM e WHERE (src_type = 'SUPPLIER' OR dst_type = 'SUPPLIER') AND weight >= 2), t AS (SELECT * FROM x ORDER BY weight DESC, src, dst LIMIT 300), f AS (SELECT ent FROM m WHERE type = 'SUPPLIER' GROUP BY ent HAVING count(*) >= 8)
+SELECT t.*, (SELECT count(*) FROM x) AS total FROM t WHERE (src_type <> 'SUPPLIER' OR src IN (FROM f)) AND (dst_type <> 'SUPPLIER' OR dst IN (FROM f)) AND src IN (SELECT ent FROM k) AND dst IN (SELECT ent FROM k)""")
+def global_network_page(spark, d):
+    return network.global_network_page(edges(spark, d), mentions(spark, d), ["SUPPLIER"], 2, 300, False, 8, "SUPPLIER", _urgent(spark, d))

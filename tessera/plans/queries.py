@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import corpus, entities, network, retrieval, search, statistics, terms
-from tessera.sources.tables import mentions, table
+from tessera.sources.tables import mentions as mention_view, table
 from tessera.session import listing, materialize
 from tessera.streaming import events as stream
 
@@ -40,15 +40,23 @@ BOTH = EDGES + """, s AS (SELECT src AS node, dst AS other, src_type AS node_typ
 TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 
 
-#: Edge tables written so far, by application and state of the folder: like a stored network, each is built once.
-_EDGES: dict = {}
+#: Mention and edge tables written so far, by application and state of the folder: like a stored network, each is built once.
+_STORED: dict = {}
+
+
+def _stored(spark, d, name, build):
+    key = (spark.sparkContext.applicationId, name, listing(spark, *(f"{d}/{t}.parquet" for t in ("lineitem", "orders", "customer", "nation", "part"))))
+    if key not in _STORED:
+        _STORED[key] = materialize(build(), name)
+    return _STORED[key]
+
+
+def mentions(spark, d):
+    return _stored(spark, d, "mentions", lambda: mention_view(spark, d))
 
 
 def edges(spark, d):
-    key = (spark.sparkContext.applicationId, listing(spark, *(f"{d}/{t}.parquet" for t in ("lineitem", "orders", "customer", "nation", "part"))))
-    if key not in _EDGES:
-        _EDGES[key] = materialize(network.cooccurrence_edges(mentions(spark, d)), "edges")
-    return _EDGES[key]
+    return _stored(spark, d, "edges", lambda: network.cooccurrence_edges(mentions(spark, d)))
 
 
 # Search

@@ -104,3 +104,14 @@ def test_new_questions(spark):
     known = spark.createDataFrame([(1, "Why did wages fall in the yard")], "id int, text string")
     new = spark.createDataFrame([(1, "why did WAGES fall in the yard"), (2, "who was he"), (3, " "), (4, None)], "id int, text string")
     assert {r.id: r.duplicate for r in is_duplicate_question(new, known).collect()} == {1: True, 2: False, 3: True, 4: True}
+
+
+def test_linked_terms(spark):
+    from tessera.operators.entities import link_terms
+
+    terms = spark.createDataFrame([("brakeman", 2), ("brakeman", 3), ("fireman", 1), ("zzz", 4), ("", 1), (None, 1)], "term string, frequency int")
+    refs = spark.createDataFrame([("brakeman", "k2"), ("brakeman", "k1"), ("firemann", "k3"), (None, "k4")], "reference string, kb_id string")
+    got = {r.term: (r.kb_id, r.how, r.frequency) for r in link_terms(terms, refs).collect()}
+    assert got["brakeman"] == ("k1", "exact", 5) and got["fireman"] == ("k3", "fuzzy", 1)
+    assert got["zzz"][0].startswith("own:") and got["zzz"][1:] == ("new", 4) and len(got) == 3
+    assert link_terms(terms, refs.limit(0)).where("how <> 'new'").count() == 0
