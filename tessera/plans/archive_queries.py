@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import chunking, entities, exploration, matching, notebook, search, sections, serving, structure
 from tessera.plans.queries import QUERIES, query, r6
+from tessera.sources import archive
 from tessera.sources.tables import table
 from tessera.streaming import state
 
@@ -264,3 +265,33 @@ def question_agenda(spark, d):
     first = rows.where("label is not null").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("vec_id"))
     themes = first.select("vec_id", "embedding", F.concat(F.lit("theme "), F.col("label").cast("string")).alias("theme"))
     return serving.agenda(_scored(spark, d), themes)
+
+
+# Archives
+
+def _listing(spark, d):
+    """Paths of records and images as an archive of the parts would have them."""
+    p = F.col("p_partkey")
+    folder = F.concat(F.lit("/arc/"), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("Relief Record Scans/JPG/Box "), F.col("p_size").cast("string"))).otherwise(F.concat(F.lit("Microfilm Digitization/Microfilm "), F.col("p_size").cast("string"))), F.lit("/"), p.cast("string"), F.lit("-"), F.col("p_brand"), F.lit("/RD"), p.cast("string"))
+    kind = p % 4
+    ends = F.array(
+        F.when(kind == 0, "_jpg.txt").when(kind == 1, ".png.json").otherwise(".json"),
+        F.when((kind == 0) & (p % 3 > 0), ".jpg"), F.when((kind == 0) & (p % 5 == 0), ".JPG"), F.when((kind == 1) & (p % 3 == 1), ".png"), F.when((kind > 1) & (p % 3 == 2), ".tif"), F.when((kind > 1) & (p % 5 == 1), ".jpeg"),
+    )
+    return table(spark, d, "part").select(folder.alias("folder"), F.explode(F.filter(ends, lambda e: e.isNotNull())).alias("end")).select(F.concat("folder", "end").alias("path"))
+
+
+LISTED = """x AS (SELECT p_partkey AS p, p_size, p_brand, p_partkey % 4 AS kind, '/arc/' || CASE WHEN p_size % 3 = 0 THEN 'Relief Record Scans/JPG/Box ' || p_size ELSE 'Microfilm Digitization/Microfilm ' || p_size END || '/' || p_partkey || '-' || p_brand AS folder FROM part),
+y AS (SELECT *, folder || '/RD' || p AS base, CASE WHEN kind = 0 AND p % 3 > 0 THEN '.jpg' WHEN kind = 0 AND p % 5 = 0 THEN '.JPG' WHEN kind = 1 AND p % 3 = 1 THEN '.png' WHEN kind > 1 AND p % 5 = 1 THEN '.jpeg' WHEN kind > 1 AND p % 3 = 2 THEN '.tif' END AS best,
+  (kind = 0 AND p % 3 > 0)::INT + (kind = 0 AND p % 5 = 0)::INT + (kind = 1 AND p % 3 = 1)::INT + (kind > 1 AND p % 3 = 2)::INT + (kind > 1 AND p % 5 = 1)::INT AS images FROM x)"""
+
+
+@query(f"""WITH {LISTED} SELECT base || CASE kind WHEN 0 THEN '_jpg.txt' WHEN 1 THEN '.png.json' ELSE '.json' END AS path, base || best AS image, p || '-' || p_brand AS person_folder, CAST(p AS VARCHAR) AS person_id, p_brand AS person_name,
+CASE WHEN p_size % 3 = 0 THEN 'Relief Record Scans' ELSE 'Microfilm Digitization' END AS collection, CASE WHEN p_size % 3 = 0 THEN 'JPG' END AS format, CASE WHEN p_size % 3 = 0 THEN 'Box ' || p_size END AS physical_box, CASE WHEN p_size % 3 > 0 THEN 'Microfilm ' || p_size END AS series FROM y""")
+def archive_records(spark, d):
+    return archive.paired_images(_listing(spark, d)).select("path", "image", archive.path_metadata(F.col("path")).alias("m")).select("path", "image", "m.*")
+
+
+@query(f"WITH {LISTED} SELECT folder AS directory, images, CASE WHEN kind = 1 AND images > 0 THEN 1 ELSE 0 END AS complete, 0 AS text_only, CASE WHEN kind = 1 THEN 0 ELSE images END AS needs_processing, CASE WHEN kind = 1 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS completion_rate FROM y WHERE images > 0")
+def archive_status(spark, d):
+    return archive.directory_status(_listing(spark, d)).where("directory is not null")
