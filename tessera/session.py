@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,9 @@ LOCAL_CONF = {
 #: The setting by which a query's shuffle files go when the query ends.
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Tables written since :func:`materialize_alone` began, if it did.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 
 def local_session(master: str = "local[8]", **conf: str) -> SparkSession:
     """A session for tests and benchmarks."""
@@ -57,9 +62,34 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(DROP_SHUFFLES, before)
+    if _WRITTEN.get() is not None:
+        _WRITTEN.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_alone(build: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """Write what ``build`` returns, as :func:`materialize` does, and delete all tables written on the way.
+
+    What was built must not hold on to frames that are read later: only the result stays.
+    """
+    written: list[str] = []
+    token = _WRITTEN.set(written)
+    try:
+        out = materialize(build(), tag)
+    finally:
+        _WRITTEN.reset(token)
+    for path in written[:-1]:
+        _delete(out.sparkSession, path)
+    if _WRITTEN.get() is not None:
+        _WRITTEN.get().append(written[-1])
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def listing(spark: SparkSession, *paths: str) -> tuple:
     """Path, size and time of the last change of files or folders; it differs once one of them was changed."""
     out = []

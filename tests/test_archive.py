@@ -79,3 +79,22 @@ def test_status_and_tree(spark):
     tree = {r.directory: (r.dirs, r.files) for r in archive.short_tree(listing(spark, paths), "/r/").collect()}
     assert tree == {".": (["a", "b", "many"], ["x.txt"]), "a": ([], ["1.jpg", "1.jpg.json", "2.PNG", "2.PNG.txt", "3.tif"]), "b": (["c"], []), "b/c": (["d"], ["4.gif", "4.gif.json", "4.gif.txt"]), "many": ([], [f"{i}.txt" for i in range(5)])}
     assert archive.directory_status(listing(spark, [])).where("directory is not null").count() == 0
+
+
+def test_only_the_result_stays(spark):
+    from tessera.session import materialize, materialize_alone, scratch_dir
+
+    def folders():
+        root = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+        return {s.getPath().getName() for s in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)}
+
+    before = folders()
+
+    def build():
+        one = materialize(spark.range(5), "alone-one")
+        two = materialize_alone(lambda: materialize(one.selectExpr("id + 1 AS id"), "alone-deep").selectExpr("id * 2 AS id"), "alone-two")
+        return one.union(two)
+
+    out = materialize_alone(build, "alone-out")
+    assert sorted(r.id for r in out.collect()) == [0, 1, 2, 2, 3, 4, 4, 6, 8, 10]
+    assert [f.rpartition("-")[0] for f in folders() - before] == ["alone-out"]
