@@ -148,13 +148,13 @@ def train(rows: list[np.ndarray], label: np.ndarray, bits: int, rounds: int = 15
     return weight.astype(np.float32)
 
 
-def toxic_lexicon(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, most_terms: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> frozenset[str]:
+def toxic_lexicon(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> frozenset[str]:
     """Words and stems that mark toxic documents in a sample of at most ``most_labelled`` rows.
 
     A word, or its first four or five letters with a star, counts if it follows at least eight
-    different words in toxic documents (copies of one document do not make it count; the
-    ``most_terms`` that follow most words are looked at, since the lexicon goes to every task) and
-    98% of its uses are in toxic documents. Without labels only :data:`INSULTS` are left.
+    different words in toxic documents (copies of one document do not make it count) and 98% of
+    its uses are in toxic documents. The lexicon goes to every task; it is bounded by the words of
+    the sample. Without labels only :data:`INSULTS` are left.
     """
     named = labels.select(F.col(id_col).alias("id"), "toxic").where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     named = named.orderBy(F.xxhash64("id"), "id").limit(most_labelled)
@@ -165,10 +165,9 @@ def toxic_lexicon(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_00
     terms = F.explode(F.array("word", F.concat(F.substring("word", 1, 4), F.lit("*")), F.concat(F.substring("word", 1, 5), F.lit("*")))).alias("term")
     used = words.where("toxic = 1").select(F.explode(F.arrays_zip(F.col("words").alias("word"), F.concat(F.array(F.lit("")), "words").alias("before"))).alias("x")).where("x.word is not null")
     used = used.select(F.col("x.word").alias("word"), F.col("x.before").alias("before")).select(terms, "before").distinct().groupBy("term").count().where("count >= 8")
-    used = used.orderBy(F.desc("count"), "term").limit(most_terms).select("term")
-    uses = words.select("toxic", F.explode("words").alias("word")).select("toxic", terms).join(F.broadcast(used), "term", "left_semi")
+    uses = words.select("toxic", F.explode("words").alias("word")).select("toxic", terms).join(used.select("term"), "term", "left_semi")
     found = uses.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")).where("bad >= 0.98 * n")
-    return frozenset(INSULTS) | {r["term"] for r in found.orderBy(F.desc("bad"), "term").limit(most_terms).collect()}
+    return frozenset(INSULTS) | {r["term"] for r in found.collect()}
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = 12_000, bits: int = 17, most_labelled: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
