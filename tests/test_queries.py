@@ -14,6 +14,8 @@ from tessera.sources.tables import combined_hash, merge_latest, new_documents, r
 from tessera.streaming import events as stream
 
 SMALL = "/root/testdata/sf0.001"
+#: Queries that find nothing in the smallest tables, and are held against their SQL on larger ones.
+RARE = {"term_lift": "/root/testdata/sf0.01"}
 
 
 @pytest.fixture(scope="session")
@@ -26,7 +28,8 @@ def test_query_equals_sql(spark, con, name):
     if name not in catalog.oracle_sql():
         assert catalog.queries()[name](spark, SMALL).count() > 0
         return
-    assert differences(spark, con, catalog.queries()[name], catalog.oracle_sql()[name], SMALL) == ""
+    there = RARE.get(name, SMALL)
+    assert differences(spark, connect(there) if name in RARE else con, catalog.queries()[name], catalog.oracle_sql()[name], there) == ""
 
 
 def test_components_of_a_random_graph(spark):
