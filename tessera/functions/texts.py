@@ -15,6 +15,8 @@ STOP_WORDS = (
 )
 #: Phrases of printed forms: fixed values.
 FORM_PHRASES = ("questions to be asked", "have you ever", "are you now in good health", "do you", "i hereby apply", "i hereby certify")
+#: A year, and a capitalised name: fixed values.
+NAME = r"\b[A-Z][A-Za-z&.\-]{2,}\b"
 YEAR = r"\b(?:18|19|20)\d{2}\b"
 
 
@@ -64,7 +66,7 @@ def evidence_score(text: Column, question: str) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     held = lambda words, n: sum((F.when(F.contains(low, F.lit(w)), n).otherwise(0) for w in sorted(words)), F.lit(0))
     words = set(re.findall(r"[a-z0-9]{3,}", question.lower()))
-    names = {w.lower() for w in set(re.findall(r"\b[A-Z][A-Za-z&.\-]{2,}\b", question))}
+    names = {w.lower() for w in set(re.findall(NAME, question))}
     years = set(re.findall(YEAR, question))
     less = F.when(any_of(low, FORM_PHRASES), 2).otherwise(0) + F.when(F.char_length(low) - F.char_length(F.replace(low, F.lit("?"), F.lit(""))) >= 3, 1).otherwise(0)
     return F.when((low == "") | F.lit(not words), 0).otherwise(held(words, 1) + held(names, 2) + held(years, 2) - less)

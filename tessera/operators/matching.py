@@ -257,6 +257,10 @@ def merge_similar_patterns(found: DataFrame, least: float = 0.9) -> DataFrame:
     return plain.join(texts.join(kept, "place"), "text").select("seq", "pattern", "merged")
 
 
+#: Numbers and years that tell claims apart: fixed values.
+LONG_NUMBER, CLAIM_YEAR = r"\b\d{3,}\b", r"(18\d{2}|19\d{2}|20\d{2})"
+
+
 def contradiction_type(claim_a: Column, claim_b: Column) -> Column:
     """What kind of contradiction two claims are, and how sure: ``type, confidence``.
 
@@ -269,6 +273,6 @@ def contradiction_type(claim_a: Column, claim_b: Column) -> Column:
     every = lambda c, pattern: F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0))))
     differ = lambda pattern: (F.size(every(a, pattern)) > 0) & (F.size(every(b, pattern)) > 0) & (every(a, pattern) != every(b, pattern))
     named = F.contains(a, F.lit("certificate")) | F.contains(b, F.lit("certificate"))
-    kind = F.when(ratio >= 0.85, "name_variant_or_ocr").when(differ(r"\b\d{3,}\b") & named, "certificate_number_conflict").when(differ(r"(18\d{2}|19\d{2}|20\d{2})"), "date_conflict").otherwise("true_conflict")
+    kind = F.when(ratio >= 0.85, "name_variant_or_ocr").when(differ(LONG_NUMBER) & named, "certificate_number_conflict").when(differ(CLAIM_YEAR), "date_conflict").otherwise("true_conflict")
     return F.struct(kind.alias("type"), F.when(kind.isin("name_variant_or_ocr", "certificate_number_conflict"), "medium").otherwise("low").alias("confidence"))
 

@@ -18,8 +18,11 @@ FACTOID_OPENINGS = (
     "what was the date of birth", "what was the occupation of", "what was the nature of", "who is ", "who was ", "when was ", "where was ",
     "where does ", "where did ",
 )
+#: A question about something a named person has: a fixed value.
 POSSESSIVE = r"(?i)^(what|who|when|where|how)\b.{0,40}\b[A-Z][a-z]+(?:\s+[A-Z]\.?)?\s+[A-Z][a-z]+(?:'s|s')\s+\w+"
+#: A question what a name is: a fixed value.
 WHAT_IS = r"(?i)^what\s+(?:is|was|are|were)\s+(?:the\s+)?(?:\w+\s+){0,2}(?:of\s+)?[A-Z]"
+#: Capitalised words that are no names: fixed values.
 COMMON_WORDS = (
     "what", "who", "when", "where", "how", "why", "the", "a", "an", "is", "was", "are", "were", "of", "in", "at", "by", "for", "to",
     "relief", "department", "railroad", "baltimore", "ohio", "company",
@@ -36,8 +39,12 @@ LENS_FAMILIES = (
     ("job", "occupation", "department", "laborer", "brakeman", "conductor", "worker", "track"),
     ("process", "procedure", "workflow", "review", "approval", "adjudication", "paperwork", "timeline", "delay", "administrative", "record", "filing", "certification"),
 )
+#: A part that a form left open: a fixed value.
 PLACEHOLDER = r"\[[^\]]+\]|\{[^}]+\}"
 
+#: An id and a person's name in a question: fixed values.
+HEX_ID, TWO_NAMES = r"\b[a-f0-9]{8,}\b", r"\b[A-Z][a-z]+ [A-Z][a-z]+\b"
+
 
 def is_factoid(question: Column) -> Column:
     """Whether a question asks for one person's record, or is empty."""
@@ -154,7 +161,7 @@ def theme_of(text: Column, themes: dict[str, tuple[str, ...]]) -> Column:
 def too_specific(question: Column, n_actors: Column) -> Column:
     """Whether a grand question names an id, a person in few words, or only one or two actors."""
     words = F.size(F.filter(F.split(question, r"\s+"), lambda w: w != ""))
-    return (F.coalesce(question, F.lit("")) == "") | F.lower(question).rlike(r"\b[a-f0-9]{8,}\b") | (question.rlike(r"\b[A-Z][a-z]+ [A-Z][a-z]+\b") & (words < 18)) | n_actors.between(1, 2)
+    return (F.coalesce(question, F.lit("")) == "") | F.lower(question).rlike(HEX_ID) | (question.rlike(TWO_NAMES) & (words < 18)) | n_actors.between(1, 2)
 
 
 def answerability(questions: DataFrame, chunks: DataFrame, least: int = 5, most: int = 200, limit: int = 50) -> DataFrame:
