@@ -47,12 +47,12 @@ def rarity_table(lines: DataFrame) -> Column:
 
 
 def tokenised(lines: DataFrame, table: Column, threshold: float) -> DataFrame:
-    """``lines`` with ``n`` (distinct words), ``sketch``, ``prefix`` and ``ends``.
+    """``lines`` with ``n`` (distinct words), ``sketch`` and ``sketchb``, ``prefix`` and ``ends``.
 
     A token is a word's rarity above 56 bits of its hash, so tokens in order are words by rarity.
-    ``prefix`` holds the first n - ceil(threshold * n) + 1 of them. ``sketch`` is 64 parities of
-    the words: each word that only one of two lines has flips one of them. ``ends`` are two hashes,
-    of the two smallest and of the two largest word hashes.
+    ``prefix`` holds the first n - ceil(threshold * n) + 1 of them. The sketches are 128 parities
+    of the words: each word that only one of two lines has flips one of them. ``ends`` are two
+    hashes, of the two smallest and of the two largest word hashes.
     """
     empty = F.xxhash64(F.lit(""))
     hashes = F.sort_array(F.array_distinct(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w))))
@@ -61,11 +61,13 @@ def tokenised(lines: DataFrame, table: Column, threshold: float) -> DataFrame:
     token = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), LOW).bitwiseOR(h.bitwiseAND(low))
     n = F.size("hashes")
     one = F.lit(1).cast("long")
-    sketch = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))))
+    # A word flips a bit of the one sketch or of the other, by one more bit of its hash.
+    flip = lambda h, lane: F.call_function("shiftleft", F.shiftright(h, 6).bitwiseAND(one).bitwiseXOR(F.lit(1 - lane).cast("long")), h.bitwiseAND(F.lit(63)).cast("int"))
+    parities = lambda lane: F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(flip(h, lane)))
     keep = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
     prefix = F.slice(F.sort_array(F.transform("hashes", token)), F.lit(1), keep)
     ends = F.array(F.xxhash64(F.slice("hashes", 1, 2)), F.xxhash64(F.slice("hashes", -F.least(n, F.lit(2)), F.lit(2))))
-    return hashed.select("*", n.alias("n"), sketch.alias("sketch"), prefix.alias("prefix"), ends.alias("ends")).drop("hashes")
+    return hashed.select("*", n.alias("n"), parities(0).alias("sketch"), parities(1).alias("sketchb"), prefix.alias("prefix"), ends.alias("ends")).drop("hashes")
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -92,8 +94,8 @@ def similar_lines(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
     verifies the likeliest pair of each line; the third, the other pairs of lines still open that
     wider sketches leave.
     """
-    n, m, sketch, sketch2 = F.col("n"), F.col("m"), F.col("sketch"), F.col("sketch2")
-    apart = F.bit_count(sketch.bitwiseXOR(sketch2))
+    n, m = F.col("n"), F.col("m")
+    apart = F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch2"))) + F.bit_count(F.col("sketchb").bitwiseXOR(F.col("sketchb2")))
     possible = (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - 1e-9) & (apart <= F.lit((1 - threshold) / (1 + threshold)) * (n + m) + 1e-6)
 
     def hashed(line: Column) -> Column:
@@ -113,7 +115,7 @@ def similar_lines(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
         return tested.groupBy(F.col("later").alias("no")).agg(F.max("similar").alias("similar")).where("similar").select("no")
 
     def sharper(pairs: DataFrame) -> DataFrame:
-        """The pairs that sketches of 512 parities leave: those of 64 tell long lines apart badly.
+        """The pairs that sketches of 512 parities leave: those of 128 tell long lines apart badly.
 
         Only lines of these pairs are sketched again, and 80 bytes of each are sent, not its text.
         """
@@ -130,25 +132,25 @@ def similar_lines(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
         left = pairs.join(sides[0], "later").join(sides[1], "earlier")
         return left.where(differ <= F.lit((1 - threshold) / (1 + threshold)) * (F.col("later_n") + F.col("earlier_n")) + 1e-6).select("later", "earlier")
 
-    keyed = lines.select("no", "owner", "pos", "n", "sketch", F.explode(F.array_distinct("ends")).alias("end"))
-    hubs = keyed.groupBy("end").agg(F.min(F.struct("owner", "pos", "no", "n", "sketch")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    hubs = hubs.select("end", F.col("hub.no").alias("earlier"), F.col("hub.n").alias("m"), F.col("hub.sketch").alias("sketch2"))
+    keyed = lines.select("no", "owner", "pos", "n", "sketch", "sketchb", F.explode(F.array_distinct("ends")).alias("end"))
+    hubs = keyed.groupBy("end").agg(F.min(F.struct("owner", "pos", "no", "n", "sketch", "sketchb")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    hubs = hubs.select("end", F.col("hub.no").alias("earlier"), F.col("hub.n").alias("m"), F.col("hub.sketch").alias("sketch2"), F.col("hub.sketchb").alias("sketchb2"))
     star = keyed.join(hubs, "end").where("earlier <> no").where(possible)
     star = star.groupBy(F.col("no").alias("later")).agg(F.min_by("earlier", apart).alias("earlier"))
     settled = materialize(verify(materialize(star, "line-stars")), "lines-settled")
 
     few = settled.count() <= MOST_BROADCAST
     marked = settled.withColumn("settled", F.lit(True))
-    flagged = lines.select("no", "owner", "pos", "n", "sketch", "prefix").join(F.broadcast(marked) if few else marked, "no", "left")
+    flagged = lines.select("no", "owner", "pos", "n", "sketch", "sketchb", "prefix").join(F.broadcast(marked) if few else marked, "no", "left")
     # A settled line has a negative size, which fails the filter of lengths on the later side: told
     # apart there, not before the exchange, so that both sides of the join read one shuffle.
     size = F.when(F.isnull("settled"), n).otherwise(-n).alias("m")
-    words = flagged.select("no", "owner", "pos", n, size, "sketch", F.posexplode("prefix").alias("at", "token"))
+    words = flagged.select("no", "owner", "pos", n, size, "sketch", "sketchb", F.posexplode("prefix").alias("at", "token"))
     # Columns that cannot be null keep Spark from adding a filter to one side alone.
-    sure = {c: F.coalesce(c, F.lit(0)) for c in ("token", "m", "sketch")}
-    words = words.withColumn("left", n - F.col("at")).withColumns(sure).select("token", "no", "owner", "pos", "m", "left", "sketch").repartition("token")
-    early = words.select("token", *[F.col(c).alias(f"early_{c}") for c in ("no", "owner", "pos", "left")], F.abs("m").alias("n"), "sketch")
-    late = words.select("token", *[F.col(c).alias(f"late_{c}") for c in ("no", "owner", "pos", "left")], "m", sketch.alias("sketch2"))
+    sure = {c: F.coalesce(c, F.lit(0)) for c in ("token", "m", "sketch", "sketchb")}
+    words = words.withColumn("left", n - F.col("at")).withColumns(sure).select("token", "no", "owner", "pos", "m", "left", "sketch", "sketchb").repartition("token")
+    early = words.select("token", *[F.col(c).alias(f"early_{c}") for c in ("no", "owner", "pos", "left")], F.abs("m").alias("n"), "sketch", "sketchb")
+    late = words.select("token", *[F.col(c).alias(f"late_{c}") for c in ("no", "owner", "pos", "left")], "m", F.col("sketch").alias("sketch2"), F.col("sketchb").alias("sketchb2"))
     left = F.least("early_left", "late_left") >= F.lit(threshold / (1 + threshold)) * (n + m) - 1e-6
     met = early.join(late, "token").where(possible & left & _earlier("early_", "late_"))
     met = materialize(met.select(F.col("late_no").alias("later"), F.col("early_no").alias("earlier"), apart.alias("apart")), "line-pairs")
