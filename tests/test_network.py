@@ -1,7 +1,10 @@
+import random
 from collections import Counter
 from itertools import combinations
 
-from tessera.operators import network
+import pytest
+
+from tessera.operators import network, statistics
 
 
 def _mentions(spark):
@@ -42,3 +45,15 @@ def test_documents_behind_edges_meet_within_documents(spark):
 def test_edges_count_repeated_mentions_as_pairs(spark):
     mentions = spark.createDataFrame([(1, "a", "A"), (1, "a", "A"), (1, "b", "B"), (2, "a", "A"), (2, "b", "B"), (None, "a", "A"), (None, "b", "B")], "doc long, ent string, type string")
     assert [tuple(r) for r in network.cooccurrence_edges(mentions, 1).collect()] == [("a", "b", "A", "B", 3)]
+
+
+@pytest.mark.parametrize("most", [10_000, 150, 20])
+def test_triangles_of_blocks(spark, monkeypatch, most):
+    # The smaller a block, the more groups: every triangle is counted in one block alone.
+    monkeypatch.setattr(statistics, "EDGES_A_BLOCK", most)
+    rng = random.Random(3)
+    edges = [(a, b) for a, b in combinations(range(40), 2) if rng.random() < 0.4]
+    linked = set(edges)
+    want = Counter(v for t in combinations(range(40), 3) if all(p in linked for p in combinations(t, 2)) for v in t)
+    got = statistics.corners(spark.createDataFrame(edges, "lo long, hi long")).collect()
+    assert {r["rank"]: r["triangles"] for r in got} == dict(want)
