@@ -4,7 +4,7 @@ from itertools import combinations
 
 import pytest
 
-from tessera.operators import network, statistics
+from tessera.operators import graphs, network, statistics
 
 
 def _mentions(spark):
@@ -57,3 +57,53 @@ def test_triangles_of_blocks(spark, monkeypatch, most):
     want = Counter(v for t in combinations(range(40), 3) if all(p in linked for p in combinations(t, 2)) for v in t)
     got = statistics.corners(spark.createDataFrame(edges, "lo long, hi long")).collect()
     assert {r["rank"]: r["triangles"] for r in got} == dict(want)
+
+
+def _typed(spark):
+    rows = [(f"E{a:02}", f"E{b:02}", f"T{a % 3}", f"T{b % 3}", (a * b) % 5 + 1) for a, b in combinations(range(14), 2) if (a + b) % 3]
+    return rows, spark.createDataFrame(rows, "src string, dst string, src_type string, dst_type string, weight long")
+
+
+def _joins(spark, build):
+    """Sort-merge joins of the plan where nothing is sent to every executor unasked."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = build()
+        return df, df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_metrics_sort_no_edges(spark):
+    rows, edges = _typed(spark)
+    df, plan = _joins(spark, lambda: network.entity_metrics(edges))
+    assert "max_by" not in plan
+    near = {}
+    for a, b, t, u, w in rows:
+        near.setdefault((a, t), []).append((w, b))
+        near.setdefault((b, u), []).append((w, a))
+    want = {(*k, len(v), sum(w for w, _ in v), *max(v)) for k, v in near.items()}
+    assert {tuple(r) for r in df.collect()} == want
+
+
+def test_summaries_exchange_no_edges(spark):
+    _, edges = _typed(spark)
+    labels = spark.createDataFrame([(f"E{i:02}", i % 2) for i in range(14)], "node string, label long")
+    _, plan = _joins(spark, lambda: graphs.community_summaries(edges, labels))
+    assert "hashpartitioning(src" not in plan and "hashpartitioning(dst" not in plan
+
+
+def test_permutations_meet_nodes_once(spark):
+    _, edges = _typed(spark)
+    df, plan = _joins(spark, lambda: graphs.permutation_test(edges, 4))
+    assert "hashpartitioning(src" not in plan and "hashpartitioning(dst" not in plan
+    assert df.first()["deviation"] is not None
+
+
+def test_viewer_documents_are_found_within_documents(spark):
+    rows = [(doc, ent, ent[0]) for doc in range(50) for ent in ("a1", "b1", *(["b2"] if doc % 2 else []))]
+    mentions = spark.createDataFrame(rows, "doc long, ent string, type string")
+    done = network.ranked_viewer_documents(network.cooccurrence_edges(mentions), mentions, docs_per_edge=5)
+    # Edge a1-b1 has documents 0 to 4, edge a1-b2 the odd ones from 1 to 9.
+    assert {(r.doc, r.n_edges, r.n_entities) for r in done.collect()} == {(0, 1, 2), (1, 2, 3), (2, 1, 2), (3, 2, 3), (4, 1, 2), (5, 1, 2), (7, 1, 2), (9, 1, 2)}
+    assert any("viewer-documents" in f for f in done.inputFiles())
