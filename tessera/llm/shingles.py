@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.simhash import fold, hamming_links, shingle_hashes
 from tessera.operators.components import connected_components
 from tessera.session import materialize
 
@@ -17,18 +18,9 @@ from tessera.session import materialize
 BANDS, ROWS = 24, 5
 
 
-def _shingles(text: str | None, shingle: int) -> tuple[bytes, np.ndarray]:
-    """The words in one line, and the distinct hashes of their shingles (of all words, if fewer)."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
-    line = b" ".join(words)
-    if not words:
-        return line, np.empty(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return line, np.array([digest(line, 42)], np.uint64)
-    end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    start = np.concatenate(([0], end[:-1] + 1))
-    return line, np.unique(np.array([digest(line[a:b], 42) for a, b in zip(start[: len(words) - shingle + 1].tolist(), end[shingle - 1 :].tolist())], np.uint64))
+def _shingles(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles."""
+    return np.unique(shingle_hashes(text, shingle)[1])
 
 
 def _buckets(value: np.ndarray, flip: np.ndarray, times: np.ndarray) -> list[int]:
@@ -44,8 +36,10 @@ def near_copy_groups(rows: DataFrame, shingle: int = 5, threshold: float = 0.8)
 
     ``row`` is a long, unique and stable. Words are as in :mod:`tessera.llm.simhash`. Two rows link
     if their words are equal or the Jaccard similarity of their sets of ``shingle`` words is at
-    least ``threshold``. Rows with equal words are one vertex. Candidates share one of ``BANDS``
-    buckets of min-hashes; each is verified on its whole sets. A bucket's members meet its smallest
+    least ``threshold``. Rows with equal words are one vertex. Candidates have SimHash fingerprints
+    that are equal or linked by :func:`tessera.llm.simhash.hamming_links`, which most near copies
+    of long texts are not, or share one of ``BANDS`` buckets of min-hashes; each is verified on its
+    whole sets. Rows of one fingerprint meet the smallest of them. A bucket's members meet its smallest
     first, and then only members that no link has joined yet meet each other, so a large group
     costs a pair for each member and no pair of a bucket is left out.
     """
@@ -57,21 +51,31 @@ def near_copy_groups(rows: DataFrame, shingle: int = 5, threshold: float = 0.8)
         for pdf in batches:
             out = []
             for row, text in zip(pdf["row"], pdf["text"]):
-                line, value = _shingles(text, shingle)
-                out.append((row, xxhash.xxh3_128_digest(line), len(value), _buckets(value, flip, times) if len(value) else []))
-            yield pd.DataFrame(out, columns=["row", "words", "n", "buckets"])
+                line, every = shingle_hashes(text, shingle)
+                value = np.unique(every)
+                out.append((row, xxhash.xxh3_128_digest(line), len(value), fold(every) - 2**63, _buckets(value, flip, times) if len(value) else []))
+            yield pd.DataFrame(out, columns=["row", "words", "n", "fp", "buckets"])
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"v": pdf["row"], "s": [_shingles(t, shingle)[1].view(np.int64) for t in pdf["text"]]})
+            yield pd.DataFrame({"v": pdf["row"], "s": [_shingles(t, shingle).view(np.int64) for t in pdf["text"]]})
 
-    signed = materialize(rows.select("row", "text").mapInPandas(sign, "row long, words binary, n int, buckets array<long>"), "copies-signed")
+    signed = materialize(rows.select("row", "text").mapInPandas(sign, "row long, words binary, n int, fp long, buckets array<long>"), "copies-signed")
     classes = signed.groupBy("words").agg(F.min("row").alias("v"))
-    classed = materialize(signed.join(classes, "words").select("row", "v", "n", F.when(F.col("row") == F.col("v"), F.col("buckets")).alias("buckets")), "copies-classes")
+    classed = materialize(signed.join(classes, "words").select("row", "v", "n", "fp", F.when(F.col("row") == F.col("v"), F.col("buckets")).alias("buckets")), "copies-classes")
     placed = classed.where("row = v").select("v", "n", F.explode("buckets").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("v").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     placed = materialize(placed.join(shared, "bucket"), "copies-buckets")
-    held = materialize(rows.join(placed.select(F.col("v").alias("row")).distinct(), "row", "left_semi").select("row", "text").mapInPandas(sets, "v long, s array<long>"), "copies-sets")
+    prints = classed.where("row = v and n > 0").select("v", "n", "fp")
+    first = materialize(prints.groupBy("fp").agg(F.min(F.struct("v", "n")).alias("of")).select("fp", F.col("of.v").alias("hub"), F.col("of.n").alias("hub_n")), "copies-prints")
+    same = prints.join(first, "fp").where("v <> hub").select("hub", "v", "n", "hub_n")
+    ends = [first.select(F.col("fp").alias(c), F.col("hub").alias(v), F.col("hub_n").alias(n)) for c, v, n in (("src", "hub", "hub_n"), ("dst", "v", "n"))]
+    near = hamming_links(first.select("fp")).join(ends[0], "src").join(ends[1], "dst").select("hub", "v", "n", "hub_n")
+    # No pair whose sizes differ more can be similar enough.
+    sized = lambda x, y: F.least(x, y) >= F.lit(threshold) * F.greatest(x, y) - 1e-9
+    printed = materialize(same.unionByName(near).where(sized(F.col("n"), F.col("hub_n"))), "copies-printed")
+    asked = placed.select(F.col("v").alias("row")).union(printed.select("hub")).union(printed.select("v")).distinct()
+    held = materialize(rows.join(asked, "row", "left_semi").select("row", "text").mapInPandas(sets, "v long, s array<long>"), "copies-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         right = pairs.join(held.select(F.col("v").alias("b"), F.col("s").alias("t")), "b")
@@ -79,10 +83,9 @@ def near_copy_groups(rows: DataFrame, shingle: int = 5, threshold: float = 0.8)
         common = F.size(F.array_intersect("s", "t"))
         return both.where(common >= F.lit(threshold) * (F.size("s") + F.size("t") - common) - 1e-9).select("a", "b")
 
-    # No pair whose sizes differ more can be similar enough.
-    sized = lambda x, y: F.least(x, y) >= F.lit(threshold) * F.greatest(x, y) - 1e-9
     hubs = placed.select(F.col("v").alias("hub"), F.col("n").alias("hub_n")).distinct()
     first = placed.where("v <> hub").select("hub", "v", "n").distinct().join(hubs, "hub").where(sized(F.col("n"), F.col("hub_n")))
+    first = first.select("hub", "v").union(printed.select("hub", "v")).distinct()
     links = materialize(verified(first.select(F.col("hub").alias("a"), F.col("v").alias("b"))), "copies-links")
     parts = materialize(connected_components(links, "a", "b"), "copies-parts")
     rest = placed.where("size > 2 and v <> hub").join(parts, F.col("v") == F.col("vertex"), "left").select("bucket", "v", "n", F.coalesce("component", "v").alias("part"))

@@ -33,17 +33,22 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
 
 
-def _simhash(text: str | None, shingle: int) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> tuple[bytes, np.ndarray]:
+    """The words in one line, and the hashes of their shingles (of all words, if fewer), repeats included."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
-    if not words:
-        return 0
     line = b" ".join(words)
+    if not words:
+        return line, np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(line, 42)
+        return line, np.array([digest(line, 42)], np.uint64)
     end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     start = np.concatenate(([0], end[:-1] + 1))
-    value = np.array([digest(line[a:b], 42) for a, b in zip(start[: len(words) - shingle + 1].tolist(), end[shingle - 1 :].tolist())], np.uint64)
+    return line, np.array([digest(line[a:b], 42) for a, b in zip(start[: len(words) - shingle + 1].tolist(), end[shingle - 1 :].tolist())], np.uint64)
+
+
+def fold(value: np.ndarray) -> int:
+    """The fingerprint of hashes: a bit is set if over half of them have it."""
     count = np.zeros(BITS, np.int64)
     for i in range(0, len(value), 4096):
         part = value[i : i + 4096].astype(">u8").view(np.uint8)
@@ -51,6 +56,10 @@ def _simhash(text: str | None, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * count > len(value)).tobytes(), "big")
 
 
+def _simhash(text: str | None, shingle: int) -> int:
+    return fold(shingle_hashes(text, shingle)[1])
+
+
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
     """Masks such that any two values that differ in at most ``radius`` bits agree under one.
 

@@ -67,3 +67,21 @@ def test_stage_chooses_rows_not_ids(spark):
     assert sorted(x for x in got if x[0]) == sorted([(1, a), (1, b), (2, c), (4, e)])
     assert len([x for x in got if x[0] is None]) == 1 and [x for x in got if x[0] is None][0][1] in (d, d + " more")
     assert sorted(got, key=str) == sorted(((r.doc_id, r.text) for r in near_copies(spark, docs.repartition(3), "").collect()), key=str)
+
+
+def test_fingerprints_find_candidates(spark, monkeypatch):
+    from tessera.llm import shingles
+    from tessera.llm.simhash import _simhash
+
+    # Without buckets, what fingerprints within two bits lead to is still found, and verified.
+    monkeypatch.setattr(shingles, "_buckets", lambda value, flip, times: [])
+    rng = random.Random(8)
+    rows, want = [], []
+    while len(want) < 6:
+        base = words(300, rng)
+        pair = " ".join(base), " ".join(base[:-1] + ["last"])
+        rows += [(len(rows) + k, t) for k, t in enumerate(pair)]
+        if (_simhash(pair[0], 5) ^ _simhash(pair[1], 5)).bit_count() <= 2:
+            want.append((rows[-1][0], rows[-2][0]))
+    got = {(r.row, r.group) for r in shingles.near_copy_groups(spark.createDataFrame(rows, "row long, text string")).where("row <> group").collect()}
+    assert got == set(want)
