@@ -175,3 +175,18 @@ def test_paragraphs():
         text = prose(rng, rng.randint(0, 80))
         assert join_paragraphs(text, 20) == plain(text, 20)
     assert chunking.TEXT_FIELDS[0] == "title" and marked_sections
+
+
+def test_batches_are_cut_a_few_texts_at_a_time(spark):
+    import pyarrow as pa
+
+    from tessera.operators import chunking
+
+    texts = pa.array([None if i % 7 == 0 else "" if i % 11 == 0 else f"{i}\n\nmore" for i in range(300)])
+    parts = list(chunking._packed(texts, lambda t: t.split("\n\n")))
+    assert max(map(len, parts)) <= chunking.TEXTS_AT_ONCE < len(texts)
+    assert [x for part in parts for x in part.to_pylist()] == [None if t is None else t.split("\n\n") for t in texts.to_pylist()]
+    # Rows and their pieces stay together across the parts of a batch.
+    rows = spark.range(300).selectExpr("id as doc_id", "if(id % 7 = 0, null, concat('text ', id)) as text").coalesce(1)
+    got = {r.doc_id: r.text for r in chunking.separator_chunks(rows, rows.text).collect()}
+    assert got == {i: f"text {i}" for i in range(300) if i % 7}
