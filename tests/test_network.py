@@ -107,3 +107,13 @@ def test_viewer_documents_are_found_within_documents(spark):
     # Edge a1-b1 has documents 0 to 4, edge a1-b2 the odd ones from 1 to 9.
     assert {(r.doc, r.n_edges, r.n_entities) for r in done.collect()} == {(0, 1, 2), (1, 2, 3), (2, 1, 2), (3, 2, 3), (4, 1, 2), (5, 1, 2), (7, 1, 2), (9, 1, 2)}
     assert any("viewer-documents" in f for f in done.inputFiles())
+
+
+def test_partitions_grow_with_mentions(spark, monkeypatch):
+    from tessera import session
+    from tessera.sources import tables
+
+    monkeypatch.setattr(session, "ROWS_A_PARTITION", 500)
+    lines = tables.table(spark, "/root/testdata/sf0.001", "lineitem").count()
+    # A task's share of the mentions stays the same, however many there are.
+    assert tables.mentions(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-2 * lines // 500) > 8
