@@ -11,6 +11,10 @@ from tessera.session import discard, materialize
 SLOTS = 1 << 16
 #: As many line numbers or pairs are sent to every executor (16 MB); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
+#: Each line of a family is held against so many of the earliest with one of its rare words before all pairs are made.
+HEADS = 4
+#: Lines may be of one family if they are apart by so many times what similar ones may be.
+KIN = 2
 #: Bits of a token below its rarity.
 LOW = 56
 
@@ -90,13 +94,18 @@ def similar_lines(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
     the threshold allows words, are verified. The work goes in rounds, since one similar earlier
     line settles a line for good. The first compares each line with the earliest line that has one
     of its two ``ends``, so members of a large group of near copies meet one line and not each
-    other. The second joins the prefixes by word, the later side without settled lines, and
-    verifies the likeliest pair of each line; the third, the other pairs of lines still open that
+    other. The second takes those that are apart from that line by up to :data:`KIN` times what
+    similar lines may be, which most members of a family without a centre are, and compares each
+    with the :data:`HEADS` earliest of them that have a word of its prefix. These two only settle
+    lines early. The third joins the prefixes of all lines by word, the later side without settled
+    lines, and verifies the likeliest pair of each line; the fourth, the other pairs of lines still open that
     wider sketches leave.
     """
     n, m = F.col("n"), F.col("m")
     apart = F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch2"))) + F.bit_count(F.col("sketchb").bitwiseXOR(F.col("sketchb2")))
-    possible = (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - 1e-9) & (apart <= F.lit((1 - threshold) / (1 + threshold)) * (n + m) + 1e-6)
+    most = F.lit((1 - threshold) / (1 + threshold)) * (n + m)
+    possible = (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - 1e-9) & (apart <= most + 1e-6)
+    akin = apart <= KIN * most
 
     def hashed(line: Column) -> Column:
         return F.array_distinct(F.transform(_split(line), lambda w: F.when(w != "", F.xxhash64(w))))
@@ -135,9 +144,23 @@ def similar_lines(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
     keyed = lines.select("no", "owner", "pos", "n", "sketch", "sketchb", F.explode(F.array_distinct("ends")).alias("end"))
     hubs = keyed.groupBy("end").agg(F.min(F.struct("owner", "pos", "no", "n", "sketch", "sketchb")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     hubs = hubs.select("end", F.col("hub.no").alias("earlier"), F.col("hub.n").alias("m"), F.col("hub.sketch").alias("sketch2"), F.col("hub.sketchb").alias("sketchb2"))
-    star = keyed.join(hubs, "end").where("earlier <> no").where(possible)
-    star = star.groupBy(F.col("no").alias("later")).agg(F.min_by("earlier", apart).alias("earlier"))
-    settled = materialize(verify(materialize(star, "line-stars")), "lines-settled")
+    star = keyed.join(hubs, "end").where("earlier <> no").where(akin)
+    star = materialize(star.select(F.col("no").alias("later"), "earlier", apart.alias("apart"), possible.alias("possible")), "line-kin")
+    likely = star.where("possible").groupBy("later").agg(F.min_by("earlier", "apart").alias("earlier"))
+    settled = materialize(verify(materialize(likely, "line-stars")), "lines-settled")
+
+    kin = star.select(F.explode(F.array("later", "earlier")).alias("no")).distinct()
+    kin = materialize(kin.join(settled.withColumn("done", F.lit(True)), "no", "left"), "line-kin-open")
+    few = kin.count() <= MOST_BROADCAST
+    kin = lines.select("no", "owner", "pos", "n", "sketch", "sketchb", "prefix").join(F.broadcast(kin) if few else kin, "no")
+    kin = kin.select("no", "owner", "pos", "n", "sketch", "sketchb", F.col("done").isNull().alias("open"), F.explode("prefix").alias("token"))
+    nth = F.row_number().over(Window.partitionBy("token").orderBy("owner", "pos", "no"))
+    heads = kin.withColumn("nth", nth).where(F.col("nth") <= HEADS)
+    heads = heads.select("token", *[F.col(c).alias(f"early_{c}") for c in ("no", "owner", "pos")], F.col("n").alias("m"), F.col("sketch").alias("sketch2"), F.col("sketchb").alias("sketchb2"))
+    late = kin.where("open").select("token", *[F.col(c).alias(f"late_{c}") for c in ("no", "owner", "pos")], "n", "sketch", "sketchb")
+    near = late.join(heads, "token").where(possible & _earlier("early_", "late_"))
+    near = near.groupBy(F.col("late_no").alias("later")).agg(F.min_by("early_no", F.struct(apart, "early_no")).alias("earlier"))
+    settled = settled.union(materialize(verify(materialize(near, "line-heads")), "lines-settled-by-heads"))
 
     few = settled.count() <= MOST_BROADCAST
     marked = settled.withColumn("settled", F.lit(True))
