@@ -11,7 +11,7 @@ def test_families_without_a_centre_make_few_pairs(spark, monkeypatch):
     texts = []
     for i in range(240):
         words = list(base)
-        for _ in range(rng.randrange(1, 5)):
+        for _ in range(rng.randrange(2, 8)):
             words[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
         texts.append(" ".join(words))
     sizes = {}
@@ -26,4 +26,4 @@ def test_families_without_a_centre_make_few_pairs(spark, monkeypatch):
     sets = [set(t.split()) for t in texts]
     want = {i: int(any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9 for j in range(i))) for i in range(240)}
     assert got == want
-    assert sizes["line-pairs"] < 240 * 240 / 16
+    assert sizes["line-pairs"] < 4800  # 5,495 without the round of heads, 4,222 with it
