@@ -4,6 +4,7 @@ from itertools import combinations
 
 import pytest
 
+from tessera import catalog
 from tessera.operators import graphs, network, statistics
 
 
@@ -42,6 +43,28 @@ def test_documents_behind_edges_meet_within_documents(spark):
     assert any("edge-documents" in f for f in done.inputFiles())
 
 
+def test_query_lists_every_document_of_an_edge(spark):
+    there = "/root/testdata/sf0.001"
+    listed = catalog.queries()["edge_documents"](spark, there)
+    assert sorted(listed.columns) == ["doc", "dst", "src"]
+    # An edge weighs as many documents as mention both of its ends.
+    got = Counter((r.src, r.dst) for r in listed.collect())
+    assert got == {(r.src, r.dst): r.weight for r in catalog.queries()["cooc_edges"](spark, there).collect()}
+    assert max(got.values()) > 2
+
+
+@pytest.mark.parametrize("most", [1, 3, 7])
+def test_documents_behind_edges_of_blocks(spark, monkeypatch, most):
+    _, mentions = _mentions(spark)
+    edges = network.cooccurrence_edges(mentions, 2)
+    once = Counter(map(tuple, network.edge_documents(mentions, edges).collect()))
+    monkeypatch.setattr(network, "EDGES_A_BLOCK", most)
+    done = network.edge_documents(mentions, edges)
+    assert Counter(map(tuple, done.collect())) == once and set(once.values()) == {1}
+    # Each block is written by itself.
+    assert len({f.rsplit("/", 2)[1] for f in done.inputFiles() if "edge-documents" in f}) > 1
+
+
 def test_edges_count_repeated_mentions_as_pairs(spark):
     mentions = spark.createDataFrame([(1, "a", "A"), (1, "a", "A"), (1, "b", "B"), (2, "a", "A"), (2, "b", "B"), (None, "a", "A"), (None, "b", "B")], "doc long, ent string, type string")
     assert [tuple(r) for r in network.cooccurrence_edges(mentions, 1).collect()] == [("a", "b", "A", "B", 3)]
